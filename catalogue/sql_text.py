@@ -57,7 +57,7 @@ def family_score(low: str, families: tuple) -> str:
 def topic(tok: str, text: str) -> str:
     words = rf"list_slice(string_split_regex({text}, '\s+'), 1, 10)"
     telling = f"list_slice(list_filter({words}, lambda w: length(w) > 3), 1, 3)"
-    phrase = f"upper(array_to_string({telling}, '_'))"
+    phrase = f"upper(replace(array_to_string({telling}, '_'), 'ß', 'SS'))"
     return (
         f"CASE WHEN len({tok}) > 0 THEN {tok}[1] "
         f"WHEN len({words}) >= 3 AND {phrase} <> '' THEN {phrase} ELSE 'GENERAL' END"

@@ -20,18 +20,30 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, URL, ""), NOISE, "")
 
 
-def _any_case(pattern: str) -> str:
-    return "(?iu)" + fill(pattern)
-
-
 def _between(bounds: tuple[int, int]):
     low, high = bounds
     return lambda p: F.length(p).between(low, high)
 
 
+_WORD_LEAD = r"\$?<letter>{2,6}<space>+"
+
+
+def _hits(cleaned: Column, pattern: str) -> Column:
+    """All matches of one pattern.
+
+    A pattern led by "any short word" makes the engine try every letter of a
+    text. What follows the lead is rarer and quicker to find, and a text
+    without it cannot match, so it is looked for first.
+    """
+    found = F.regexp_extract_all(cleaned, F.lit(fill(pattern)), F.lit(0))
+    if not pattern.startswith(_WORD_LEAD):
+        return found
+    rest = fill(pattern.removeprefix(_WORD_LEAD))
+    return F.when(cleaned.rlike(rest), found).otherwise(F.array().cast(_EMPTY))
+
+
 def _matches(cleaned: Column, patterns: tuple[str, ...], lengths: tuple[int, int]) -> Column:
-    hits = [F.regexp_extract_all(cleaned, F.lit(_any_case(p)), F.lit(0)) for p in patterns]
-    return F.filter(F.concat(*hits), _between(lengths))
+    return F.filter(F.concat(*[_hits(cleaned, p) for p in patterns]), _between(lengths))
 
 
 def price_points(cleaned: Column) -> Column:
@@ -53,10 +65,10 @@ def _contexts(cleaned: Column, pattern: str) -> Column:
     """
     hit = fill(pattern)
     width = V.CATALYST_CONTEXT
-    gaps = F.regexp_extract_all(cleaned, F.lit(f"(?iu)([\\s\\S]*?)(?:{hit})"), F.lit(1))
-    hits = F.regexp_extract_all(cleaned, F.lit(f"(?iu)(?:{hit})"), F.lit(0))
+    hits = F.regexp_extract_all(cleaned, F.lit(hit), F.lit(0))
+    gaps = F.slice(F.split(cleaned, hit), F.lit(1), F.size(hits))
     after = F.regexp_extract_all(
-        cleaned, F.lit(f"(?iu)(?:{hit})(?=([\\s\\S]{{0,{width}}}))"), F.lit(1)
+        cleaned, F.lit(f"(?:{hit})(?=([\\s\\S]{{0,{width}}}))"), F.lit(1)
     )
     pieces = F.zip_with(gaps, hits, lambda g, h: F.concat(g, h))
     nothing = F.lit("")
@@ -82,7 +94,7 @@ def _contexts(cleaned: Column, pattern: str) -> Column:
 
 
 def catalyst_points(cleaned: Column) -> Column:
-    any_hit = "(?iu)" + "|".join(fill(p) for p in V.CATALYST_PATTERNS)
+    any_hit = "|".join(fill(p) for p in V.CATALYST_PATTERNS)
     found = F.filter(
         F.concat(*[_contexts(cleaned, p) for p in V.CATALYST_PATTERNS]),
         _between(V.CATALYST_LENGTHS),

@@ -17,7 +17,7 @@ WORD = r"[a-zA-Z0-9_\p{L}\p{N}]"
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 DIGIT = r"\p{Nd}"
 # A-Z under case folding also covers dotted/dotless i, long s and the Kelvin sign.
-LETTER = r"[A-Z\u0130\u0131\u017f\u212a]"
+LETTER = r"[A-Za-z\u0130\u0131\u017f\u212a]"
 
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
@@ -32,12 +32,19 @@ _FOLDED = {"i": r"[iI\u0130\u0131]", "s": r"[sS\u017f]", "k": r"[kK\u212a]"}
 
 
 def fill(pattern: str) -> str:
-    """Put the Unicode classes into a pattern from the vocabulary."""
-    return (
-        pattern.replace("<space>", SPACE)
-        .replace("<digit>", DIGIT)
-        .replace("<letter>", LETTER)
-        .replace("<word>", WORD)
+    """Any-case pattern from the vocabulary with its Unicode classes filled in.
+
+    The classes hold both cases already, so case folding is switched off for
+    them: a folded range costs two conversions per character. Letters and
+    spaces are matched possessively; what follows them can never be a letter
+    or a space again, so giving characters back would only waste time.
+    """
+    plain, folded = "(?-iu)", "(?iu)"
+    return folded + (
+        pattern.replace("<space>+", f"{plain}{SPACE}++{folded}")
+        .replace("<letter>{2,6}", f"{plain}{LETTER}{{2,6}}+{folded}")
+        .replace("<digit>+", f"{plain}{DIGIT}++{folded}")
+        .replace("<word>+", f"{plain}{WORD}++{folded}")
     )
 
 
