@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatlens.functions import vocabulary as V
-from chatlens.functions.text import SPACE, fill, strip
+from chatlens.functions.text import SPACE, fill, let, strip
 
 # One character class: scheme, then any run of the characters URLs are made of.
 URL = r"https?://[!$-_a-z]+"
@@ -65,32 +65,37 @@ def _contexts(cleaned: Column, pattern: str) -> Column:
     """
     hit = fill(pattern)
     width = V.CATALYST_CONTEXT
-    hits = F.regexp_extract_all(cleaned, F.lit(hit), F.lit(0))
-    gaps = F.slice(F.split(cleaned, hit), F.lit(1), F.size(hits))
-    after = F.regexp_extract_all(
-        cleaned, F.lit(f"(?:{hit})(?=([\\s\\S]{{0,{width}}}))"), F.lit(1)
-    )
-    pieces = F.zip_with(gaps, hits, lambda g, h: F.concat(g, h))
-    nothing = F.lit("")
-    one_back = F.array_prepend(pieces, nothing)
-    two_back = F.array_prepend(one_back, nothing)
-    three_back = F.array_prepend(two_back, nothing)
-    rows = F.slice(
-        F.arrays_zip(
-            gaps.alias("gap"), hits.alias("hit"), after.alias("after"),
-            one_back.alias("p1"), two_back.alias("p2"), three_back.alias("p3"),
-        ),
-        F.lit(1),
-        F.size(hits),
+    found = F.struct(
+        F.split(cleaned, hit).alias("gaps"),
+        F.regexp_extract_all(cleaned, F.lit(hit), F.lit(0)).alias("hits"),
+        F.regexp_extract_all(
+            cleaned, F.lit(f"(?:{hit})(?=([\\s\\S]{{0,{width}}}))"), F.lit(1)
+        ).alias("after"),
     )
 
     def context(r: Column) -> Column:
         before = F.concat(r["p3"], r["p2"], r["p1"], r["gap"])
-        return strip(
-            F.concat(F.substring(before, -width, width), r["hit"], r["after"])
+        return strip(F.concat(F.substring(before, -width, width), r["hit"], r["after"]))
+
+    def contexts(f: Column) -> Column:
+        n = F.size(f["hits"])
+        gaps = F.slice(f["gaps"], F.lit(1), n)
+        padded = F.concat(
+            F.array_repeat(F.lit(""), 3), F.zip_with(gaps, f["hits"], lambda g, h: F.concat(g, h))
+        )
+        return let(
+            padded,
+            lambda p: F.transform(
+                F.arrays_zip(
+                    gaps.alias("gap"), f["hits"].alias("hit"), f["after"].alias("after"),
+                    F.slice(p, F.lit(1), n).alias("p3"), F.slice(p, F.lit(2), n).alias("p2"),
+                    F.slice(p, F.lit(3), n).alias("p1"),
+                ),
+                context,
+            ),
         )
 
-    return F.transform(rows, context)
+    return F.when(cleaned.rlike(hit), let(found, contexts)).otherwise(F.array().cast(_EMPTY))
 
 
 def catalyst_points(cleaned: Column) -> Column:

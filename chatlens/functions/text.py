@@ -8,7 +8,7 @@ mean the same on every JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +58,11 @@ def first_words(c: Column, n: int) -> Column:
     return F.slice(F.split(c, f"{SPACE}+", n + 1), 1, n)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(c: Column) -> Column:
     return F.length(strip(c)) == 0
 

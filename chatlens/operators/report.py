@@ -10,8 +10,8 @@ from chatlens.operators.relational import newest_first
 
 
 def percent(part: Column, base: Column) -> Column:
-    """Percentage with one decimal; zero where there is no base."""
-    return F.when(base > 0, F.round(part * 100.0 / base, 1)).otherwise(F.lit(0.0))
+    """Percentage with one decimal, ties to even; zero where there is no base."""
+    return F.when(base > 0, F.bround(part / base * 100, 1)).otherwise(F.lit(0.0))
 
 
 def _sentiment_count(label: str) -> Column:
@@ -110,8 +110,19 @@ def report_rows(frame: DataFrame, shown_tokens: int = V.SHOWN_TOKENS) -> DataFra
             )
         ).alias("e"),
     ).select("e.kind", "e.label", "e.part", "last_seen")
+    # Zero rows keep the sums in the report when the frame is empty.
+    zeros = frame.sparkSession.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit("sum").alias("kind"), F.lit(c).alias("label"), F.lit(0).cast("long").alias("part"))
+                    for c in sums
+                ]
+            )
+        )
+    ).withColumn("last_seen", F.lit(None).cast(long.schema["last_seen"].dataType))
     gathered = (
-        long.where((F.col("kind") == "sum") | F.col("label").isNotNull())
+        long.unionByName(zeros).where((F.col("kind") == "sum") | F.col("label").isNotNull())
         .groupBy("kind", "label")
         .agg(F.sum("part").alias("n"), F.max("last_seen").alias("last_seen"))
     )

@@ -60,9 +60,10 @@ def lookup(
     on: list[str],
     spread: list[str],
     max_rows: int = MAX_BROADCAST_ROWS,
+    how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Left join of a large frame with a lookup table.
+    """Equi-join of a large frame with a lookup table.
 
     A table of checked small size is broadcast. A larger one is joined by
     shuffle, with each of its rows repeated per salt so that one hot key (or
@@ -70,9 +71,7 @@ def lookup(
     columns of ``facts`` to draw the salt from, such as its primary key.
     """
     if is_small(dimension, max_rows):
-        return facts.join(F.broadcast(dimension), on, "left")
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    salted_dimension = dimension.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return salted_facts.join(salted_dimension, [*on, "_salt"], "left").drop("_salt")
+        return facts.join(F.broadcast(dimension), on, how)
+    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_facts.join(repeated, [*on, "_salt"], how).drop("_salt")
