@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogue import registry, report_queries, text_queries  # noqa: F401
+from catalogue import registry, report_queries, stream_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries():
