@@ -88,8 +88,10 @@ def start_ingest(
     ``checkpoint`` with an interval it goes on live, without gap or repeat.
     """
 
+    stamp = F.current_timestamp() if analyzed_at is None else analyzed_at
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(tables, prepare(batch), batch_id, analyzed_at or F.current_timestamp(), mode)
+        write_batch(tables, prepare(batch), batch_id, stamp, mode)
 
     return (
         source.writeStream.foreachBatch(each)
