@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlens.sources.session import spread
+
 
 TEMPLATES = (
     "$BTC to 100K by december, target $120K",
@@ -42,7 +44,8 @@ ANALYSED_AT = "2024-01-31 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(scan) if name in ("events", "documents", "conversations", "pages") else scan
 
 
 def at(text: str) -> Column:

@@ -20,6 +20,7 @@ from chatlens.sources.tables import ChatTables
 from chatlens.streaming import dedupe, live, state
 
 AT = "2024-02-01 00:00:00"
+FILES = 8
 _NOW = {"availableNow": True}
 _CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 _STREAMED = S.T.StructType([*S.MESSAGES.fields, S.T.StructField(upsert.SEQ, S.T.LongType())])
@@ -33,13 +34,13 @@ def _parts(rows, column="ts_utc"):
 
 
 def _write(parts, folder):
-    """One file each; part sizes here are a third of the given events."""
+    """A few files per part, as many as a micro-batch takes."""
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.repartition(FILES).write.mode("append").parquet(folder)
 
 
-def _run(spark, folder, tables, checkpoint, schema, prepare, files=1):
-    source = scans.stream(spark, folder, schema, files)
+def _run(spark, folder, tables, checkpoint, schema, prepare):
+    source = scans.stream(spark, folder, schema, FILES)
     live.start_ingest(
         source, tables, checkpoint, prepare, analyse.LEXICON, I.at(AT), _NOW
     ).awaitTermination()
@@ -114,7 +115,7 @@ def stream_edits(spark, sf):
     folder, checkpoint = scratch_folder(spark, "source"), scratch_folder(spark, "progress")
     tables = ChatTables(spark, scratch_folder(spark, "tables"))
     _write(_parts(S.conform(I.arrivals(spark, sf), _STREAMED)), folder)
-    source = scans.edits(scans.stream(spark, folder, _STREAMED, 1))
+    source = scans.edits(scans.stream(spark, folder, _STREAMED, FILES))
     live.start_ingest(
         source, tables, checkpoint, _same, analyse.LEXICON, I.at(AT), _NOW
     ).awaitTermination()
@@ -128,7 +129,7 @@ def stream_dedupe(spark, sf):
     out = scratch_folder(spark, "deduped")
     rows = S.conform(I.messages(spark, sf), _STREAMED)
     _write([p.unionByName(p) for p in _parts(rows)], folder)
-    kept = dedupe.drop_replays(scans.stream(spark, folder, _STREAMED, 1))
+    kept = dedupe.drop_replays(scans.stream(spark, folder, _STREAMED, FILES))
 
     def each(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -147,7 +148,7 @@ def stream_state(spark, sf):
     folder, checkpoint = scratch_folder(spark, "source"), scratch_folder(spark, "progress")
     out = scratch_folder(spark, "state")
     _write(_parts(S.conform(I.arrivals(spark, sf), _STREAMED)), folder)
-    source = scans.stream(spark, folder, _STREAMED, 1)
+    source = scans.stream(spark, folder, _STREAMED, FILES)
     state.start_upsert_state(source, out, checkpoint, _NOW).awaitTermination()
     schema = S.T.StructType([*S.MESSAGES.fields, S.T.StructField("batch_id", S.T.LongType())])
     return T._table(state.current_state(spark.read.schema(schema).parquet(out)))

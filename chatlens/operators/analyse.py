@@ -13,15 +13,27 @@ from chatlens.sources import schemas as S
 STRICT, LEXICON = "strict", "lexicon"
 
 
-def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``tokens``."""
-    return df.withColumn("tokens", tokens.tokens(F.upper(strip(F.col(text)))))
+# Working columns. Each holds a text or score that several expressions read; as
+# columns of their own they are computed once per row, where an expression
+# repeated inside a conditional would be computed at every mention.
+_BODY, _UPPER, _CLEAN = "_body", "_upper", "_clean"
+_BULL, _BEAR, _KEYWORD, _VERDICT = "_bull", "_bear", "_keyword", "_verdict"
+_WORK = (_BODY, _UPPER, _CLEAN, _BULL, _BEAR, _KEYWORD, _VERDICT, "_from_reply")
 
 
-def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``tokens``, ``is_investment`` and ``topic_key``."""
-    body = strip(F.col(text))
-    return with_tokens(df, text).withColumns(
+def _staged(df: DataFrame, text: str) -> DataFrame:
+    if _BODY in df.columns:
+        return df
+    return df.withColumn(_BODY, strip(F.col(text))).withColumn(_UPPER, F.upper(_BODY))
+
+
+def _tokens(df: DataFrame, text: str) -> DataFrame:
+    return _staged(df, text).withColumn("tokens", tokens.tokens(F.col(_UPPER)))
+
+
+def _flags(df: DataFrame, text: str) -> DataFrame:
+    body = F.col(_BODY)
+    return _tokens(df, text).withColumns(
         {
             "is_investment": tokens.is_investment(F.col("tokens"), body),
             "topic_key": topics.topic_key(F.col("tokens"), body),
@@ -29,62 +41,80 @@ def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _keyword(text: Column) -> Column:
-    low = F.lower(text)
-    return sentiment.keyword_sentiment(sentiment.bullish_score(low), sentiment.bearish_score(low))
-
-
-def with_verdict(df: DataFrame, text: str = "text", mode: str = STRICT) -> DataFrame:
-    """Adds ``sentiment`` and ``confidence`` to a frame that holds
-    ``is_investment`` and, if a model ran, the columns positive, negative, neutral.
-
-    ``strict``: without scores a message stays neutral with confidence zero.
-    ``lexicon``: without scores the keyword families decide alone.
-    """
-    body = strip(F.col(text))
-    label = _keyword(body)
+def _verdict(df: DataFrame, text: str, mode: str) -> DataFrame:
     scored = {"positive", "negative", "neutral"} <= set(df.columns)
+    neutral, nothing = F.lit(V.NEUTRAL), F.lit(None).cast("double")
+    active = F.col("is_investment") & (F.col(_BODY) != "")
+    df = _staged(df, text)
+    if scored or mode == LEXICON:
+        low = F.lower(_BODY)
+        df = df.withColumns(
+            {
+                _BULL: F.when(active, sentiment.bullish_score(low)),
+                _BEAR: F.when(active, sentiment.bearish_score(low)),
+            }
+        ).withColumn(_KEYWORD, sentiment.keyword_sentiment(F.col(_BULL), F.col(_BEAR)))
+    label = F.col(_KEYWORD)
     without_model = (
-        F.struct(F.lit(V.NEUTRAL).alias("sentiment"), F.lit(0.0).alias("confidence"))
+        F.struct(neutral.alias("sentiment"), F.lit(0.0).alias("confidence"))
         if mode == STRICT
-        else sentiment.blend(F.lit(V.NEUTRAL), F.lit(0.0), label)
+        else sentiment.blend(neutral, F.lit(0.0), label)
     )
+    verdict = without_model
     if scored:
         p, n, u = F.col("positive"), F.col("negative"), F.col("neutral")
-        has_scores = p.isNotNull() & n.isNotNull() & u.isNotNull()
         by_model = sentiment.blend(
             sentiment.model_choice(p, n, u), sentiment.model_confidence(p, n, u), label
         )
-        verdict = F.when(has_scores, by_model).otherwise(without_model)
-    else:
-        verdict = without_model
-    idle = F.struct(
-        F.lit(V.NEUTRAL).alias("sentiment"), F.lit(None).cast("double").alias("confidence")
+        verdict = F.when(p.isNotNull() & n.isNotNull() & u.isNotNull(), by_model).otherwise(verdict)
+    idle = F.struct(neutral.alias("sentiment"), nothing.alias("confidence"))
+    return df.withColumn(_VERDICT, F.when(active, verdict).otherwise(idle)).withColumns(
+        {"sentiment": F.col(f"{_VERDICT}.sentiment"), "confidence": F.col(f"{_VERDICT}.confidence")}
     )
-    judged = df.withColumn(
-        "_verdict", F.when(F.col("is_investment") & (body != ""), verdict).otherwise(idle)
-    )
-    return judged.withColumns(
-        {"sentiment": F.col("_verdict.sentiment"), "confidence": F.col("_verdict.confidence")}
-    ).drop("_verdict")
 
 
-def with_key_points(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``key_points``; reads a ``reply`` column where there is one."""
-    from_text = keypoints.text_points(keypoints.clean_text(strip(F.col(text))))
+def _key_points(df: DataFrame, text: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    df = _staged(df, text)
+    wanted = F.col("is_investment")
     if "reply" in df.columns:
         df = df.withColumn("_from_reply", keypoints.reply_points(F.col("reply")))
-        points = keypoints.choose_points(F.col("is_investment"), F.col("_from_reply"), from_text)
-    else:
-        points = F.when(F.col("is_investment"), from_text).otherwise(
-            F.array().cast("array<string>")
-        )
-    return df.withColumn("key_points", points).drop("_from_reply")
+        wanted = wanted & (F.size("_from_reply") == 0)
+    df = df.withColumn(_CLEAN, F.when(wanted, keypoints.clean_text(F.col(_BODY))))
+    from_text = F.when(F.col(_CLEAN).isNotNull(), keypoints.text_points(F.col(_CLEAN))).otherwise(none)
+    if "reply" in df.columns:
+        from_text = keypoints.choose_points(F.col("is_investment"), F.col("_from_reply"), from_text)
+    return df.withColumn("key_points", from_text)
+
+
+def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``tokens``."""
+    return _tokens(df, text).drop(*_WORK)
+
+
+def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``tokens``, ``is_investment`` and ``topic_key``."""
+    return _flags(df, text).drop(*_WORK)
+
+
+def with_verdict(df: DataFrame, text: str = "text", mode: str = STRICT) -> DataFrame:
+    """Adds ``sentiment`` and ``confidence`` to a frame that holds
+    ``is_investment`` and, if a model ran, the columns positive, negative, neutral.
+
+    ``strict``: without scores a message stays neutral with confidence zero.
+    ``lexicon``: without scores the keyword families decide alone.
+    """
+    return _verdict(_staged(df, text), text, mode).drop(*_WORK)
+
+
+def with_key_points(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``key_points``; reads a ``reply`` column where there is one."""
+    return _key_points(df, text).drop(*_WORK)
 
 
 def annotate(df: DataFrame, text: str = "text", mode: str = STRICT) -> DataFrame:
     """All analysis columns beside the input columns, in one pass without a shuffle."""
-    return with_key_points(with_verdict(with_flags(df, text), text, mode), text)
+    return _key_points(_verdict(_flags(df, text), text, mode), text).drop(*_WORK)
 
 
 def analyse(

@@ -49,6 +49,17 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of few, small files as many partitions as there are cores.
+
+    Text functions are bound by processor time, and one small file is one task.
+    A scan that already has a partition per core is left alone, so large
+    tables are never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether a frame has at most ``max_rows`` rows; counts no further."""
     return df.limit(max_rows + 1).count() <= max_rows

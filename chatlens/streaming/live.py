@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from chatlens.functions.vocabulary import MODEL_VERSION
 from chatlens.operators import analyse, upsert
 from chatlens.sources import schemas as S
 from chatlens.sources.tables import ChatTables
@@ -50,17 +51,14 @@ def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int, analyzed_at:
                 mode: str = analyse.STRICT) -> None:
     """Messages, analysis and checkpoints of one batch of messages rows.
 
-    Only the last arrival of a message in the batch is analysed, as its
-    analysis replaces the earlier ones. Edits do not move the checkpoint, and
-    no batch moves it back.
+    Every arrival is analysed where it lies, without a shuffle; reading the
+    analysis table keeps the last one of each message. Edits do not move the
+    checkpoint, and no batch moves it back.
     """
     tables.append("messages", rows, batch_id)
     stored = tables.log("messages").where(F.col("batch_id") == batch_id)
-    last = stored.groupBy(*S.KEY).agg(
-        F.max_by("text", upsert.SEQ).alias("text"), F.max(upsert.SEQ).alias(upsert.SEQ)
-    )
-    done = analyse.annotate(last, mode=mode).withColumns(
-        {"model_version": F.lit(1), "analyzed_at": analyzed_at}
+    done = analyse.annotate(stored.select(*S.KEY, "text", upsert.SEQ), mode=mode).withColumns(
+        {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
     )
     tables.append("analysis", done, batch_id)
     moved = stored.where(F.col("edit_date").isNull()).select("chat_id", "message_id", "ts_utc")
