@@ -14,23 +14,25 @@ def ingest_stats(
     """Rows read, distinct messages, rows analysed, re-scans, and the lag in
     seconds of the least advanced chat.
 
-    Three one-row aggregates, joined on a constant: one row each by
-    construction.
+    Three one-row aggregates, stacked and folded into one row.
     """
-    one = F.lit(1).alias("_one")
+    none = F.lit(None).cast("long")
     keys = arrivals.groupBy(*S.KEY).agg(F.count("*").alias("n"))
-    read = keys.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_read"), F.count("*").alias("messages_ingested")
+    read = keys.agg(F.sum("n").alias("read"), F.count("*").alias("ingested")).select(
+        "read", "ingested", none.alias("analysed"), none.alias("lag")
     )
-    done = analysis.agg(F.count("*").alias("messages_analysed"))
-    lag = F.unix_micros(now) - F.unix_micros(F.min("last_ts_utc"))
-    behind = checkpoints.agg(
-        F.coalesce(F.greatest(F.lit(0.0), lag / F.lit(1e6)), F.lit(0.0)).alias("lag_seconds")
+    done = analysis.agg(F.count("*").alias("analysed")).select(
+        none.alias("read"), none.alias("ingested"), "analysed", none.alias("lag")
     )
-    return (
-        read.select("*", one)
-        .join(done.select("*", one), "_one")
-        .join(behind.select("*", one), "_one")
-        .drop("_one")
-        .withColumn("rescans", F.lit(rescans).cast("long"))
+    behind = checkpoints.agg(
+        (F.unix_micros(now) - F.unix_micros(F.min("last_ts_utc"))).alias("lag")
+    ).select(none.alias("read"), none.alias("ingested"), none.alias("analysed"), "lag")
+    zero = F.lit(0).cast("long")
+    total = lambda c: F.coalesce(F.max(c), zero)
+    return read.unionByName(done).unionByName(behind).agg(
+        total("read").alias("rows_read"),
+        total("ingested").alias("messages_ingested"),
+        total("analysed").alias("messages_analysed"),
+        F.greatest(F.lit(0.0), total("lag") / F.lit(1e6)).alias("lag_seconds"),
+        F.lit(rescans).cast("long").alias("rescans"),
     )
