@@ -43,12 +43,15 @@ def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def with_sender(raw: DataFrame, users: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def with_sender(
+    raw: DataFrame, users: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+    keys_from: DataFrame | None = None,
+) -> DataFrame:
     """Adds ``handle``: that of a sender who is a user and has one."""
     handles = users.where((F.col("kind") == "user") & (F.col("username") != "")).select(
         F.col("user_id").alias("sender_id"), F.col("username").alias("handle")
     )
-    return lookup(raw, handles, ["sender_id"], ["chat_id", "id"], max_rows)
+    return lookup(raw, handles, ["sender_id"], ["chat_id", "id"], max_rows, keys_from=keys_from)
 
 
 def with_forward(raw: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -73,7 +76,8 @@ def normalise(
     raw: DataFrame, users: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """Messages rows, with ``ingest_seq`` carried along if the source has it."""
-    joined = with_forward(with_sender(with_text(raw), users, max_rows), entities, max_rows)
+    texts = with_text(raw)
+    joined = with_sender(with_forward(texts, entities, max_rows), users, max_rows, keys_from=texts)
     rows = joined.withColumn("_split", author_split(F.col("message"))).select(
         "chat_id",
         F.col("id").alias("message_id"),

@@ -69,6 +69,11 @@ class ChatTables:
         """All batches; ``batch_id`` is a partition column, so tails prune folders."""
         return self._read(self._log(name), _with_batch(_FOLDS[name][0]))
 
+    def batch(self, name: str, batch_id: int) -> DataFrame:
+        """Rows of one batch, without listing the folders of all the others."""
+        schema = T.StructType(_with_batch(_FOLDS[name][0]).fields[:-1])
+        return self._read(f"{self._log(name)}/batch_id={batch_id}", schema)
+
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(path)

@@ -19,6 +19,9 @@ from chatlens.operators import analyse, upsert
 from chatlens.sources import schemas as S
 from chatlens.sources.tables import ChatTables
 
+# Batches between compactions of the small table that every batch reads.
+COMPACT_EVERY = 100
+
 Prepare = Callable[[DataFrame], DataFrame]
 
 
@@ -56,7 +59,7 @@ def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int, analyzed_at:
     checkpoint, and no batch moves it back.
     """
     tables.append("messages", rows, batch_id)
-    stored = tables.log("messages").where(F.col("batch_id") == batch_id)
+    stored = tables.batch("messages", batch_id)
     done = analyse.annotate(stored.select(*S.KEY, "text", upsert.SEQ), mode=mode).withColumns(
         {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
     )
@@ -72,6 +75,8 @@ def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int, analyzed_at:
     tables.append(
         "ingest_checkpoint", advanced.withColumn(upsert.SEQ, F.col("last_message_id")), batch_id
     )
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        tables.compact("ingest_checkpoint")
 
 
 def start_ingest(

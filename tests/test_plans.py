@@ -46,6 +46,7 @@ def test_report_filters_and_columns_reach_the_scan(spark, sf):
     frame = relational.report_frame(m, a, 1, I.at("2024-01-02 00:00:00"), I.at("2024-01-03 00:00:00"))
     plan = plan_of(frame.agg(F.count_if("is_investment")))
     assert "GreaterThanOrEqual(ts_utc" in plan and "EqualTo(chat_id,1)" in plan
+    assert "GreaterThanOrEqual(message_id" in plan and "LessThanOrEqual(message_id" in plan
     schemas = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
     assert all("text" not in s and "key_points" not in s for s in schemas)
 
