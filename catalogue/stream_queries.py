@@ -125,6 +125,7 @@ def stream_edits(spark, sf):
 @query(f"WITH {I.MESSAGES_SQL} SELECT chat_id, message_id, edit_date, text FROM messages")
 def stream_dedupe(spark, sf):
     """Every part holds each of its messages twice; one of them survives."""
+    state.use_disk_state(spark)
     folder, checkpoint = scratch_folder(spark, "source"), scratch_folder(spark, "progress")
     out = scratch_folder(spark, "deduped")
     rows = S.conform(I.messages(spark, sf), _STREAMED)
@@ -145,6 +146,7 @@ def stream_dedupe(spark, sf):
 @query(_MERGED)
 def stream_state(spark, sf):
     """The messages table kept as streaming state."""
+    state.use_disk_state(spark)
     folder, checkpoint = scratch_folder(spark, "source"), scratch_folder(spark, "progress")
     out = scratch_folder(spark, "state")
     _write(_parts(S.conform(I.arrivals(spark, sf), _STREAMED)), folder)

@@ -413,6 +413,21 @@ def rescan_analysis(spark, sf):
     return _analysis(analysis)
 
 
+@query(
+    f"""WITH {M}, {A}, seen AS (SELECT * FROM arrivals WHERE ingest_seq < 3000000000000 OR {_WINDOW}),
+{_merge_sql(_EDIT_RULE, 'seen')}"""
+)
+def rescan_tables(spark, sf):
+    """The same re-reading done on stored tables, by appending."""
+    arrivals = I.arrivals(spark, sf)
+    tables = ChatTables(spark, scratch_folder(spark, "tables"))
+    live.write_batch(tables, _early(arrivals), 0, I.at(I.NOW))
+    rescan.rescan_tables(
+        tables, arrivals, I.at("2024-01-10 00:00:00"), I.at("2024-01-20 00:00:00"), I.at("2024-02-01 00:00:00")
+    )
+    return _table(tables.current("messages"))
+
+
 @query(
     f"""WITH {M}, {A} SELECT chat_id, message_id, edit_date FROM arrivals
 WHERE ts_utc BETWEEN TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 120 MINUTE AND TIMESTAMP '2024-01-20 00:00:00'"""

@@ -9,6 +9,8 @@ from chatlens.functions.vocabulary import OVERLAP_MINUTES
 from chatlens.operators import analyse, relational, upsert
 from chatlens.sources import scans
 from chatlens.sources import schemas as S
+from chatlens.sources.tables import ChatTables
+from chatlens.streaming import live
 
 
 def overlap_window(arrivals: DataFrame, now: Column, minutes: int = OVERLAP_MINUTES) -> DataFrame:
@@ -40,3 +42,23 @@ def reanalyse_edited(
     texts = messages.select(*S.KEY, "text").join(stale, S.KEY, "left_semi")
     fresh = analyse.analyse(texts, analyzed_at, mode=mode)
     return upsert.merge_latest(analysis, fresh.withColumn(upsert.SEQ, F.lit(0).cast("long")))
+
+
+def rescan_tables(
+    tables: ChatTables, arrivals: DataFrame, start, end, analyzed_at: Column,
+    mode: str = analyse.STRICT,
+) -> None:
+    """Re-read start..end of the source into stored tables, then re-analyse edits.
+
+    Only the re-read rows and the re-analysed ones are written, as lanes after
+    the last batch; no table is rewritten.
+    """
+    batch, lane = tables.last_place("messages") or (0, 0)
+    live.write_batch(
+        tables, scans.by_time(arrivals, start, end), batch, analyzed_at, mode, lane + 1
+    )
+    messages = tables.current("messages")
+    stale = relational.needs_reanalysis(messages, tables.current("analysis")).select(*S.KEY)
+    texts = messages.select(*S.KEY, "text").join(stale, S.KEY, "left_semi")
+    fresh = analyse.analyse(texts, analyzed_at, mode=mode)
+    tables.append("analysis", fresh.withColumn(upsert.SEQ, F.lit(0).cast("long")), batch, lane + 2)

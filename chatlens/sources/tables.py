@@ -1,8 +1,11 @@
 """Parquet tables of a chat store: appended batches, folded on read.
 
-Every batch goes to its own folder, named by its number, and writing it again
-replaces exactly that folder: a restarted stream leaves no duplicates. The
-current state of a table is the upsert fold over its base and the batches
+Every batch goes to its own folder, named by its number and lane, and writing
+it again replaces exactly that folder: a restarted stream leaves no duplicates.
+The stream writes lane 0; work done between its batches, such as a re-scan,
+takes the next lane of the last batch and so counts as arriving after it.
+
+The current state of a table is the upsert fold over its base and the batches
 since; ``compact`` makes a new base, so the fold only ever reads the tail.
 Nothing is overwritten while it may be read.
 """
@@ -17,8 +20,9 @@ from pyspark.sql import types as T
 from chatlens.operators import upsert
 from chatlens.sources import schemas as S
 
-# Arrivals are ordered by batch, then by place in it.
-ORDER = ["batch_id", upsert.SEQ]
+# Arrivals are ordered by batch and lane, then by place in it.
+PLACE = ["batch_id", "lane"]
+ORDER = [*PLACE, upsert.SEQ]
 
 
 def _edit_rule(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,10 +41,16 @@ _FOLDS = {
 }
 
 
-def _with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType(
-        [*schema.fields, T.StructField(upsert.SEQ, T.LongType()), T.StructField("batch_id", T.LongType())]
-    )
+def _stored(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(upsert.SEQ, T.LongType())])
+
+
+def _logged(schema: T.StructType) -> T.StructType:
+    return T.StructType([*_stored(schema).fields, *[T.StructField(c, T.LongType()) for c in PLACE]])
+
+
+def _folder(place: tuple[int, int]) -> str:
+    return f"batch_id={place[0]}/lane={place[1]}"
 
 
 class ChatTables:
@@ -59,20 +69,25 @@ class ChatTables:
     def _versions(self, name: str) -> str:
         return f"{self.root}/{name}/versions"
 
-    def append(self, name: str, rows: DataFrame, batch_id: int) -> None:
+    def append(self, name: str, rows: DataFrame, batch_id: int, lane: int = 0) -> None:
         """Write one batch; the same number again replaces it."""
-        schema = _FOLDS[name][0]
-        out = S.conform(rows, T.StructType(_with_batch(schema).fields[:-1]))
-        out.write.mode("overwrite").parquet(f"{self._log(name)}/batch_id={batch_id}")
+        out = S.conform(rows, _stored(_FOLDS[name][0]))
+        out.write.mode("overwrite").parquet(f"{self._log(name)}/{_folder((batch_id, lane))}")
 
     def log(self, name: str) -> DataFrame:
-        """All batches; ``batch_id`` is a partition column, so tails prune folders."""
-        return self._read(self._log(name), _with_batch(_FOLDS[name][0]))
+        """All batches; number and lane are partition columns, so tails prune folders."""
+        return self._read(self._log(name), _logged(_FOLDS[name][0]))
 
-    def batch(self, name: str, batch_id: int) -> DataFrame:
+    def batch(self, name: str, batch_id: int, lane: int = 0) -> DataFrame:
         """Rows of one batch, without listing the folders of all the others."""
-        schema = T.StructType(_with_batch(_FOLDS[name][0]).fields[:-1])
-        return self._read(f"{self._log(name)}/batch_id={batch_id}", schema)
+        return self._read(
+            f"{self._log(name)}/{_folder((batch_id, lane))}", _stored(_FOLDS[name][0])
+        )
+
+    def last_place(self, name: str) -> tuple[int, int] | None:
+        """Number and lane of the newest batch."""
+        place = self.log(name).agg(F.max(F.struct(*PLACE)).alias("p")).first().p
+        return None if place is None else tuple(place)
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         try:
@@ -82,20 +97,25 @@ class ChatTables:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _base_version(self, name: str) -> int | None:
-        rows = self._read(self._versions(name), T.StructType([T.StructField("version", T.LongType())]))
-        return rows.agg(F.max("version")).first()[0]
+    def _base_place(self, name: str) -> tuple[int, int] | None:
+        pointers = self._read(
+            self._versions(name), T.StructType([T.StructField(c, T.LongType()) for c in PLACE])
+        )
+        place = pointers.agg(F.max(F.struct(*PLACE)).alias("p")).first().p
+        return None if place is None else tuple(place)
 
     def current(self, name: str) -> DataFrame:
         """State of a table now."""
         schema, fold, keys = _FOLDS[name]
         tail = self.log(name)
-        version = self._base_version(name)
-        if version is not None:
-            base = self._read(f"{self._bases(name)}/version={version}", schema).withColumns(
+        place = self._base_place(name)
+        if place is not None:
+            base = self._read(f"{self._bases(name)}/{_folder(place)}", schema).withColumns(
                 {c: F.lit(upsert.STORED_SEQ).cast("long") for c in ORDER}
             )
-            tail = tail.where(F.col("batch_id") > version).unionByName(base)
+            batch, lane = F.col("batch_id"), F.col("lane")
+            newer = (batch > place[0]) | ((batch == place[0]) & (lane > place[1]))
+            tail = tail.where(newer).unionByName(base)
         return S.conform(fold(tail, keys), schema)
 
     def compact(self, name: str) -> None:
@@ -105,18 +125,19 @@ class ChatTables:
         times, so time ranges skip row groups; a busy chat spreads over many
         files because the range is cut by chat and id together.
         """
-        last = self.log(name).agg(F.max("batch_id")).first()[0]
-        if last is None or last == self._base_version(name):
+        last = self.last_place(name)
+        if last is None or last == self._base_place(name):
             return
         keys = _FOLDS[name][2]
         (
             self.current(name).repartitionByRange(*keys).sortWithinPartitions(*keys)
-            .write.mode("overwrite").parquet(f"{self._bases(name)}/version={last}")
+            .write.mode("overwrite").parquet(f"{self._bases(name)}/{_folder(last)}")
         )
         # Readers follow this pointer, written only once the base is complete.
-        self.spark.range(1).select(F.lit(last).cast("long").alias("version")).write.mode("append").parquet(
-            self._versions(name)
+        pointer = self.spark.range(1).select(
+            *[F.lit(v).cast("long").alias(c) for c, v in zip(PLACE, last)]
         )
+        pointer.write.mode("append").parquet(self._versions(name))
 
     def snapshot(self, name: str, path: str) -> None:
         """Copy of the current state; an existing one is never overwritten."""

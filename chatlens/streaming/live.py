@@ -51,19 +51,19 @@ def split_bad(lines: DataFrame, schema: T.StructType = S.RAW_MESSAGE, column: st
 
 
 def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int, analyzed_at: Column,
-                mode: str = analyse.STRICT) -> None:
+                mode: str = analyse.STRICT, lane: int = 0) -> None:
     """Messages, analysis and checkpoints of one batch of messages rows.
 
     Every arrival is analysed where it lies, without a shuffle; reading the
     analysis table keeps the last one of each message. Edits do not move the
     checkpoint, and no batch moves it back.
     """
-    tables.append("messages", rows, batch_id)
-    stored = tables.batch("messages", batch_id)
+    tables.append("messages", rows, batch_id, lane)
+    stored = tables.batch("messages", batch_id, lane)
     done = analyse.annotate(stored.select(*S.KEY, "text", upsert.SEQ), mode=mode).withColumns(
         {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
     )
-    tables.append("analysis", done, batch_id)
+    tables.append("analysis", done, batch_id, lane)
     moved = stored.where(F.col("edit_date").isNull()).select("chat_id", "message_id", "ts_utc")
     before = tables.current("ingest_checkpoint").select(
         "chat_id", F.col("last_message_id").alias("message_id"), F.col("last_ts_utc").alias("ts_utc")
@@ -73,7 +73,7 @@ def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int, analyzed_at:
         analyzed_at,
     )
     tables.append(
-        "ingest_checkpoint", advanced.withColumn(upsert.SEQ, F.col("last_message_id")), batch_id
+        "ingest_checkpoint", advanced.withColumn(upsert.SEQ, F.col("last_message_id")), batch_id, lane
     )
     if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
         tables.compact("ingest_checkpoint")

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from chatlens.operators import upsert
 
 
+# Keeps streaming state on local disk with changes logged to the checkpoint,
+# instead of in executor memory.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def use_disk_state(spark: SparkSession) -> None:
+    """For queries started from now on; needed once state outgrows memory."""
+    for name, value in DISK_STATE.items():
+        spark.conf.set(name, value)
+
+
 def start_upsert_state(
     arrivals: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalogue import inputs as I
 from chatlens.operators import analyse, upsert
+from chatlens.plans import rescan
 from chatlens.sources import schemas as S
 from chatlens.sources.session import scratch_folder
 from chatlens.sources.tables import ChatTables
@@ -55,3 +56,30 @@ def test_bad_lines_are_set_aside(spark):
     good, bad = live.split_bad(lines)
     assert [(r.id, r.message) for r in good.collect()] == [(2, "hi")]
     assert sorted(r.reason for r in bad.collect()) == ["no date", "not readable", "not readable", "not readable"]
+
+
+def test_rescan_after_compaction_is_not_lost(spark, sf):
+    arrivals = I.arrivals(spark, sf)
+    tables = ChatTables(spark, scratch_folder(spark, "t"))
+    first = F.col("ingest_seq") < 3_000_000_000_000
+    live.write_batch(tables, arrivals.where(first), 0, I.at("2024-01-01 00:00:00"), analyse.LEXICON)
+    tables.compact("messages")
+    tables.compact("analysis")
+    span = I.at("2024-01-01 00:00:00"), I.at("2024-02-01 00:00:00")
+    for day in ("2024-02-01", "2024-02-02"):
+        rescan.rescan_tables(tables, arrivals, *span, I.at(f"{day} 00:00:00"), analyse.LEXICON)
+        want = _rows(S.conform(upsert.fold_messages(arrivals), S.MESSAGES))
+        assert _rows(tables.current("messages")) == want
+        stamps = tables.current("analysis").select(F.col("analyzed_at").cast("string")).distinct().collect()
+        assert [r[0] for r in stamps] == [f"{day} 00:00:00"]
+        tables.compact("messages")
+
+
+def test_edits_after_an_analysis_are_found_and_redone(spark, sf):
+    rows = S.conform(I.messages(spark, sf), S.MESSAGES).withColumn("ingest_seq", F.col("message_id"))
+    tables = ChatTables(spark, scratch_folder(spark, "t"))
+    live.write_batch(tables, rows, 0, I.at("2024-01-01 00:00:00"))
+    nothing = I.at("2030-01-01 00:00:00"), I.at("2030-01-02 00:00:00")
+    rescan.rescan_tables(tables, rows, *nothing, I.at("2024-03-01 00:00:00"))
+    redone = tables.current("analysis").where(F.col("analyzed_at") == I.at("2024-03-01 00:00:00"))
+    assert redone.count() == rows.where(F.col("edit_date").isNotNull()).count()
