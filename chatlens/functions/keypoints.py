@@ -54,56 +54,57 @@ def performance_points(cleaned: Column) -> Column:
     return _matches(cleaned, V.PERFORMANCE_PATTERNS, V.PERFORMANCE_LENGTHS)
 
 
-def _contexts(cleaned: Column, pattern: str) -> Column:
-    """Every hit of ``pattern`` with up to 15 characters on either side.
+def _finds(cleaned: Column, pattern: str) -> Column:
+    """Gaps before, hits, and right-hand neighbours of a pattern; null if it is absent.
+
+    Right-hand characters come from a look-ahead, which consumes none.
+    """
+    hit = fill(pattern)
+    beyond = f"(?:{hit})(?=([\\s\\S]{{0,{V.CATALYST_CONTEXT}}}))"
+    return F.when(
+        cleaned.rlike(hit),
+        F.struct(
+            F.split(cleaned, hit).alias("gaps"),
+            F.regexp_extract_all(cleaned, F.lit(hit), F.lit(0)).alias("hits"),
+            F.regexp_extract_all(cleaned, F.lit(beyond), F.lit(1)).alias("after"),
+        ),
+    )
+
+
+def _contexts(f: Column) -> Column:
+    """Every hit with up to 15 characters on either side.
 
     The text before a hit is the gap since the previous hit, and, where that
     gap is short, the tail of what precedes it. Hits have seven letters or
     more, so three earlier pieces always hold 15 characters; each hit thus
     looks at a fixed number of neighbours and a text with many hits stays
-    linear. Right-hand characters come from a look-ahead, which consumes none.
+    linear.
     """
-    hit = fill(pattern)
     width = V.CATALYST_CONTEXT
-    found = F.struct(
-        F.split(cleaned, hit).alias("gaps"),
-        F.regexp_extract_all(cleaned, F.lit(hit), F.lit(0)).alias("hits"),
-        F.regexp_extract_all(
-            cleaned, F.lit(f"(?:{hit})(?=([\\s\\S]{{0,{width}}}))"), F.lit(1)
-        ).alias("after"),
+    n = F.size(f["hits"])
+    gaps = F.slice(f["gaps"], F.lit(1), n)
+    padded = F.concat(
+        F.array_repeat(F.lit(""), 3), F.zip_with(gaps, f["hits"], lambda g, h: F.concat(g, h))
     )
 
     def context(r: Column) -> Column:
         before = F.concat(r["p3"], r["p2"], r["p1"], r["gap"])
         return strip(F.concat(F.substring(before, -width, width), r["hit"], r["after"]))
 
-    def contexts(f: Column) -> Column:
-        n = F.size(f["hits"])
-        gaps = F.slice(f["gaps"], F.lit(1), n)
-        padded = F.concat(
-            F.array_repeat(F.lit(""), 3), F.zip_with(gaps, f["hits"], lambda g, h: F.concat(g, h))
-        )
-        return let(
-            padded,
-            lambda p: F.transform(
-                F.arrays_zip(
-                    gaps.alias("gap"), f["hits"].alias("hit"), f["after"].alias("after"),
-                    F.slice(p, F.lit(1), n).alias("p3"), F.slice(p, F.lit(2), n).alias("p2"),
-                    F.slice(p, F.lit(3), n).alias("p1"),
-                ),
-                context,
-            ),
+    def neighbours(p: Column) -> Column:
+        return F.arrays_zip(
+            gaps.alias("gap"), f["hits"].alias("hit"), f["after"].alias("after"),
+            F.slice(p, F.lit(1), n).alias("p3"), F.slice(p, F.lit(2), n).alias("p2"),
+            F.slice(p, F.lit(3), n).alias("p1"),
         )
 
-    return F.when(cleaned.rlike(hit), let(found, contexts)).otherwise(F.array().cast(_EMPTY))
+    return let(padded, lambda p: F.transform(neighbours(p), context))
 
 
 def catalyst_points(cleaned: Column) -> Column:
     any_hit = "|".join(fill(p) for p in V.CATALYST_PATTERNS)
-    found = F.filter(
-        F.concat(*[_contexts(cleaned, p) for p in V.CATALYST_PATTERNS]),
-        _between(V.CATALYST_LENGTHS),
-    )
+    finds = F.array_compact(F.array(*[_finds(cleaned, p) for p in V.CATALYST_PATTERNS]))
+    found = F.filter(F.flatten(F.transform(finds, _contexts)), _between(V.CATALYST_LENGTHS))
     return F.when(cleaned.rlike(any_hit), found).otherwise(F.array().cast(_EMPTY))
 
 
