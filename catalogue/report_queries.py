@@ -95,7 +95,7 @@ UNION ALL SELECT 'summary', 2, 'investment', investment_messages, {_pct('investm
 UNION ALL SELECT 'sentiment', 1, 'BULLISH', bullish, {_pct('bullish', 'investment_messages')} FROM sums
 UNION ALL SELECT 'sentiment', 2, 'BEARISH', bearish, {_pct('bearish', 'investment_messages')} FROM sums
 UNION ALL SELECT 'sentiment', 3, 'NEUTRAL', neutral, {_pct('neutral', 'investment_messages')} FROM sums
-UNION ALL SELECT 'tokens', r, token, n, NULL FROM top WHERE r <= 5"""
+UNION ALL SELECT 'tokens', r::INTEGER, token, n, NULL FROM top WHERE r <= 5"""
 
 
 @query(f"WITH {FRAME}, {_report_sql('frame')}")
@@ -144,18 +144,19 @@ def report_pct(spark, sf):
 
 
 @query(
-    f"""WITH {WHOLE}, h AS (SELECT *, date_trunc('hour', ts_utc) AS hour FROM whole),
-r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, hour ORDER BY ts_utc DESC, message_id DESC) AS rank,
-  count(*) OVER (PARTITION BY chat_id, hour) AS size FROM h)
-SELECT chat_id, hour, rank::INTEGER AS rank, strftime(ts_utc, '%m-%d %H:%M') AS at,
+    f"""WITH {WHOLE}, h AS (SELECT *, date_trunc('day', ts_utc)::TIMESTAMP AS day FROM whole),
+r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, day, from_username ORDER BY ts_utc DESC, message_id DESC) AS rank,
+  count(*) OVER (PARTITION BY chat_id, day, from_username) AS size FROM h)
+SELECT chat_id, day, from_username, rank::INTEGER AS rank, strftime(ts_utc, '%m-%d %H:%M') AS at,
   coalesce(from_username, 'Unknown') AS author, sentiment,
   array_to_string(list_transform(list_slice(tokens, 1, 3), lambda t: '$' || t), ', ') AS marks,
   CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS preview
 FROM r WHERE size <= 10 AND rank <= 5"""
 )
 def message_preview(spark, sf):
-    frame = whole_frame(spark, sf).withColumn("hour", F.date_trunc("hour", "ts_utc"))
-    return report.previews(frame, ["chat_id", "hour"]).withColumn("hour", I.ntz("hour"))
+    """Previews of every author's day; those without an author are one large group."""
+    frame = whole_frame(spark, sf).withColumn("day", F.date_trunc("day", "ts_utc"))
+    return report.previews(frame, ["chat_id", "day", "from_username"]).withColumn("day", I.ntz("day"))
 
 
 MENTIONS = f"""{WHOLE}, mentions AS (
