@@ -137,20 +137,6 @@ def model_sentiment(spark, sf):
     return done.select(*S.KEY, "sentiment", "confidence")
 
 
-def _length_model():
-    """Stand-in for a real model: scores that depend on the text's length only."""
-    import pandas as pd
-
-    def score(texts):
-        n = texts.str.len()
-        return pd.DataFrame(
-            {"positive": n * 37 % 101 / 100.0, "negative": n * 53 % 101 / 100.0,
-             "neutral": n * 29 % 101 / 100.0}
-        )
-
-    return score
-
-
 @query(
     f"""WITH {M}, {Q.annotated('a', 'messages', 'message_id')},
 n AS (SELECT *, length(substring({Q.strip('text')}, 1, 400)) AS len FROM a),
@@ -162,8 +148,23 @@ c AS (SELECT *, greatest(positive, negative, neutral) AS best,
 {_MODEL}"""
 )
 def model_sentiment_udf(spark, sf):
+    """A stand-in for a real model: scores that depend on the text's length only."""
+
+    # Defined here so that it travels to the executors by value.
+    def load():
+        import pandas as pd
+
+        def score(texts):
+            n = texts.str.len()
+            return pd.DataFrame(
+                {"positive": n * 37 % 101 / 100.0, "negative": n * 53 % 101 / 100.0,
+                 "neutral": n * 29 % 101 / 100.0}
+            )
+
+        return score
+
     flagged = analyse.with_flags(I.messages(spark, sf).select(*S.KEY, "text"))
-    scored = scoring.with_scores(flagged, lambda: _length_model())
+    scored = scoring.with_scores(flagged, load)
     return analyse.with_verdict(scored).select(*S.KEY, "sentiment", "confidence")
 
 
