@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from chatlens.llm import mixing, sharding
+from chatlens.llm import mixing, sharding, simhash, toxicity
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1,
         "op3_sharding": sharding.op3,
+        "op4_simhash": simhash.op4,
+        "op8_toxicity": toxicity.op8,
     }
 
 
