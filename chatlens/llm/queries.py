@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlens.llm import mixing, sharding, simhash, toxicity
+from chatlens.llm import decontamination, mixing, sharding, simhash, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_sharding": sharding.op3,
         "op4_simhash": simhash.op4,
         "op8_toxicity": toxicity.op8,
+        "op9_decontamination": decontamination.op9,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql():
     return {
         "op1_mixing": mixing.OP1_SQL,
         "op3_sharding": sharding.OP3_SQL,
+        "op9_decontamination": decontamination.OP9_SQL,
     }
