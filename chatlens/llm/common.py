@@ -56,6 +56,14 @@ def small_or_whole(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+_KEEP = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-case words: runs of ASCII letters and digits and of all other code points."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlens.llm import decontamination, mixing, sharding, simhash, toxicity
+from chatlens.llm import decontamination, mixing, quality_rules, sharding, simhash, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_simhash": simhash.op4,
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontamination.op9,
+        "op10_quality_rules": quality_rules.op10,
     }
 
 

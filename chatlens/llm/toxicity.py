@@ -28,14 +28,6 @@ STEMS = (4, 5, 6, 7)
 #: Words whose score a task remembers.
 CACHE = 500_000
 
-_KEEP = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(256))
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-case words: runs of ASCII letters and digits and of all other code points."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
-
-
 def with_stems(words) -> set[bytes]:
     """The words and their proper beginnings, marked by a star."""
     out = set(words)
@@ -98,7 +90,7 @@ def _measured(text, model, known: WordScores):
 
     The k-th time that a text uses a word counts 1/k^2: repeats are not independent.
     """
-    words = tokens(text)
+    words = common.plain_words(text)
     hits, times = [], {}
     for i, s in enumerate(map(known.__getitem__, words)):
         if s is not None:
@@ -149,7 +141,7 @@ def fit(sample: DataFrame) -> dict | None:
         for batch in batches:
             sums: dict[bytes, list[int]] = {}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                for w in with_stems(tokens(text)):
+                for w in with_stems(common.plain_words(text)):
                     sums.setdefault(w, [0, 0])[label == 1] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*sums], pa.binary()), pa.array([c[0] for c in sums.values()], pa.int64()),
