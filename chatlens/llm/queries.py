@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from chatlens.llm import decontamination, mixing, quality_rules, sharding, simhash, toxicity
+from chatlens.llm import decontamination, language, mixing, quality_net, quality_rules, sharding, simhash, toxicity
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1,
+        "op2_language": language.op2,
         "op3_sharding": sharding.op3,
         "op4_simhash": simhash.op4,
+        "op5_quality_net": quality_net.op5,
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontamination.op9,
         "op10_quality_rules": quality_rules.op10,
