@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlens.llm import decontamination, language, mixing, quality_net, quality_rules, sharding, simhash, toxicity
+from chatlens.llm import decontamination, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_sharding": sharding.op3,
         "op4_simhash": simhash.op4,
         "op5_quality_net": quality_net.op5,
+        "op7_substrings": substrings.op7,
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontamination.op9,
         "op10_quality_rules": quality_rules.op10,
@@ -22,5 +23,6 @@ def oracle_sql():
     return {
         "op1_mixing": mixing.OP1_SQL,
         "op3_sharding": sharding.OP3_SQL,
+        "op7_substrings": substrings.OP7_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
     }
