@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlens.llm import decontamination, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity
+from chatlens.llm import decontamination, html_template, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_sharding": sharding.op3,
         "op4_simhash": simhash.op4,
         "op5_quality_net": quality_net.op5,
+        "op6_html_template": html_template.op6,
         "op7_substrings": substrings.op7,
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontamination.op9,
