@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlens.llm import common
 
@@ -72,9 +73,8 @@ def fingerprinted(docs: DataFrame, columns: list[str], words: int = WORDS) -> Da
             fps = [fingerprint(t, words) for t in table.column("text").to_pylist()]
             yield from table.drop_columns(["text"]).append_column("fp", pa.array(fps, pa.int64())).to_batches()
 
-    kept = docs.select(*columns)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, fp long"
-    return docs.select(*columns, "text").mapInArrow(run, schema.lstrip(", "))
+    schema = T.StructType(list(docs.select(*columns).schema.fields)).add("fp", "long")
+    return docs.select(*columns, "text").mapInArrow(run, schema)
 
 
 def _pivots(n: int) -> np.ndarray:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlens.llm import common
 
@@ -243,9 +244,9 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
             rows = table.append_column("score", pa.array(scores, pa.float64())).append_column("passages", pa.array(passages, kind))
             yield from rows.to_batches()
 
-    added = "score double, passages array<struct<first:int,last:int,score:double,text:string>>"
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{own}, {added}")
+    passage = T.StructType().add("first", "int").add("last", "int").add("score", "double").add("text", "string")
+    schema = T.StructType(list(docs.schema.fields)).add("score", "double").add("passages", T.ArrayType(passage))
+    return docs.mapInArrow(run, schema)
 
 
 def model_for(docs: DataFrame, labels: DataFrame) -> dict | None:
