@@ -73,7 +73,7 @@ def fingerprinted(docs: DataFrame, columns: list[str], words: int = WORDS) -> Da
             fps = [fingerprint(t, words) for t in table.column("text").to_pylist()]
             yield from table.drop_columns(["text"]).append_column("fp", pa.array(fps, pa.int64())).to_batches()
 
-    schema = T.StructType(list(docs.select(*columns).schema.fields)).add("fp", "long")
+    schema = T.StructType(list(docs.select(*columns).schema.fields)).add("fp", T.LongType())
     return docs.select(*columns, "text").mapInArrow(run, schema)
 
 

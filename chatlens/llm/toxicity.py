@@ -244,8 +244,8 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
             rows = table.append_column("score", pa.array(scores, pa.float64())).append_column("passages", pa.array(passages, kind))
             yield from rows.to_batches()
 
-    passage = T.StructType().add("first", "int").add("last", "int").add("score", "double").add("text", "string")
-    schema = T.StructType(list(docs.schema.fields)).add("score", "double").add("passages", T.ArrayType(passage))
+    passage = T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType()).add("score", T.DoubleType()).add("text", T.StringType())
+    schema = T.StructType(list(docs.schema.fields)).add("score", T.DoubleType()).add("passages", T.ArrayType(passage))
     return docs.mapInArrow(run, schema)
 
 
