@@ -14,18 +14,20 @@ from chatlens.llm import common
 
 #: Labelled documents to fit on, about; all of them if there are fewer.
 MAX_TRAIN = 12_000
-#: Dirichlet prior of a word: a flat part, and a part by background frequency (its sum over all words).
+#: Dirichlet prior of a word: a flat part, and a part by background frequency, as a share of all counts.
 FLAT_PRIOR = 0.5
-PRIOR = 500.0
-#: Standard errors that a word's log-odds must lie from zero to count.
-MIN_Z = 3.3
-MIN_TOXIC = 3
+PRIOR_SHARE = 0.002
+#: Root of the likelihood ratio against equal use that a word must reach to count, and its toxic documents.
+MIN_Z = 4.5
+MIN_TOXIC = 4
 THRESHOLD = 0.5
 #: Chance of so high a segment in a clean text below which a passage is reported.
 PASSAGE_P = 0.01
 
 #: Bytes of the word beginnings that count as tokens beside the word, so that inflected forms share evidence.
 STEMS = (4, 5, 6, 7)
+#: Surprise (in nats) beyond which a segment is no stronger evidence.
+MAX_SURPRISE = 12.0
 #: Words whose score a task remembers.
 CACHE = 500_000
 
@@ -129,8 +131,33 @@ def held_out_part(parts: int, rest: int):
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts) == rest
 
 
+def _logistic(x: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the most likely logistic curve, by Newton steps that must gain."""
+    y = positive.astype(float)
+    at = np.array([math.log(max(y.sum(), 1) / max((1 - y).sum(), 1)), 0.0])
+
+    def loss(v):
+        z = v[0] + v[1] * x
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.005 * v[1] ** 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(at[0] + at[1] * x)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(y - p).sum(), ((y - p) * x).sum() - 0.01 * at[1]])
+        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.01]])
+        step, now = np.linalg.solve(h, g), loss(at)
+        while loss(at + step) > now and abs(step).max() > 1e-9:
+            step = step / 2
+        at = at + step
+        if abs(step).max() < 1e-6:
+            break
+    return float(at[0]), float(at[1])
+
+
 def fit(sample: DataFrame) -> dict | None:
-    """Model from ``text, label``: word scores, drift, and the calibration. None without both classes.
+    """Model from ``text, label``: word scores, drift, and the calibration.
+
+    None without both classes or without any telling word.
 
     In how many documents of each class a word stands is summed up in Spark (a
     word that one document repeats says little); only words whose log-odds lie ``MIN_Z`` standard errors from zero reach the driver, a number
@@ -156,18 +183,27 @@ def fit(sample: DataFrame) -> dict | None:
     n_clean, n_toxic = counts.agg(F.sum("clean"), F.sum("toxic")).first()
     if not n_clean or not n_toxic:
         return None
-    share = F.lit(FLAT_PRIOR) + F.lit(PRIOR / (n_clean + n_toxic)) * (F.col("clean") + F.col("toxic"))
+    share = F.lit(FLAT_PRIOR) + F.lit(PRIOR_SHARE) * (F.col("clean") + F.col("toxic"))
+    strength = PRIOR_SHARE * (n_clean + n_toxic)
 
     def odds(y, n):
-        return F.log((y + share) / (F.lit(n + PRIOR) - y - share))
+        return F.log((y + share) / (F.lit(n + strength) - y - share))
 
     delta = odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)
-    z = delta / F.sqrt(1 / (F.col("toxic") + share) + 1 / (F.col("clean") + share))
+    part = F.lit(n_toxic / (n_clean + n_toxic)) * (F.col("clean") + F.col("toxic"))
+
+    def excess(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    ratio = 2 * (excess(F.col("toxic"), part) + excess(F.col("clean"), F.col("clean") + F.col("toxic") - part))
+    z = F.signum(F.col("toxic") - part) * F.sqrt(F.greatest(ratio, F.lit(0.0)))
     telling = (
         counts.withColumn("delta", delta).withColumn("z", z)
         .where((F.abs("z") >= MIN_Z) & ((F.col("z") < 0) | (F.col("toxic") >= MIN_TOXIC)))
         .select("word", "clean", "toxic", "delta").collect()
     )
+    if not telling:
+        return None
     rest_clean = n_clean - sum(r["clean"] for r in telling)
     rest_toxic = n_toxic - sum(r["toxic"] for r in telling)
     drift = min(math.log(max(rest_toxic, 0.5) / n_toxic) - math.log(max(rest_clean, 0.5) / n_clean), -1e-4)
@@ -196,17 +232,8 @@ def fit(sample: DataFrame) -> dict | None:
     clean = label != 1
     model["k"] = float(clean.sum() / max((np.maximum(n, 1) * np.exp(-model["lambda"] * best))[clean].sum(), 1e-9))
     x = np.array([_surprise(int(i), b, model) for i, b in zip(n, best)])
-    x = np.minimum(x, 50.0)
-    a, b = math.log(max((~clean).sum(), 1) / max(clean.sum(), 1)), 1.0
-    for _ in range(50):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-(a + b * x)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(label - p).sum(), ((label - p) * x).sum() - 0.01 * b])
-        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.01]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a + step[0], b + step[1]
-        if abs(step).max() < 1e-6:
-            break
+    x = np.minimum(x, MAX_SURPRISE)
+    a, b = _logistic(x, ~clean)
     model["a"], model["b"] = float(a), max(float(b), 0.0)
     return model
 
@@ -236,7 +263,7 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
             for text in table.column("text").to_pylist():
                 n, found, words = _measured(text, m, known)
                 best = max((s for *_, s in found), default=0.0)
-                scores.append(1 / (1 + math.exp(-(m["a"] + m["b"] * min(_surprise(n, best, m), 50.0)))))
+                scores.append(1 / (1 + math.exp(-(m["a"] + m["b"] * min(_surprise(n, best, m), MAX_SURPRISE)))))
                 passages.append([
                     (a, b, s, b" ".join(words[a : b + 1]).decode("utf-8", "replace"))
                     for a, b, s in found if _surprise(n, s, m) >= -math.log(PASSAGE_P)
