@@ -81,7 +81,7 @@ def _is_aside(name: str, attributes: dict[str, str]) -> bool:
     if name in HEADINGS and "comment" not in attributes.get("class", "").lower():
         return False
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    return any(p.lower() in SKIP_WORDS for p in _PART.findall(named))
+    return any(p.lower() in SKIP_WORDS for p in _PART.findall(named) + [n.replace("-", "").replace("_", "") for n in named.split()])
 
 
 class Page:
