@@ -19,18 +19,17 @@ from chatlens.llm import common
 
 WINDOW = 10
 SHINGLE = 2
-#: Words: runs of ASCII letters and digits and of all code points beyond ASCII.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: runs of ASCII other than letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Windows that one pass over the documents looks for; more take more passes.
 BLOCK_WINDOWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(
-        F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(TOKEN), F.lit(0)),
-        F.array().cast("array<string>"),
-    )
+    """Words of a text. Splitting is linear; extracting all matches copies the text for each of them."""
+    parts = F.split(F.translate(text, _UPPER, _UPPER.lower()), BETWEEN)
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
 def _exploded(rows: DataFrame, kept: list[str], k: int) -> DataFrame:
