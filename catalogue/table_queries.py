@@ -9,8 +9,9 @@ from catalogue import sql_text as Q
 from catalogue.registry import query
 from catalogue.report_queries import WHOLE, stored_analysis
 from catalogue.text_queries import joined
+from chatlens.functions import vocabulary as V
 from chatlens.operators import analyse, normalise, quality, relational, upsert
-from chatlens.plans import backfill, rescan, stats
+from chatlens.plans import backfill, rescan
 from chatlens.sources import codecs, scans
 from chatlens.sources import schemas as S
 from chatlens.sources.session import scratch_folder
@@ -24,7 +25,7 @@ _NL = "chr(10)"
 def _author_sql(text: str) -> str:
     """CTE body: author and rest of a text, line by line."""
     first = f"trim(string_split({Q.strip(text)}, {_NL})[1])"
-    stops = " OR ".join(f"contains(lower({first}), {Q.lit(s)})" for s in ("http", "www", "$", "the ", "and ", "this ", "that "))
+    stops = " OR ".join(f"contains(lower({first}), {Q.lit(s)})" for s in V.AUTHOR_LINE_STOPS)
     ok = (
         f"len(string_split({Q.strip(text)}, {_NL})) > 1 AND length({first}) <= 50 AND NOT ({stops}) "
         rf"AND len(string_split_regex({first}, '\s+')) <= 3"
@@ -297,15 +298,14 @@ def iso_times(spark, sf):
 
 @query(f"WITH {M}, {A}, {_merge_sql(_EDIT_RULE)}")
 def snapshot_roundtrip(spark, sf):
-    """Two batches appended, one of them twice, compacted, copied, read back."""
+    """Two batches merged, one of them twice, copied, read back."""
     arrivals = I.arrivals(spark, sf)
     tables = ChatTables(spark, scratch_folder(spark, "tables"))
     early = F.col("ts_utc") < I.at("2024-01-15 00:00:00")
-    tables.append("messages", arrivals.where(early & F.col("edit_date").isNull()), 0)
-    tables.compact("messages")
+    tables.merge("messages", arrivals.where(early & F.col("edit_date").isNull()))
     rest = arrivals.where(~(early & F.col("edit_date").isNull()))
-    tables.append("messages", rest, 1)
-    tables.append("messages", rest, 1)
+    tables.merge("messages", rest)
+    tables.merge("messages", rest)
     copy = scratch_folder(spark, "snapshot")
     tables.snapshot("messages", copy)
     return _table(spark.read.schema(S.MESSAGES).parquet(copy))
@@ -363,18 +363,6 @@ def advance_checkpoint(spark, sf):
     )
 
 
-@query(
-    f"""WITH {M}, {A} SELECT (SELECT count(*) FROM arrivals) AS rows_read, (SELECT count(*) FROM messages) AS messages_ingested,
-  (SELECT count(*) FROM messages WHERE reply_to_id IS NULL) AS messages_analysed, 3::BIGINT AS rescans,
-  greatest(0.0, (epoch_us(TIMESTAMP '{I.NOW}') - epoch_us((SELECT min(t) FROM (SELECT max(ts_utc) AS t FROM messages
-    WHERE ts_utc < '2024-01-20' AND chat_id < 3 GROUP BY chat_id)))) / 1e6) AS lag_seconds"""
-)
-def ingest_stats(spark, sf):
-    return stats.ingest_stats(
-        I.arrivals(spark, sf), stored_analysis(spark, sf), _checkpoints(spark, sf), I.at(I.NOW), rescans=3
-    )
-
-
 def _early(df):
     return df.where(F.col(upsert.SEQ) < 3_000_000_000_000)
 
@@ -401,7 +389,7 @@ def rescan_messages(spark, sf):
   ORDER BY ingest_seq DESC) AS r FROM arrivals WHERE {_WINDOW}) WHERE r = 1),
 {Q.annotated('a', 'l', 'message_id')}, fresh AS ({_ANALYSIS_ROWS}),
 old AS (SELECT chat_id, message_id, is_investment, sentiment, confidence, array_to_string(tokens, '|') AS tokens, topic_key
-  FROM analysed WHERE reply_to_id IS NULL)
+  FROM analysed)
 SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE (chat_id, message_id) NOT IN (SELECT chat_id, message_id FROM fresh)"""
 )
 def rescan_analysis(spark, sf):
@@ -418,7 +406,7 @@ def rescan_analysis(spark, sf):
 {_merge_sql(_EDIT_RULE, 'seen')}"""
 )
 def rescan_tables(spark, sf):
-    """The same re-reading done on stored tables, by appending."""
+    """The same re-reading done on stored tables."""
     arrivals = I.arrivals(spark, sf)
     tables = ChatTables(spark, scratch_folder(spark, "tables"))
     live.write_batch(tables, _early(arrivals), 0, I.at(I.NOW))
@@ -428,6 +416,25 @@ def rescan_tables(spark, sf):
     return _table(tables.current("messages"))
 
 
+@query(
+    f"""SELECT chat_id, message_id, CASE WHEN {_WINDOW} THEN TIMESTAMP '2024-03-05 00:00:00'
+  WHEN edit_date IS NOT NULL AND edit_date >= '2024-01-10 00:00:00' THEN TIMESTAMP '2024-03-01 00:00:00'
+  ELSE TIMESTAMP '2024-01-01 00:00:00' END AS analyzed_at FROM (WITH {M}, {A}, {_merge_sql(_EDIT_RULE)})"""
+)
+def rescan_twice(spark, sf):
+    """Ten days read again twice: the analysis is that of the second time. Edits made
+    since then are done anew once, wherever their message lies."""
+    arrivals = I.arrivals(spark, sf)
+    tables = ChatTables(spark, scratch_folder(spark, "tables"))
+    live.write_batch(tables, arrivals, 0, I.at("2024-01-01 00:00:00"))
+    for day in ("2024-03-01", "2024-03-05"):
+        rescan.rescan_tables(
+            tables, arrivals, I.at("2024-01-10 00:00:00"), I.at("2024-01-20 00:00:00"), I.at(f"{day} 00:00:00"),
+            edited_since=I.at("2024-01-10 00:00:00"),
+        )
+    return tables.current("analysis").select(*S.KEY, I.ntz("analyzed_at").alias("analyzed_at"))
+
+
 @query(
     f"""WITH {M}, {A} SELECT chat_id, message_id, edit_date FROM arrivals
 WHERE ts_utc BETWEEN TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 120 MINUTE AND TIMESTAMP '2024-01-20 00:00:00'"""
@@ -439,7 +446,7 @@ def overlap_window(spark, sf):
 
 @query(
     f"""WITH {WHOLE}, done AS (SELECT *, CASE WHEN edit_date IS NOT NULL THEN TIMESTAMP '2024-02-02 00:00:00'
-  ELSE TIMESTAMP '2024-01-01 00:00:00' END AS analyzed_at FROM analysed WHERE reply_to_id IS NULL OR edit_date IS NOT NULL)
+  ELSE TIMESTAMP '2024-01-01 00:00:00' END AS analyzed_at FROM analysed)
 SELECT chat_id, message_id, is_investment, sentiment, confidence, array_to_string(tokens, '|') AS tokens, topic_key, analyzed_at FROM done"""
 )
 def reanalyse_edited(spark, sf):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.functions.vocabulary import OVERLAP_MINUTES
+from chatlens.functions.vocabulary import MODEL_VERSION, OVERLAP_MINUTES
 from chatlens.operators import analyse, relational, upsert
 from chatlens.sources import scans
 from chatlens.sources import schemas as S
-from chatlens.sources.tables import ChatTables
+from chatlens.sources.tables import DAY, ChatTables, day_of
 from chatlens.streaming import live
 
 
@@ -46,19 +46,35 @@ def reanalyse_edited(
 
 def rescan_tables(
     tables: ChatTables, arrivals: DataFrame, start, end, analyzed_at: Column,
-    mode: str = analyse.STRICT,
+    mode: str = analyse.STRICT, edited_since=None,
 ) -> None:
     """Re-read start..end of the source into stored tables, then re-analyse edits.
 
-    Only the re-read rows and the re-analysed ones are written, as lanes after
-    the last batch; no table is rewritten.
+    Messages edited since their analysis are looked for among those of these
+    days, and with ``edited_since`` also among all that were edited from then on.
     """
-    batch, lane = tables.last_place("messages") or (0, 0)
-    live.write_batch(
-        tables, scans.by_time(arrivals, start, end), batch, analyzed_at, mode, lane + 1
+    live.write_batch(tables, scans.by_time(arrivals, start, end), None, analyzed_at, mode)
+    within = (F.col(DAY) >= day_of(_value(start))) & (F.col(DAY) <= day_of(_value(end)))
+    if edited_since is not None:
+        within = within | (F.col("edit_date") >= _value(edited_since))
+    messages = tables.stored("messages").where(within)
+    stale = relational.needs_reanalysis(messages, tables.stored("analysis")).select(*S.KEY)
+    texts = messages.select(*S.KEY, "text", DAY).join(stale, S.KEY, "left_semi")
+    fresh = analyse.annotate(texts, mode=mode).withColumns(
+        {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
     )
-    messages = tables.current("messages")
-    stale = relational.needs_reanalysis(messages, tables.current("analysis")).select(*S.KEY)
-    texts = messages.select(*S.KEY, "text").join(stale, S.KEY, "left_semi")
-    fresh = analyse.analyse(texts, analyzed_at, mode=mode)
-    tables.append("analysis", fresh.withColumn(upsert.SEQ, F.lit(0).cast("long")), batch, lane + 2)
+    tables.merge("analysis", fresh)
+
+
+def overlap_rescan(
+    tables: ChatTables, arrivals: DataFrame, now: Column, analyzed_at: Column,
+    minutes: int = OVERLAP_MINUTES, mode: str = analyse.STRICT,
+) -> None:
+    """The step that a running ingest takes now and then: re-read the last
+    ``minutes`` and re-analyse what was edited in them, however old it is."""
+    start = now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0.0))
+    rescan_tables(tables, arrivals, start, now, analyzed_at, mode, edited_since=start)
+
+
+def _value(bound) -> Column:
+    return bound if isinstance(bound, Column) else F.lit(bound)

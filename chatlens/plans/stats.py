@@ -1,38 +1,36 @@
-"""Ingest statistics as one row."""
+"""Ingest statistics as one row, measured from what the ingest stored."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.sources import schemas as S
+from chatlens.sources.tables import ChatTables
 
 
-def ingest_stats(
-    arrivals: DataFrame, analysis: DataFrame, checkpoints: DataFrame, now: Column, rescans: int = 0
-) -> DataFrame:
-    """Rows read, distinct messages, rows analysed, re-scans, and the lag in
-    seconds of the least advanced chat.
+def ingest_stats(tables: ChatTables, now: Column) -> DataFrame:
+    """Rows read and set aside, messages and analyses held, re-scans, and the lag
+    in seconds of the least advanced chat.
 
-    Three one-row aggregates, stacked and folded into one row.
+    One-row aggregates, stacked and folded into one row.
     """
-    none = F.lit(None).cast("long")
-    keys = arrivals.groupBy(*S.KEY).agg(F.count("*").alias("n"))
-    read = keys.agg(F.sum("n").alias("read"), F.count("*").alias("ingested")).select(
-        "read", "ingested", none.alias("analysed"), none.alias("lag")
-    )
-    done = analysis.agg(F.count("*").alias("analysed")).select(
-        none.alias("read"), none.alias("ingested"), "analysed", none.alias("lag")
-    )
-    behind = checkpoints.agg(
-        (F.unix_micros(now) - F.unix_micros(F.min("last_ts_utc"))).alias("lag")
-    ).select(none.alias("read"), none.alias("ingested"), none.alias("analysed"), "lag")
     zero = F.lit(0).cast("long")
+    parts = [
+        tables.notes().agg(
+            F.sum("rows_read").alias("rows_read"), F.sum("rows_bad").alias("rows_bad"),
+            F.count_if("rescan").alias("rescans"),
+        ),
+        tables.stored("messages").agg(F.count("*").alias("messages_ingested")),
+        tables.stored("analysis").agg(F.count("*").alias("messages_analysed")),
+        tables.stored("ingest_checkpoint").agg(
+            (F.unix_micros(now) - F.unix_micros(F.min("last_ts_utc"))).alias("lag")
+        ),
+    ]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
     total = lambda c: F.coalesce(F.max(c), zero)
-    return read.unionByName(done).unionByName(behind).agg(
-        total("read").alias("rows_read"),
-        total("ingested").alias("messages_ingested"),
-        total("analysed").alias("messages_analysed"),
+    return stacked.agg(
+        *[total(c).alias(c) for c in ("rows_read", "rows_bad", "messages_ingested", "messages_analysed", "rescans")],
         F.greatest(F.lit(0.0), total("lag") / F.lit(1e6)).alias("lag_seconds"),
-        F.lit(rescans).cast("long").alias("rescans"),
     )

@@ -93,6 +93,11 @@ REQUESTS = _schema(
     ("now_ts", _time, False),
 )
 
+#: Counts of one batch of the ingest.
+INGEST_LOG = _schema(
+    ("rows_read", _long, True), ("rows_bad", _long, True), ("rows_analysed", _long, True), ("rescan", _flag, True),
+)
+
 KEY = ["chat_id", "message_id"]
 
 

@@ -36,6 +36,20 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of our own once nothing reads it any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame, purpose: str) -> tuple[str, DataFrame]:
+    """A frame written to a scratch folder, and that folder, for callers that discard it."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, purpose)
+    df.write.mode("errorifexists").parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame once to the shared folder and go on from the files.
 
@@ -43,10 +57,7 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     narrow files, lost executors cost nothing, and the reader gets exact
     file statistics for its join choices.
     """
-    spark = df.sparkSession
-    path = scratch_folder(spark, purpose)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, purpose)[1]
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -1,148 +1,156 @@
-"""Parquet tables of a chat store: appended batches, folded on read.
-
-Every batch goes to its own folder, named by its number and lane, and writing
-it again replaces exactly that folder: a restarted stream leaves no duplicates.
-The stream writes lane 0; work done between its batches, such as a re-scan,
-takes the next lane of the last batch and so counts as arriving after it.
-
-The current state of a table is the upsert fold over its base and the batches
-since; ``compact`` makes a new base, so the fold only ever reads the tail.
-Nothing is overwritten while it may be read.
+"""Parquet tables of a chat store, kept up to date partition by partition.
+
+Messages and their analysis lie in folders by a hash bucket of the chat and by
+the day of the message, so chat and time filters choose folders. A merge reads
+the partitions that the new rows touch, folds both by the upsert rule, writes
+the result to a scratch folder, and then overwrites those partitions and no
+others; a folder is never read while it is written. Stored rows count as older
+than all new ones, so merging the same rows again changes nothing, and what a
+later merge brings wins, wherever it comes from.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens.operators import upsert
 from chatlens.sources import schemas as S
+from chatlens.sources.session import discard, is_small, written
 
-# Arrivals are ordered by batch and lane, then by place in it.
-PLACE = ["batch_id", "lane"]
-ORDER = [*PLACE, upsert.SEQ]
+BUCKETS = 16
+BUCKET, DAY = "chat_bucket", "day"
 
 
-def _edit_rule(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return upsert.fold_messages(rows, ORDER)
+def _edit_rule(rows: DataFrame) -> DataFrame:
+    return upsert.fold_messages(rows)
 
 
-def _last_wins(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return upsert.fold_latest(rows, keys, ORDER)
+def _last_wins(rows: DataFrame) -> DataFrame:
+    return upsert.fold_latest(rows)
 
 
-_FOLDS = {
-    "messages": (S.MESSAGES, _edit_rule, S.KEY),
-    "analysis": (S.ANALYSIS, _last_wins, S.KEY),
-    "ingest_checkpoint": (S.INGEST_CHECKPOINT, _last_wins, ["chat_id"]),
-    "high_water_marks": (S.HIGH_WATER_MARKS, _last_wins, ["chat_id"]),
-}
+def _furthest(rows: DataFrame) -> DataFrame:
+    ranked = rows.withColumn("_reached", F.col("last_message_id"))
+    return upsert.fold_latest(ranked, ["chat_id"], ["_reached", upsert.SEQ])
 
 
-def _stored(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(upsert.SEQ, T.LongType())])
+def _first(rows: DataFrame) -> DataFrame:
+    """A mark is set once; asking again does not move it."""
+    return upsert.fold_latest(rows.withColumn(upsert.SEQ, -F.col(upsert.SEQ)), ["chat_id"])
 
 
-def _logged(schema: T.StructType) -> T.StructType:
-    return T.StructType([*_stored(schema).fields, *[T.StructField(c, T.LongType()) for c in PLACE]])
+# Schema, fold, partition columns.
+_TABLES = {
+    "messages": (S.MESSAGES, _edit_rule, [BUCKET, DAY]),
+    "analysis": (S.ANALYSIS, _last_wins, [BUCKET, DAY]),
+    "ingest_checkpoint": (S.INGEST_CHECKPOINT, _furthest, [BUCKET]),
+    "high_water_marks": (S.HIGH_WATER_MARKS, _first, [BUCKET]),
+}
+_PART_TYPES = {BUCKET: T.IntegerType(), DAY: T.DateType()}
 
 
-def _folder(place: tuple[int, int]) -> str:
-    return f"batch_id={place[0]}/lane={place[1]}"
+def day_of(ts: Column | str) -> Column:
+    return F.to_date(ts)
 
 
 class ChatTables:
-    """The four tables below one root folder that all executors can reach."""
+    """The four tables below one root folder that all executors can reach.
+
+    ``buckets`` is fixed for the life of a store. A message keeps its
+    ``ts_utc``: edits and replays carry that of the first arrival.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
-    def _log(self, name: str) -> str:
-        return f"{self.root}/{name}/log"
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
-    def _bases(self, name: str) -> str:
-        return f"{self.root}/{name}/base"
-
-    def _versions(self, name: str) -> str:
-        return f"{self.root}/{name}/versions"
-
-    def append(self, name: str, rows: DataFrame, batch_id: int, lane: int = 0) -> None:
-        """Write one batch; the same number again replaces it."""
-        out = S.conform(rows, _stored(_FOLDS[name][0]))
-        out.write.mode("overwrite").parquet(f"{self._log(name)}/{_folder((batch_id, lane))}")
-
-    def log(self, name: str) -> DataFrame:
-        """All batches; number and lane are partition columns, so tails prune folders."""
-        return self._read(self._log(name), _logged(_FOLDS[name][0]))
-
-    def batch(self, name: str, batch_id: int, lane: int = 0) -> DataFrame:
-        """Rows of one batch, without listing the folders of all the others."""
-        return self._read(
-            f"{self._log(name)}/{_folder((batch_id, lane))}", _stored(_FOLDS[name][0])
-        )
+    def _bucket(self, chat_id: Column) -> Column:
+        return F.pmod(F.xxhash64(chat_id.cast("long")), F.lit(self.buckets)).cast("int")
 
-    def last_place(self, name: str) -> tuple[int, int] | None:
-        """Number and lane of the newest batch."""
-        place = self.log(name).agg(F.max(F.struct(*PLACE)).alias("p")).first().p
-        return None if place is None else tuple(place)
+    def _schema(self, name: str) -> T.StructType:
+        schema, _, parts = _TABLES[name]
+        return T.StructType([*schema.fields, *[T.StructField(p, _PART_TYPES[p]) for p in parts]])
 
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
+    def stored(self, name: str) -> DataFrame:
+        """All rows with their partition columns; an empty frame before the first merge."""
+        schema = self._schema(name)
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(schema).parquet(self.path(name))
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _base_place(self, name: str) -> tuple[int, int] | None:
-        pointers = self._read(
-            self._versions(name), T.StructType([T.StructField(c, T.LongType()) for c in PLACE])
-        )
-        place = pointers.agg(F.max(F.struct(*PLACE)).alias("p")).first().p
-        return None if place is None else tuple(place)
-
-    def current(self, name: str) -> DataFrame:
-        """State of a table now."""
-        schema, fold, keys = _FOLDS[name]
-        tail = self.log(name)
-        place = self._base_place(name)
-        if place is not None:
-            base = self._read(f"{self._bases(name)}/{_folder(place)}", schema).withColumns(
-                {c: F.lit(upsert.STORED_SEQ).cast("long") for c in ORDER}
-            )
-            batch, lane = F.col("batch_id"), F.col("lane")
-            newer = (batch > place[0]) | ((batch == place[0]) & (lane > place[1]))
-            tail = tail.where(newer).unionByName(base)
-        return S.conform(fold(tail, keys), schema)
-
-    def compact(self, name: str) -> None:
-        """Fold base and batches into a new base, clustered by key.
-
-        Files hold runs of consecutive ids of a chat, hence of consecutive
-        times, so time ranges skip row groups; a busy chat spreads over many
-        files because the range is cut by chat and id together.
+    def current(self, name: str, chat_id: int | None = None, start=None, end=None) -> DataFrame:
+        """State of a table now, of one chat and of days from ``start`` to ``end`` if given.
+
+        These filters are on partition columns: other folders are not opened.
+        Finer time bounds are the caller's.
         """
-        last = self.last_place(name)
-        if last is None or last == self._base_place(name):
-            return
-        keys = _FOLDS[name][2]
-        (
-            self.current(name).repartitionByRange(*keys).sortWithinPartitions(*keys)
-            .write.mode("overwrite").parquet(f"{self._bases(name)}/{_folder(last)}")
+        rows = self.stored(name)
+        if chat_id is not None:
+            rows = rows.where((F.col(BUCKET) == self._bucket(F.lit(chat_id))) & (F.col("chat_id") == chat_id))
+        for bound, keep in ((start, F.col(DAY).__ge__), (end, F.col(DAY).__le__)):
+            if bound is not None:
+                value = bound if isinstance(bound, Column) else F.lit(bound)
+                rows = rows.where(keep(value if type(bound) is date else day_of(value)))
+        return rows.drop(BUCKET, DAY)
+
+    def merge(self, name: str, rows: DataFrame) -> None:
+        """Upsert rows. Those of ``analysis`` need the ``day`` of their message.
+
+        Without ``ingest_seq`` all rows count as arriving at once.
+        """
+        schema, fold, parts = _TABLES[name]
+        if upsert.SEQ not in rows.columns:
+            rows = rows.withColumn(upsert.SEQ, F.lit(0))
+        placed = rows.withColumn(BUCKET, self._bucket(F.col("chat_id")))
+        if name == "messages":
+            placed = placed.withColumn(DAY, day_of("ts_utc"))
+        wide = self._schema(name)
+        new_path, new = written(
+            S.conform(placed, T.StructType([*wide.fields, T.StructField(upsert.SEQ, T.LongType())])), "incoming"
+        )
+        touched = new.select(*parts).distinct()
+        same = F.broadcast(touched) if is_small(touched) else touched
+        before = self.stored(name).join(same, parts, "left_semi").withColumn(
+            upsert.SEQ, F.lit(upsert.STORED_SEQ).cast("long")
         )
-        # Readers follow this pointer, written only once the base is complete.
-        pointer = self.spark.range(1).select(
-            *[F.lit(v).cast("long").alias(c) for c, v in zip(PLACE, last)]
+        merged_path, merged = written(S.conform(fold(before.unionByName(new)), wide), "merged")
+        (
+            merged.hint("rebalance", *parts).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self.path(name))
         )
-        pointer.write.mode("append").parquet(self._versions(name))
+        discard(self.spark, new_path)
+        discard(self.spark, merged_path)
 
     def snapshot(self, name: str, path: str) -> None:
         """Copy of the current state; an existing one is never overwritten."""
         self.current(name).write.mode("errorifexists").parquet(path)
 
+    def set_aside(self, bad: DataFrame, batch_id: int, kind: str = "incomplete") -> None:
+        """Rows that could not be ingested, with their reason; the same batch replaces its own."""
+        bad.write.mode("overwrite").parquet(f"{self.path('quarantine')}/{kind}/batch_id={batch_id}")
+
+    def quarantine(self, kind: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path('quarantine')}/{kind}")
+
+    def note(self, counts: DataFrame, run: str) -> None:
+        """One row of counts for a run of the ingest; the same run replaces its own."""
+        counts.write.mode("overwrite").parquet(f"{self.path('ingest_log')}/run={run}")
+
+    def notes(self) -> DataFrame:
+        return self.spark.read.schema(S.INGEST_LOG).parquet(self.path("ingest_log"))
+
 
 def save_clustered(df: DataFrame, table: str, buckets: int) -> None:
     """Catalog table bucketed and sorted by the message key: two tables saved

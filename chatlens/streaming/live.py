@@ -1,12 +1,13 @@
 """Live ingest as a Structured Streaming query.
 
-Each micro-batch is normalised, written to the message log, analysed from what
-was written, and followed by its checkpoint rows. All writes are named by the
-batch number, so a batch that runs twice after a failure leaves one result.
+Each micro-batch is normalised, merged into the messages, analysed, and followed
+by its checkpoint rows. Merging the same rows again changes nothing, so a batch
+that runs twice after a failure leaves one result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from chatlens.functions.vocabulary import MODEL_VERSION
 from chatlens.operators import analyse, upsert
 from chatlens.sources import schemas as S
-from chatlens.sources.tables import ChatTables
-
-# Batches between compactions of the small table that every batch reads.
-COMPACT_EVERY = 100
+from chatlens.sources.session import discard, written
+from chatlens.sources.tables import DAY, ChatTables, day_of
 
 Prepare = Callable[[DataFrame], DataFrame]
 
@@ -50,42 +49,56 @@ def split_bad(lines: DataFrame, schema: T.StructType = S.RAW_MESSAGE, column: st
     return good, bad
 
 
-def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int, analyzed_at: Column,
-                mode: str = analyse.STRICT, lane: int = 0) -> None:
+def split_incomplete(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages rows to (complete, incomplete with a reason); absent defaults are no fault."""
+    reason = F.lit(None).cast("string")
+    for f in S.MESSAGES.fields:
+        if not f.nullable:
+            reason = F.coalesce(reason, F.when(F.col(f.name).isNull(), F.lit(f"no {f.name}")))
+    judged = rows.withColumn("reason", reason)
+    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
+
+
+def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int | None, analyzed_at: Column,
+                mode: str = analyse.STRICT) -> None:
     """Messages, analysis and checkpoints of one batch of messages rows.
 
-    Every arrival is analysed where it lies, without a shuffle; reading the
-    analysis table keeps the last one of each message. Edits do not move the
-    checkpoint, and no batch moves it back.
+    The rows are settled once and get the defaults of the table; incomplete
+    ones are set aside and the others go on. The last arrival of each message is
+    analysed. Edits do not move the checkpoint, and no batch moves it back.
+    ``batch_id`` names what is set aside and the counts; without one it is a re-scan.
     """
-    tables.append("messages", rows, batch_id, lane)
-    stored = tables.batch("messages", batch_id, lane)
-    done = analyse.annotate(stored.select(*S.KEY, "text", upsert.SEQ), mode=mode).withColumns(
+    path, whole = written(S.with_message_defaults(rows, analyzed_at), "batch")
+    good, bad = split_incomplete(whole)
+    if batch_id is not None:
+        tables.set_aside(bad, batch_id)
+    tables.merge("messages", good)
+    last = upsert.fold_latest(good.select(*S.KEY, "text", "ts_utc", upsert.SEQ))
+    done = analyse.annotate(last.withColumn(DAY, day_of("ts_utc")), mode=mode).withColumns(
         {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
     )
-    tables.append("analysis", done, batch_id, lane)
-    moved = stored.where(F.col("edit_date").isNull()).select("chat_id", "message_id", "ts_utc")
-    before = tables.current("ingest_checkpoint").select(
-        "chat_id", F.col("last_message_id").alias("message_id"), F.col("last_ts_utc").alias("ts_utc")
-    )
-    advanced = upsert.checkpoints(
-        moved.unionByName(before.join(moved.select("chat_id").distinct(), "chat_id", "left_semi")),
-        analyzed_at,
-    )
-    tables.append(
-        "ingest_checkpoint", advanced.withColumn(upsert.SEQ, F.col("last_message_id")), batch_id, lane
+    tables.merge("analysis", done)
+    moved = good.where(F.col("edit_date").isNull()).select("chat_id", "message_id", "ts_utc")
+    tables.merge("ingest_checkpoint", upsert.checkpoints(moved, analyzed_at))
+    keys = good.groupBy(*S.KEY).agg(F.count("*").alias("n")).agg(F.sum("n").alias("good"), F.count("*").alias("analysed"))
+    counts = keys.join(bad.agg(F.count("*").alias("rows_bad"))).select(
+        (F.coalesce("good", F.lit(0)) + F.col("rows_bad")).alias("rows_read"), "rows_bad",
+        F.col("analysed").alias("rows_analysed"), F.lit(batch_id is None).alias("rescan"),
     )
-    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-        tables.compact("ingest_checkpoint")
+    tables.note(S.conform(counts, S.INGEST_LOG), f"rescan-{uuid.uuid4().hex}" if batch_id is None else str(batch_id))
+    discard(tables.spark, path)
 
 
 def start_ingest(
     source: DataFrame, tables: ChatTables, checkpoint: str, prepare: Prepare,
     mode: str = analyse.STRICT, analyzed_at: Column | None = None, trigger: dict | None = None,
+    name_bad: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> StreamingQuery:
     """Start the ingest query.
 
-    ``prepare`` turns source rows into messages rows with ``ingest_seq``. With
+    ``prepare`` turns source rows into messages rows with ``ingest_seq``.
+    ``name_bad`` splits source rows that cannot even be read, such as broken
+    JSON lines, from the others before that. With
     ``trigger={"availableNow": True}`` the query reads up to what is there at
     its start and ends: the bounded backfill. Started again on the same
     ``checkpoint`` with an interval it goes on live, without gap or repeat.
@@ -94,6 +107,9 @@ def start_ingest(
     stamp = F.current_timestamp() if analyzed_at is None else analyzed_at
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        if name_bad is not None:
+            batch, unreadable = name_bad(batch)
+            tables.set_aside(unreadable, batch_id, "unreadable")
         write_batch(tables, prepare(batch), batch_id, stamp, mode)
 
     return (
@@ -102,3 +118,17 @@ def start_ingest(
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )
+
+
+def backfill_then_live(
+    source: DataFrame, tables: ChatTables, checkpoint: str, prepare: Prepare, marks: DataFrame,
+    mode: str = analyse.STRICT, analyzed_at: Column | None = None, interval: dict | None = None,
+) -> StreamingQuery:
+    """Store the high-water marks, read what is there, then go on live.
+
+    The bounded run ends before the live one starts on its checkpoint, so each
+    source file is read once. Marks that are stored already stay.
+    """
+    tables.merge("high_water_marks", marks)
+    start_ingest(source, tables, checkpoint, prepare, mode, analyzed_at, {"availableNow": True}).awaitTermination()
+    return start_ingest(source, tables, checkpoint, prepare, mode, analyzed_at, interval)

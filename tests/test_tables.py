@@ -1,10 +1,13 @@
-"""Batches, restarts and compaction of the stored tables."""
+"""Merges, replays, re-scans and pruning of the stored tables."""
+
+import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from catalogue import inputs as I
-from chatlens.operators import analyse, upsert
-from chatlens.plans import rescan
+from chatlens.operators import analyse, relational, upsert
+from chatlens.plans import reports, rescan, stats
 from chatlens.sources import schemas as S
 from chatlens.sources.session import scratch_folder
 from chatlens.sources.tables import ChatTables
@@ -15,26 +18,37 @@ def _rows(df):
     return sorted(map(str, df.collect()))
 
 
-def test_batches_and_compaction_equal_one_fold(spark, sf):
+def _tables(spark):
+    return ChatTables(spark, scratch_folder(spark, "t"))
+
+
+def test_merges_equal_one_fold(spark, sf):
     arrivals = I.arrivals(spark, sf)
     want = _rows(S.conform(upsert.fold_messages(arrivals), S.MESSAGES))
-    tables = ChatTables(spark, scratch_folder(spark, "t"))
+    tables = _tables(spark)
     assert tables.current("messages").count() == 0
     cuts = [0, 1500, 3_000_000_000_000, 10**15]
     for i in range(3):
         part = arrivals.where((F.col("ingest_seq") >= cuts[i]) & (F.col("ingest_seq") < cuts[i + 1]))
-        tables.append("messages", part, i)
-        tables.append("messages", part, i)
-        if i < 2:
-            tables.compact("messages")
-            tables.compact("messages")
-    assert _rows(tables.current("messages")) == want
-    tables.compact("messages")
+        tables.merge("messages", part)
+        tables.merge("messages", part)
     assert _rows(tables.current("messages")) == want
 
 
+def test_a_merge_writes_touched_partitions_only(spark, sf):
+    tables = _tables(spark)
+    rows = I.messages(spark, sf)
+    tables.merge("messages", rows)
+    before = {f for f in tables.stored("messages").inputFiles()}
+    day = rows.where(F.to_date("ts_utc") == F.lit("2024-01-07"))
+    tables.merge("messages", day.withColumn("text", F.lit("new")))
+    after = {f for f in tables.stored("messages").inputFiles()}
+    assert {re.search(r"day=([\d-]+)", f)[1] for f in before ^ after} == {"2024-01-07"}
+    assert tables.current("messages").count() == rows.count()
+
+
 def test_a_repeated_batch_changes_nothing_and_checkpoints_never_go_back(spark, sf):
-    tables = ChatTables(spark, scratch_folder(spark, "t"))
+    tables = _tables(spark)
     rows = S.conform(I.messages(spark, sf), S.MESSAGES).withColumn("ingest_seq", F.col("message_id"))
     late, early = rows.where("message_id > 500"), rows.where("message_id <= 500")
     now = I.at("2024-02-01 00:00:00")
@@ -45,6 +59,8 @@ def test_a_repeated_batch_changes_nothing_and_checkpoints_never_go_back(spark, s
     assert state[1] == state[2]
     assert state[0][2] == state[1][2]
     assert len(state[2][0]) == len(state[2][1]) == rows.count()
+    counts = stats.ingest_stats(tables, now).first()
+    assert (counts.rows_read, counts.messages_ingested, counts.rescans) == (rows.count(), rows.count(), 0)
 
 
 def test_bad_lines_are_set_aside(spark):
@@ -58,28 +74,67 @@ def test_bad_lines_are_set_aside(spark):
     assert sorted(r.reason for r in bad.collect()) == ["no date", "not readable", "not readable", "not readable"]
 
 
-def test_rescan_after_compaction_is_not_lost(spark, sf):
+def test_incomplete_rows_are_set_aside_and_defaults_set(spark, sf):
+    rows = I.messages(spark, sf).withColumns(
+        {"text": F.when(F.col("message_id") % 5 != 0, F.col("text")), "is_forwarded": F.lit(None).cast("boolean")}
+    )
+    tables = _tables(spark)
+    live.write_batch(tables, rows, 3, I.at("2024-02-01 00:00:00"))
+    bad = tables.quarantine("incomplete", S.T.StructType([S.T.StructField("reason", S.T.StringType())]))
+    assert bad.where("reason = 'no text'").count() == rows.where("text IS NULL").count() == bad.count()
+    held = tables.current("messages")
+    assert held.count() == rows.where("text IS NOT NULL").count()
+    assert held.where("is_forwarded OR is_forwarded IS NULL OR created_at IS NULL").count() == 0
+
+
+def test_every_rescan_wins(spark, sf):
     arrivals = I.arrivals(spark, sf)
-    tables = ChatTables(spark, scratch_folder(spark, "t"))
+    tables = _tables(spark)
     first = F.col("ingest_seq") < 3_000_000_000_000
     live.write_batch(tables, arrivals.where(first), 0, I.at("2024-01-01 00:00:00"), analyse.LEXICON)
-    tables.compact("messages")
-    tables.compact("analysis")
     span = I.at("2024-01-01 00:00:00"), I.at("2024-02-01 00:00:00")
-    for day in ("2024-02-01", "2024-02-02"):
+    want = _rows(S.conform(upsert.fold_messages(arrivals), S.MESSAGES))
+    for day in ("2024-03-01", "2024-03-05"):
         rescan.rescan_tables(tables, arrivals, *span, I.at(f"{day} 00:00:00"), analyse.LEXICON)
-        want = _rows(S.conform(upsert.fold_messages(arrivals), S.MESSAGES))
-        assert _rows(tables.current("messages")) == want
+        assert _rows(tables.current("messages").drop("created_at")) == _rows(
+            S.conform(upsert.fold_messages(arrivals), S.MESSAGES).drop("created_at")
+        ) and len(want) == tables.current("messages").count()
         stamps = tables.current("analysis").select(F.col("analyzed_at").cast("string")).distinct().collect()
         assert [r[0] for r in stamps] == [f"{day} 00:00:00"]
-        tables.compact("messages")
 
 
 def test_edits_after_an_analysis_are_found_and_redone(spark, sf):
     rows = S.conform(I.messages(spark, sf), S.MESSAGES).withColumn("ingest_seq", F.col("message_id"))
-    tables = ChatTables(spark, scratch_folder(spark, "t"))
+    tables = _tables(spark)
     live.write_batch(tables, rows, 0, I.at("2024-01-01 00:00:00"))
     nothing = I.at("2030-01-01 00:00:00"), I.at("2030-01-02 00:00:00")
-    rescan.rescan_tables(tables, rows, *nothing, I.at("2024-03-01 00:00:00"))
+    rescan.rescan_tables(tables, rows, *nothing, I.at("2024-03-01 00:00:00"), edited_since=I.at("2024-01-01 00:00:00"))
     redone = tables.current("analysis").where(F.col("analyzed_at") == I.at("2024-03-01 00:00:00"))
     assert redone.count() == rows.where(F.col("edit_date").isNotNull()).count()
+
+
+def test_the_overlap_step_reads_the_last_minutes_and_old_edits(spark, sf):
+    rows = S.conform(I.messages(spark, sf), S.MESSAGES).withColumn("ingest_seq", F.col("message_id"))
+    tables = _tables(spark)
+    live.write_batch(tables, rows, 0, I.at("2024-01-01 00:00:00"))
+    now = I.at("2024-01-20 00:00:00")
+    rescan.overlap_rescan(tables, rows, now, I.at("2024-03-01 00:00:00"), minutes=600)
+    done = {(r.chat_id, r.message_id) for r in tables.current("analysis").where(F.col("analyzed_at") > I.at("2024-02-01 00:00:00")).collect()}
+    start = I.at("2024-01-19 14:00:00")
+    seen = rows.where(F.col("ts_utc").between(start, now) | (F.col("edit_date") >= start))
+    assert done == {(r.chat_id, r.message_id) for r in seen.collect()}
+
+
+def test_a_report_of_one_day_opens_that_day_only(spark, sf, capsys):
+    tables = _tables(spark)
+    live.write_batch(tables, I.messages(spark, sf), 0, I.at("2024-02-01 00:00:00"), analyse.LEXICON)
+    start, end = dt.datetime(2024, 1, 7), dt.datetime(2024, 1, 7, 23, 59, 59)
+    frame = reports.stored_frame(tables, 2, start, end)
+    frame.explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan.count("PartitionFilters") == 2 and "day" in plan.split("PartitionFilters")[1] and "groupBy" not in plan
+    whole = relational.report_frame(tables.current("messages"), tables.current("analysis"), 2, start, end)
+    assert _rows(frame) == _rows(whole) and frame.count() > 0
+    files = {re.search(r"day=([\d-]+)", r.f)[1] for r in frame.select(F.input_file_name().alias("f")).collect() if r.f}
+    assert files <= {"2024-01-07"}
+    assert reports.standard_report(tables, 2, start, end).count() > 0
