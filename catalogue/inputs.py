@@ -205,7 +205,7 @@ RANGE_BOUNDS = (
     None, ("2024-01-03 00:00:00", "2024-01-09 23:59:59"), ("2024-01-02 00:00:00", "2024-01-25 23:59:59"),
 )
 TOPIC_VALUES = ("BTC", "ETH", None, "STAKING", "SOL", None)
-LIMIT_VALUES = (25, 1, None, 10000, None, 7)
+LIMIT_VALUES = (25, 1, None, 20000, None, 7)
 
 
 def _sql_values(values: tuple, cast: str) -> str:

@@ -19,9 +19,11 @@ M = I.MESSAGES_SQL
 CHAT, START, END = 2, "2024-01-03 00:00:00", "2024-01-24 23:59:59"
 
 
-def stored_analysis(spark, sf):
-    """Analysis table that lacks the messages which are replies."""
-    rows = I.messages(spark, sf).where(F.col("reply_to_id").isNull())
+def stored_analysis(spark, sf, replies=True):
+    """Analysis table of all messages, or one that lacks the replies."""
+    rows = I.messages(spark, sf)
+    if not replies:
+        rows = rows.where(F.col("reply_to_id").isNull())
     return analyse.analyse(rows, I.at(I.ANALYSED_AT), mode=analyse.LEXICON)
 
 
@@ -32,9 +34,9 @@ def whole_frame(spark, sf):
     )
 
 
-def report_frame(spark, sf, topic=None, limit=None):
+def report_frame(spark, sf, topic=None, limit=None, replies=True):
     return relational.report_frame(
-        I.messages(spark, sf), stored_analysis(spark, sf), CHAT, I.at(START), I.at(END), topic, limit
+        I.messages(spark, sf), stored_analysis(spark, sf, replies), CHAT, I.at(START), I.at(END), topic, limit
     )
 
 
@@ -43,6 +45,10 @@ def parsed_requests(spark, sf):
 
 
 WHOLE = f"""{M}, {Q.analysed_ctes()},
+whole AS (SELECT chat_id, message_id, ts_utc, from_username, text, is_investment, sentiment, tokens, key_points, topic_key
+  FROM analysed)"""
+# Where replies were never analysed.
+_PART = f"""{M}, {Q.analysed_ctes()},
 whole AS (SELECT chat_id, message_id, ts_utc, from_username, text,
   reply_to_id IS NULL AND is_investment AS is_investment,
   CASE WHEN reply_to_id IS NULL THEN sentiment END AS sentiment,
@@ -62,9 +68,10 @@ def _rows(df):
     )
 
 
-@query(f"WITH {FRAME} {_ROWS} frame")
+@query(f"WITH {_PART} {_ROWS} whole WHERE {IN_REPORT}")
 def report_messages(spark, sf):
-    return _rows(report_frame(spark, sf).orderBy(*relational.newest_first()))
+    """Messages that were never analysed are in the report, with defaults."""
+    return _rows(report_frame(spark, sf, replies=False).orderBy(*relational.newest_first()))
 
 
 @query(
@@ -143,20 +150,31 @@ def report_pct(spark, sf):
     )
 
 
-@query(
-    f"""WITH {WHOLE}, h AS (SELECT *, date_trunc('day', ts_utc)::TIMESTAMP AS day FROM whole),
+_PREVIEWS = f"""WITH {WHOLE}, h AS (SELECT *, date_trunc('day', ts_utc)::TIMESTAMP AS day FROM whole),
 r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, day, from_username ORDER BY ts_utc DESC, message_id DESC) AS rank,
   count(*) OVER (PARTITION BY chat_id, day, from_username) AS size FROM h)
 SELECT chat_id, day, from_username, rank::INTEGER AS rank, strftime(ts_utc, '%m-%d %H:%M') AS at,
   coalesce(from_username, 'Unknown') AS author, sentiment,
   array_to_string(list_transform(list_slice(tokens, 1, 3), lambda t: '$' || t), ', ') AS marks,
   CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS preview
-FROM r WHERE size <= 10 AND rank <= 5"""
-)
-def message_preview(spark, sf):
-    """Previews of every author's day; those without an author are one large group."""
+FROM r WHERE rank <= 5"""
+
+
+def _previews(spark, sf, **bounds):
     frame = whole_frame(spark, sf).withColumn("day", F.date_trunc("day", "ts_utc"))
-    return report.previews(frame, ["chat_id", "day", "from_username"]).withColumn("day", I.ntz("day"))
+    return report.previews(frame, ["chat_id", "day", "from_username"], **bounds).withColumn("day", I.ntz("day"))
+
+
+@query(_PREVIEWS)
+def message_preview(spark, sf):
+    """Newest rows of every author's day; those without an author are one large group."""
+    return _previews(spark, sf)
+
+
+@query(f"{_PREVIEWS} AND size <= 10")
+def message_preview_small(spark, sf):
+    """Only for days of few messages."""
+    return _previews(spark, sf, only_up_to=V.PREVIEW_LIMIT)
 
 
 MENTIONS = f"""{WHOLE}, mentions AS (
@@ -288,15 +306,22 @@ def parse_topics(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 1 THEN 1
-  ELSE least(10000, greatest(1, floor(o_totalprice / 10)::BIGINT)) END::BIGINT AS row_limit FROM orders"""
+    """WITH n AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 1 THEN -floor(o_totalprice / 10)::BIGINT
+  ELSE floor(o_totalprice / 10)::BIGINT END AS asked FROM orders)
+SELECT o_orderkey, CASE WHEN asked IS NOT NULL THEN greatest(1, asked) END AS row_limit,
+  CASE WHEN asked IS NOT NULL THEN least(10000, greatest(1, asked)) END AS bounded,
+  CASE WHEN asked IS NOT NULL THEN asked NOT BETWEEN 1 AND 10000 END AS was_cut FROM n"""
 )
 def parse_limits(spark, sf):
+    """Limits as asked for, and with a bound of its own column."""
     n = F.floor(F.col("o_totalprice") / 10).cast("string")
     forms = (F.concat(F.lit("limit:"), n), F.concat(F.lit("-"), n), F.concat(F.lit(" "), n),
              F.concat(n, F.lit(".5")))
     text = F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return I.table(spark, sf, "orders").select("o_orderkey", ranges.parse_limit(text).alias("row_limit"))
+    return I.table(spark, sf, "orders").select(
+        "o_orderkey", ranges.parse_limit(text).alias("row_limit"), ranges.parse_limit(text, V.LIMIT_MAX).alias("bounded"),
+        ranges.limit_was_cut(text, V.LIMIT_MAX).alias("was_cut"),
+    )
 
 
 @query(

@@ -137,17 +137,19 @@ def model_sentiment(spark, sf):
     return done.select(*S.KEY, "sentiment", "confidence")
 
 
-@query(
-    f"""WITH {M}, {Q.annotated('a', 'messages', 'message_id')},
-n AS (SELECT *, length(substring({Q.strip('text')}, 1, 400)) AS len FROM a),
+def _by_length(chars: str) -> str:
+    """SQL of a model whose scores depend on the length of what it is given."""
+    return f"""WITH {M}, {Q.annotated('a', 'messages', 'message_id')},
+n AS (SELECT *, length({chars}) AS len FROM a),
 s AS (SELECT *, (len * 37 % 101) / 100.0::DOUBLE AS positive, (len * 53 % 101) / 100.0::DOUBLE AS negative,
   (len * 29 % 101) / 100.0::DOUBLE AS neutral FROM n),
 c AS (SELECT *, greatest(positive, negative, neutral) AS best,
   CASE WHEN positive >= negative AND positive >= neutral THEN 'BULLISH'
        WHEN negative >= neutral THEN 'BEARISH' ELSE 'NEUTRAL' END AS choice FROM s)
-{_MODEL}"""
-)
-def model_sentiment_udf(spark, sf):
+"""
+
+
+def _stand_in(fails_on: str | None = None):
     """A stand-in for a real model: scores that depend on the text's length only."""
 
     # Defined here so that it travels to the executors by value.
@@ -155,6 +157,8 @@ def model_sentiment_udf(spark, sf):
         import pandas as pd
 
         def score(texts):
+            if fails_on is not None and texts.str.contains(fails_on, regex=False).any():
+                raise ValueError("no score")
             n = texts.str.len()
             return pd.DataFrame(
                 {"positive": n * 37 % 101 / 100.0, "negative": n * 53 % 101 / 100.0,
@@ -163,11 +167,37 @@ def model_sentiment_udf(spark, sf):
 
         return score
 
+    return load
+
+
+def _by_model(spark, sf, fails_on=None, max_chars=None):
     flagged = analyse.with_flags(I.messages(spark, sf).select(*S.KEY, "text"))
-    scored = scoring.with_scores(flagged, load)
+    scored = scoring.with_scores(flagged, _stand_in(fails_on), max_chars=max_chars)
     return analyse.with_verdict(scored).select(*S.KEY, "sentiment", "confidence")
 
 
+@query(f"{_by_length(Q.strip('text'))} {_MODEL}")
+def model_sentiment_udf(spark, sf):
+    """Whole texts go to the model."""
+    return _by_model(spark, sf)
+
+
+@query(f"{_by_length('substring(' + Q.strip('text') + ', 1, 20)')} {_MODEL}")
+def model_sentiment_bounded(spark, sf):
+    """A model that takes only so many characters."""
+    return _by_model(spark, sf, max_chars=20)
+
+
+@query(
+    f"""SELECT chat_id, message_id, CASE WHEN failed THEN 'NEUTRAL' ELSE sentiment END AS sentiment,
+  CASE WHEN failed THEN 0.0::DOUBLE ELSE confidence END AS confidence
+FROM ({_by_length(Q.strip('text'))} {_MODEL.replace('SELECT chat_id', "SELECT is_investment AND contains(text, 'soon') AS failed, chat_id", 1)})"""
+)
+def model_sentiment_failing(spark, sf):
+    """A model that fails on some texts costs these their score and nothing else."""
+    return _by_model(spark, sf, fails_on="soon")
+
+
 @query(
     f"""WITH {M}, {Q.annotated('a', 'messages', 'message_id')}
 SELECT chat_id, message_id, topic_key FROM a"""
@@ -256,7 +286,7 @@ _PROMPT = " || ".join(
         + f"WHEN len(tokens) > 1 THEN {Q.lit(V.PROMPT_SOME_TOKENS[0])} || {_named} || {Q.lit(V.PROMPT_SOME_TOKENS[1])} "
         + f"ELSE {Q.lit(V.PROMPT_ONE_TOKEN[0])} || {_named} || {Q.lit(V.PROMPT_ONE_TOKEN[1])} END",
         "CASE keyword " + " ".join(f"WHEN '{k}' THEN {Q.lit(t)}" for k, t in V.PROMPT_SENTIMENT.items()) + " END",
-        "chr(10) || chr(10) || 'Message: \"' || substring(text, 1, 400) || '\"'",
+        "chr(10) || chr(10) || 'Message: \"' || @text || '\"'",
         Q.lit(V.PROMPT_RULES),
     ]
 )
@@ -264,15 +294,19 @@ _PROMPT = " || ".join(
 
 @query(
     f"""WITH {M}, {Q.annotated('a', 'messages', 'message_id')}
-SELECT chat_id, message_id, {_PROMPT} AS prompt FROM a WHERE is_investment"""
+SELECT chat_id, message_id, {_PROMPT.replace('@text', 'text')} AS prompt,
+  {_PROMPT.replace('@text', 'substring(text, 1, 400)')} AS short_prompt FROM a WHERE is_investment"""
 )
 def insight_prompt(spark, sf):
+    """With the whole message, and as a model of small context gets it."""
     rows = analyse.with_verdict(
         analyse.with_flags(I.messages(spark, sf).select(*S.KEY, "text")), mode=analyse.LEXICON
     ).where("is_investment")
+    parts = F.col("tokens"), F.col("sentiment"), strip(F.col("text"))
     return rows.select(
         *S.KEY,
-        keypoints.insight_prompt(F.col("tokens"), F.col("sentiment"), strip(F.col("text"))).alias("prompt"),
+        keypoints.insight_prompt(*parts).alias("prompt"),
+        keypoints.insight_prompt(*parts, V.MODEL_TEXT_CHARS).alias("short_prompt"),
     )
 
 

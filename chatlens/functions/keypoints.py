@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from chatlens.functions import vocabulary as V
 from chatlens.functions.text import SPACE, fill, let, strip
 
-# One character class: scheme, then any run of the characters URLs are made of.
-URL = r"https?://[!$-_a-z]+"
 NOISE = rf"[^a-zA-Z0-9_\p{{L}}\p{{N}}{SPACE[1:-1]}.,!?$%\-]"
 
 _EMPTY = "array<string>"
@@ -17,7 +15,7 @@ _EMPTY = "array<string>"
 
 def clean_text(text: Column) -> Column:
     """Text without URLs and without symbols such as emoji."""
-    return F.regexp_replace(F.regexp_replace(text, URL, ""), NOISE, "")
+    return F.regexp_replace(F.regexp_replace(text, V.URL, ""), NOISE, "")
 
 
 def _between(bounds: tuple[int, int]):
@@ -141,8 +139,11 @@ def choose_points(is_investment: Column, from_reply: Column, from_text: Column)
     ).otherwise(F.array().cast(_EMPTY))
 
 
-def insight_prompt(token_list: Column, sentiment: Column, text: Column) -> Column:
-    """Prompt text for a batch of model calls made elsewhere."""
+def insight_prompt(
+    token_list: Column, sentiment: Column, text: Column, max_chars: int | None = None
+) -> Column:
+    """Prompt text for a batch of model calls made elsewhere; the whole message
+    unless ``max_chars`` shortens it."""
     named = F.when(F.size(token_list) > 0, F.array_join(token_list, ", ")).otherwise(
         F.lit(V.PROMPT_NO_TOKENS)
     )
@@ -163,5 +164,5 @@ def insight_prompt(token_list: Column, sentiment: Column, text: Column) -> Colum
     )
     return F.concat(
         F.lit(V.PROMPT_HEAD), about, mood, F.lit('\n\nMessage: "'),
-        F.substring(text, 1, V.MODEL_TEXT_CHARS), F.lit('"'), F.lit(V.PROMPT_RULES),
+        text if max_chars is None else F.substring(text, 1, max_chars), F.lit('"'), F.lit(V.PROMPT_RULES),
     )

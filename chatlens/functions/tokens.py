@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatlens.functions import vocabulary as V
 from chatlens.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD, prefix_tree, whole_words
 
-CASHTAG = r"\$([A-Z][A-Z0-9_]{1,9})" + NOT_BEFORE_WORD
+CASHTAG = V.CASHTAG + NOT_BEFORE_WORD
 
 _NAMES = {name: token for token, names in V.TOKEN_ALIASES.items() for name in names}
 _WORD_NAMES = [name for name in _NAMES if name.isalpha()]

@@ -149,3 +149,8 @@ Single token: "CZ backing", "Proven team", "Major partnership", "Strong fundamen
 Multi-token: "Market momentum strong", "CEX adoption growing", "Regulatory clarity improving"
 
 Insights:"""
+
+# Patterns of a cashtag (before its end is checked) and of a link, a
+# scheme and then any run of the characters that links are made of.
+CASHTAG = r"\$([A-Z][A-Z0-9_]{1,9})"
+URL = r"https?://[!$-_a-z]+"

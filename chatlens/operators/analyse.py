@@ -67,6 +67,9 @@ def _verdict(df: DataFrame, text: str, mode: str) -> DataFrame:
             sentiment.model_choice(p, n, u), sentiment.model_confidence(p, n, u), label
         )
         verdict = F.when(p.isNotNull() & n.isNotNull() & u.isNotNull(), by_model).otherwise(verdict)
+    if "model_failed" in df.columns:
+        failed = F.struct(neutral.alias("sentiment"), F.lit(0.0).alias("confidence"))
+        verdict = F.when(F.col("model_failed"), failed).otherwise(verdict)
     idle = F.struct(neutral.alias("sentiment"), nothing.alias("confidence"))
     return df.withColumn(_VERDICT, F.when(active, verdict).otherwise(idle)).withColumns(
         {"sentiment": F.col(f"{_VERDICT}.sentiment"), "confidence": F.col(f"{_VERDICT}.confidence")}

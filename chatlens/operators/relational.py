@@ -82,19 +82,12 @@ def report_frame(
     """Rows of one report: chat, time range, topic, then the newest ``limit``.
 
     Chat and time filters reach the scan of messages. Analysis rows carry no
-    message time; they are cut to the span of message ids found in the range,
-    which skips most files of a table clustered by key. That span is read
-    first, from three columns; as plain values it reaches the Parquet
-    statistics, which a subquery in the filter does not. The limit comes
-    before any aggregate, as a top-n that keeps ``limit`` rows per task.
+    message time; a caller with stored tables cuts them to the same days by
+    their partitions. The limit comes before any aggregate, as a top-n that
+    keeps ``limit`` rows per task.
     """
     found = in_range(of_chat(messages, chat_id), start, end)
-    first, last = found.agg(F.min("message_id"), F.max("message_id")).first()
-    ids = F.col("message_id")
-    near = of_chat(analysis, chat_id).where(
-        F.lit(False) if first is None else ids.between(F.lit(first), F.lit(last))
-    )
-    joined = with_analysis(found, near)
+    joined = with_analysis(found, of_chat(analysis, chat_id))
     if topic:
         joined = joined.where(topic_matches(F.lit(topic)))
     return newest(report_columns(joined), limit)

@@ -164,18 +164,22 @@ def report_rows(frame: DataFrame, shown_tokens: int = V.SHOWN_TOKENS) -> DataFra
     )
 
 
-def previews(frame: DataFrame, by: list[str]) -> DataFrame:
-    """First rows of every small group: time, author, short text, three tokens.
+def previews(
+    frame: DataFrame, by: list[str], rows: int | None = V.PREVIEW_ROWS, only_up_to: int | None = None
+) -> DataFrame:
+    """Newest ``rows`` of every group (None: all): time, author, short text, three tokens.
 
-    Groups of more than ten messages get no preview. A rank test of eleven
-    rows decides that, and it is applied on the map side, so a huge group
-    never meets in one task.
+    With ``only_up_to`` groups of more messages get no preview. Rank tests decide
+    both on the map side, so a huge group never meets in one task.
     """
     newest_window = Window.partitionBy(*by).orderBy(*newest_first())
-    group = Window.partitionBy(*by)
-    head = frame.withColumn("rank", F.row_number().over(newest_window)).where(
-        F.col("rank") <= V.PREVIEW_LIMIT + 1
-    )
+    head = frame.withColumn("rank", F.row_number().over(newest_window))
+    if only_up_to is not None:
+        head = head.where(F.col("rank") <= max(only_up_to + 1, rows or 0))
+        size = F.count("*").over(Window.partitionBy(*by))
+        head = head.withColumn("_size", size).where(F.col("_size") <= only_up_to)
+    if rows is not None:
+        head = head.where(F.col("rank") <= rows)
     short = F.when(
         F.length("text") > V.PREVIEW_CHARS,
         F.concat(F.substring("text", 1, V.PREVIEW_CHARS), F.lit("...")),
@@ -183,16 +187,12 @@ def previews(frame: DataFrame, by: list[str]) -> DataFrame:
     marks = F.array_join(
         F.transform(F.slice("tokens", 1, V.PREVIEW_TOKENS), lambda t: F.concat(F.lit("$"), t)), ", "
     )
-    return (
-        head.withColumn("_size", F.count("*").over(group))
-        .where((F.col("_size") <= V.PREVIEW_LIMIT) & (F.col("rank") <= V.PREVIEW_ROWS))
-        .select(
-            *by,
-            "rank",
-            F.date_format("ts_utc", "MM-dd HH:mm").alias("at"),
-            F.coalesce("from_username", F.lit("Unknown")).alias("author"),
-            "sentiment",
-            marks.alias("marks"),
-            short.alias("preview"),
-        )
+    return head.select(
+        *by,
+        "rank",
+        F.date_format("ts_utc", "MM-dd HH:mm").alias("at"),
+        F.coalesce("from_username", F.lit("Unknown")).alias("author"),
+        "sentiment",
+        marks.alias("marks"),
+        short.alias("preview"),
     )

@@ -2,48 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.text import strip
-from chatlens.functions.vocabulary import MODEL_TEXT_CHARS
 
-SCORE_TYPE = "struct<positive:double,negative:double,neutral:double>"
+SCORE_TYPE = "struct<positive:double,negative:double,neutral:double,failed:boolean>"
+SCORES = ["positive", "negative", "neutral"]
 
 
 def with_scores(
     df: DataFrame,
     load_model: Callable[[], Callable[[pd.Series], pd.DataFrame]],
     text: str = "text",
-    max_chars: int | None = MODEL_TEXT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Adds positive, negative, neutral for investment messages, null for others.
-
-    ``load_model`` runs once per task and returns a function from a series of
-    texts to a frame with the three score columns; it travels to the executors
-    by value. Texts are cut to what a model without a tokeniser of its own
-    takes; a model that truncates by itself passes ``max_chars=None``. Rows
-    that are not about investment are never sent to Python: the frame is split
-    on the flag, and only one part passes through the model.
+    """Adds positive, negative, neutral for investment messages, null for others,
+    and ``model_failed``.
+
+    ``load_model`` runs once in each Python worker and returns a function from a
+    series of texts to a frame with the three score columns; it travels to the
+    executors by value. It gets whole texts; for a model that cannot shorten
+    them itself ``max_chars`` does. Rows that are not about investment reach
+    Python as nulls and the model not at all. A batch that the model fails on is
+    tried again text by text; one that fails alone is marked ``model_failed`` and
+    gets the verdict neutral with confidence zero.
     """
+    ours = f"model-{uuid.uuid4().hex}"
 
     @F.pandas_udf(SCORE_TYPE)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = load_model()
-        for texts in batches:
-            yield model(texts)[["positive", "negative", "neutral"]]
+    def score(texts: pd.Series) -> pd.DataFrame:
+        import sys
+
+        kept = sys.modules.setdefault("_chatlens_models", {})
+        if ours not in kept:
+            kept[ours] = load_model()
+        model = kept[ours]
+        out = pd.DataFrame(index=texts.index, columns=SCORES, dtype="float64").assign(failed=False)
+        given = texts[texts.notna()]
+        if len(given):
+            try:
+                out.loc[given.index, SCORES] = model(given)[SCORES].to_numpy("float64")
+            except Exception:  # any fault of a foreign model costs its own texts only
+                for i in given.index:
+                    try:
+                        out.loc[[i], SCORES] = model(given.loc[[i]])[SCORES].to_numpy("float64")
+                    except Exception:
+                        out.loc[i, "failed"] = True
+        return out
 
     body = strip(F.col(text))
     given = body if max_chars is None else F.substring(body, 1, max_chars)
     wanted = F.col("is_investment") & (body != "")
-    scored = df.where(wanted).withColumn("_scores", score(given))
-    idle = df.where(~F.coalesce(wanted, F.lit(False))).withColumn(
-        "_scores", F.lit(None).cast(SCORE_TYPE)
-    )
-    return scored.unionByName(idle).select(
-        *[F.col(c) for c in df.columns],
-        *[F.col(f"_scores.{c}").alias(c) for c in ("positive", "negative", "neutral")],
+    scored = df.withColumn("_scores", score(F.when(wanted, given)))
+    return scored.select(
+        *[F.col(c) for c in df.columns], *[F.col(f"_scores.{c}").alias(c) for c in SCORES],
+        F.col("_scores.failed").alias("model_failed"),
     )
