@@ -71,14 +71,55 @@ def test_merge_in_batches_equals_one_fold(spark):
     assert _as_dict(upsert.merge_messages(merged, df.where("ingest_seq > 400"))) == whole
 
 
+def _skip(text, at, char_test):
+    while at < len(text) and char_test(text[at]):
+        at += 1
+    return at
+
+
+def _phrase_end(text, at, words):
+    """Where a phrase of these words ends if it starts at ``at``; None if it does not.
+
+    A word may be a tuple of forms, longest first; white space parts the words.
+    """
+    for n, forms in enumerate(words):
+        if n:
+            start, at = at, _skip(text, at, str.isspace)
+            if at == start:
+                return None
+        for form in forms if isinstance(forms, tuple) else (forms,):
+            if text[at : at + len(form)].lower() == form:
+                at += len(form)
+                break
+        else:
+            return None
+    return at
+
+
+PHRASES = (
+    ("buyback", [["token", ("buybacks", "buyback")], [("buybacks", "buyback")]]),
+    ("revenue", [["revenue", "generation"]]),
+    ("mover", [["first", "mover"]]),
+    ("contract", [["enterprise", ("contracts", "contract")]]),
+    ("whale", [["whale", "accumulation"]]),
+    ("etf", [["etf", ("launch", "filing")]]),
+)
+
+
 def _contexts(text):
+    """Every phrase with fifteen characters on both sides, found by walking the text."""
     found = []
-    for p in ("(?:token\\s+)?buybacks?", "revenue\\s+generation", "first\\s+mover",
-              "enterprise\\s+contracts?", "whale\\s+accumulation", "ETF\\s+(?:launch|filing)"):
-        for m in re.finditer(p, text, re.I):
-            c = text[max(0, m.start() - 15):m.end() + 15].strip()
-            if 11 <= len(c) <= 49:
-                found.append(c)
+    for _, readings in PHRASES:
+        at = 0
+        while at < len(text):
+            ends = [e for e in (_phrase_end(text, at, r) for r in readings) if e is not None]
+            if not ends:
+                at += 1
+                continue
+            around = text[:ends[0] + 15][max(0, at - 15):].strip()
+            if 10 < len(around) < 50:
+                found.append(around)
+            at = ends[0]
     return found
 
 
