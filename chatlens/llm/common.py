@@ -28,10 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
 def table(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, purpose: str, keys: list[str]) -> DataFrame:
+    """Like ``table``, in the warehouse and bucketed: a join on ``keys`` then moves the other side only.
+
+    ``df`` should be dealt by ``keys`` to ``partitions(df)`` already, so that each task writes one bucket.
+    """
+    name = f"llm_{purpose}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(partitions(df), *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow frame with a checkpoint that Spark's cleaner removes."""
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
