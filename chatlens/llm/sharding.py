@@ -40,13 +40,12 @@ def interleaved(rows: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Data
     lined = whole.withColumn("_at", (2 * F.col("_k") + 1) / (2 * F.col("_n")).cast("double")).drop("_k", "_n")
     # a row is known by fraction and source; equal rows only differ by their place
     spot = common.ranked(lined, [F.col("_at"), last, F.col("doc_id").asc_nulls_last()], None, "_spot").drop("_at")
-    count = spot.agg(F.count("*").alias("_all"))  # one number
-    first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
+    n = max(spot.count(), 1)
+    first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
     return (
-        spot.join(F.broadcast(count))
-        .withColumn("shard", F.expr(f"(_spot * {shards}) div _all").cast("int"))
+        spot.withColumn("shard", F.expr(f"(_spot * {shards}) div {n}L").cast("int"))
         .withColumn("slot", (F.col("_spot") - first).cast("long"))
-        .drop("_spot", "_all")
+        .drop("_spot")
     )
 
 
