@@ -51,10 +51,12 @@ def rescan_tables(
     """Re-read start..end of the source into stored tables, then re-analyse edits.
 
     Messages edited since their analysis are looked for among those of these
-    days, and with ``edited_since`` also among all that were edited from then on.
+    times, and with ``edited_since`` also among all that were edited from then on.
     """
     live.write_batch(tables, scans.by_time(arrivals, start, end), None, analyzed_at, mode)
-    within = (F.col(DAY) >= day_of(_value(start))) & (F.col(DAY) <= day_of(_value(end)))
+    # The days choose folders, the times rows.
+    within = F.col(DAY).between(day_of(_value(start)), day_of(_value(end)))
+    within = within & F.col("ts_utc").between(_value(start), _value(end))
     if edited_since is not None:
         within = within | (F.col("edit_date") >= _value(edited_since))
     messages = tables.stored("messages").where(within)

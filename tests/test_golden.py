@@ -10,7 +10,7 @@ from chatlens.operators import analyse, normalise
 
 # text, tokens, investment, sentiment, topic, key points
 ROWS = [
-    ("Look, $LINK is soaring and the trend is bullish \U0001f680", "LINK", True, "BULLISH", "LINK", "is soaring"),
+    ("Look, $LINK is soaring and the trend is bullish \U0001f680", "LINK", True, "BULLISH", "LINK", ""),
     ("$ADA seems weak today, a dump is near, bearish mood all round", "ADA", True, "BEARISH", "ADA", ""),
     ("Charts are dull, nothing moves. One breakout would help.", "", False, "NEUTRAL", "CHARTS_DULL,_NOTHING", ""),
     ("$UNI and $DOT with strong volume, a defi summer again", "DOT,UNI", True, "BULLISH", "DOT", ""),
@@ -140,11 +140,16 @@ def test_ranges(spark, text, start, end):
 
 
 def test_limits_and_topics(spark):
-    limits = {"0": 1, "-4": 1, "limit:20000": 10000, "x": None, "Limit: 7": 7, "": None, "9" * 60: 10000, "-" + "9" * 60: 1}
+    limits = {"0": 1, "-4": 1, "limit:20000": 20000, "x": None, "Limit: 7": 7, "": None, "9" * 60: 2**63 - 1, "-" + "9" * 60: 1}
     topics = {"topic:$btc": "BTC", "$$x": "$X", "  ": None, "Topic: eth ": "ETH", "$": None}
     ld = spark.createDataFrame([(k,) for k in limits], "t string")
     td = spark.createDataFrame([(k,) for k in topics], "t string")
     assert {r.t: r.v for r in ld.select("t", ranges.parse_limit(F.col("t")).alias("v")).collect()} == limits
+    bounded = {t: v if v is None else min(v, 10000) for t, v in limits.items()}
+    cut = ranges.limit_was_cut(F.col("t"), 10000).alias("c")
+    rows = ld.select("t", ranges.parse_limit(F.col("t"), 10000).alias("v"), cut).collect()
+    assert {r.t: r.v for r in rows} == bounded
+    assert {r.t for r in rows if r.c} == {"0", "-4", "limit:20000", "9" * 60, "-" + "9" * 60}
     assert {r.t: r.v for r in td.select("t", ranges.parse_topic(F.col("t")).alias("v")).collect()} == topics
 
 
