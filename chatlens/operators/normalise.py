@@ -44,14 +44,13 @@ def _filled(c: Column) -> Column:
 
 
 def with_sender(
-    raw: DataFrame, users: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-    keys_from: DataFrame | None = None,
+    raw: DataFrame, users: DataFrame, max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """Adds ``handle``: that of a sender who is a user and has one."""
     handles = users.where((F.col("kind") == "user") & (F.col("username") != "")).select(
         F.col("user_id").alias("sender_id"), F.col("username").alias("handle")
     )
-    return lookup(raw, handles, ["sender_id"], ["chat_id", "id"], max_rows, keys_from=keys_from)
+    return lookup(raw, handles, ["sender_id"], max_rows)
 
 
 def with_forward(raw: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -64,7 +63,7 @@ def with_forward(raw: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADC
     named = _filled(F.col("forward.from_name"))
     found = lookup(
         raw.withColumn("_from_id", F.when(named.isNull(), F.col("forward.from_id"))),
-        origins, ["_from_id"], ["chat_id", "id"], max_rows,
+        origins, ["_from_id"], max_rows,
     )
     by_id = F.when(F.col("_known"), F.col("_origin")).otherwise(F.col("_from_id").cast("string"))
     return found.withColumns(
@@ -77,7 +76,7 @@ def normalise(
 ) -> DataFrame:
     """Messages rows, with ``ingest_seq`` carried along if the source has it."""
     texts = with_text(raw)
-    joined = with_sender(with_forward(texts, entities, max_rows), users, max_rows, keys_from=texts)
+    joined = with_sender(with_forward(texts, entities, max_rows), users, max_rows)
     rows = joined.withColumn("_split", author_split(F.col("message"))).select(
         "chat_id",
         F.col("id").alias("message_id"),

@@ -32,7 +32,7 @@ def pending(messages: DataFrame, marks: DataFrame, checkpoints: DataFrame,
     """Messages with text after the checkpoint and up to the high-water mark."""
     todo = bounds(marks, checkpoints)
     joined = lookup(
-        messages.where(F.length("text") > 0), todo, ["chat_id"], ["message_id"], max_rows, "inner"
+        messages.where(F.length("text") > 0), todo, ["chat_id"], max_rows, "inner"
     )
     return joined.where(F.col("message_id").between(F.col("first_id"), F.col("last_id"))).drop(
         "first_id", "last_id"

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 MAX_BROADCAST_ROWS = 200_000
-SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,50 +75,14 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def hot_keys(df: DataFrame, on: list[str], parts: int) -> list[tuple]:
-    """Keys that hold more than one ``parts``-th of all rows.
-
-    There are fewer than ``parts`` of them by definition, so the list is safe
-    to hold anywhere. Only the key columns are read, and counts combine before
-    the shuffle.
-    """
-    sizes = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    return [tuple(r) for r in sizes.where(F.col("_n") * parts > total).select(*on).collect()]
-
-
 def lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: list[str],
-    spread: list[str],
-    max_rows: int = MAX_BROADCAST_ROWS,
-    how: str = "left",
-    salts: int = SALTS,
-    keys_from: DataFrame | None = None,
+    facts: DataFrame, dimension: DataFrame, on: list[str], max_rows: int = MAX_BROADCAST_ROWS, how: str = "left"
 ) -> DataFrame:
     """Equi-join of a large frame with a lookup table.
 
     A table of checked small size is broadcast. A larger one is joined by
-    shuffle; keys (null included) that hold a large share of ``facts`` are
-    spread over ``salts`` tasks, for which only their own lookup rows are
-    repeated. ``spread`` names columns of ``facts`` to draw the salt from, such
-    as its primary key. ``keys_from`` is a cheaper frame with the same keys in
-    which to look for hot ones.
+    shuffle; Spark's adaptive skew join then splits the partition of a hot key,
+    null included, on the side of ``facts`` for left and inner joins alike, by the
+    bytes it really has.
     """
-    if is_small(dimension, max_rows):
-        return facts.join(F.broadcast(dimension), on, how)
-    hot = hot_keys(facts if keys_from is None else keys_from, on, salts)
-    if not hot:
-        return facts.join(dimension, on, how)
-    is_hot = F.lit(False)
-    for key in hot:
-        same = F.lit(True)
-        for name, value in zip(on, key):
-            same = same & F.col(name).eqNullSafe(F.lit(value))
-        is_hot = is_hot | same
-    draw = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    salted = facts.withColumn("_salt", F.when(is_hot, draw).otherwise(F.lit(0)))
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = dimension.withColumn("_salt", F.explode(every))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return facts.join(F.broadcast(dimension) if is_small(dimension, max_rows) else dimension, on, how)

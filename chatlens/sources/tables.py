@@ -108,7 +108,8 @@ class ChatTables:
     def merge(self, name: str, rows: DataFrame) -> None:
         """Upsert rows. Those of ``analysis`` need the ``day`` of their message.
 
-        Without ``ingest_seq`` all rows count as arriving at once.
+        Without ``ingest_seq`` all rows count as arriving at once. ``rows`` are
+        evaluated twice, once for their partition columns alone.
         """
         schema, fold, parts = _TABLES[name]
         if upsert.SEQ not in rows.columns:
@@ -117,9 +118,7 @@ class ChatTables:
         if name == "messages":
             placed = placed.withColumn(DAY, day_of("ts_utc"))
         wide = self._schema(name)
-        new_path, new = written(
-            S.conform(placed, T.StructType([*wide.fields, T.StructField(upsert.SEQ, T.LongType())])), "incoming"
-        )
+        new = S.conform(placed, T.StructType([*wide.fields, T.StructField(upsert.SEQ, T.LongType())]))
         touched = new.select(*parts).distinct()
         same = F.broadcast(touched) if is_small(touched) else touched
         before = self.stored(name).join(same, parts, "left_semi").withColumn(
@@ -130,7 +129,6 @@ class ChatTables:
             merged.hint("rebalance", *parts).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self.path(name))
         )
-        discard(self.spark, new_path)
         discard(self.spark, merged_path)
 
     def snapshot(self, name: str, path: str) -> None:
