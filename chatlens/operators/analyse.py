@@ -110,11 +110,6 @@ def with_verdict(df: DataFrame, text: str = "text", mode: str = STRICT) -> DataF
     return _verdict(_staged(df, text), text, mode).drop(*_WORK)
 
 
-def with_key_points(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``key_points``; reads a ``reply`` column where there is one."""
-    return _key_points(df, text).drop(*_WORK)
-
-
 def annotate(df: DataFrame, text: str = "text", mode: str = STRICT) -> DataFrame:
     """All analysis columns beside the input columns, in one pass without a shuffle."""
     return _key_points(_verdict(_flags(df, text), text, mode), text).drop(*_WORK)

@@ -27,10 +27,6 @@ def by_time(messages: DataFrame, start, end, limit: int | None = None) -> DataFr
     return rows if limit is None else rows.orderBy("ts_utc", "message_id").limit(limit)
 
 
-def one(messages: DataFrame, chat_id: int, message_id: int) -> DataFrame:
-    return messages.where((F.col("chat_id") == chat_id) & (F.col("message_id") == message_id))
-
-
 def by_ids(messages: DataFrame, wanted: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Messages whose key is listed; a short list travels to the scan, a long
     one is met by shuffle on the unique key."""
@@ -50,10 +46,5 @@ def stream(spark: SparkSession, path: str, schema: StructType = S.RAW_MESSAGE,
     return reader.load(path)
 
 
-def new_messages(arrivals: DataFrame) -> DataFrame:
-    """Live rows that are no edits."""
-    return arrivals.where(F.col("edit_date").isNull())
-
-
 def edits(arrivals: DataFrame) -> DataFrame:
     return arrivals.where(F.col("edit_date").isNotNull())

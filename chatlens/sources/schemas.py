@@ -71,28 +71,6 @@ HIGH_WATER_MARKS = _schema(
     ("created_at", _time, True),
 )
 
-USERS = _schema(("user_id", _long, False), ("username", _text, True), ("kind", _text, True))
-ENTITIES = _schema(("entity_id", _long, False), ("title", _text, True), ("username", _text, True))
-
-SCORES = _schema(
-    ("chat_id", _long, False),
-    ("message_id", _long, False),
-    ("positive", T.DoubleType(), True),
-    ("negative", T.DoubleType(), True),
-    ("neutral", T.DoubleType(), True),
-)
-
-REPLIES = _schema(("chat_id", _long, False), ("message_id", _long, False), ("reply", _text, True))
-
-REQUESTS = _schema(
-    ("request_id", _long, False),
-    ("chat_id", _long, True),
-    ("range_text", _text, True),
-    ("topic_text", _text, True),
-    ("limit_text", _text, True),
-    ("now_ts", _time, False),
-)
-
 #: Counts of one batch of the ingest.
 INGEST_LOG = _schema(
     ("rows_read", _long, True), ("rows_bad", _long, True), ("rows_analysed", _long, True), ("rescan", _flag, True),
