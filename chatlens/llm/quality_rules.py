@@ -25,8 +25,10 @@ MAX_REPEAT = 50
 #: Character-class distance allowed, and the code points a text needs to be judged by it.
 MAX_CLASS_DISTANCE = 0.30
 MIN_CHARS = 200
-#: Common-word distance allowed, and the words a text needs to be judged by it.
-MAX_WORD_DISTANCE = 0.40
+#: Common-word distance allowed to a long text, what chance adds (over the root of the
+#: number of words), and the words a text needs to be judged by it.
+MAX_WORD_DISTANCE = 0.35
+WORD_NOISE = 1.3
 MIN_COMMON = 100
 #: Common words of a reference, and the letters (bytes) that such a word may have.
 TOP_WORDS = 64
@@ -178,7 +180,7 @@ def judged(docs: DataFrame, refs: dict, max_class: float = MAX_CLASS_DISTANCE, m
                     words = common.plain_words(text)
                     np.add.at(own, [places.get(w, -1) for w in words], 1)
                     by_word = distance(own, common_n)
-                bad = failed or (by_class or 0) > max_class or (by_word or 0) > max_word
+                bad = failed or (by_class or 0) > max_class or (by_word or 0) > max_word + WORD_NOISE / max(n, 1) ** 0.5
                 out.append((doc_id, n, chars, symbols, dup, again, failed, by_class, by_word, not bad))
             kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
             cols = list(zip(*out)) or [()] * len(kinds)
