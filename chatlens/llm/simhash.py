@@ -230,10 +230,10 @@ def grouped(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Add ``root``, the fingerprint that stands for the component, to rows with ``fp``.
 
     Fingerprints are compared once each, however many rows hold them. Only linked
-    ones have a row in the joined table, so a fingerprint of a third of all rows
-    is a skewed key of an ordinary left join.
+    ones have a row in the joined table; it is cut, so that both sides of the join
+    are plain shuffles and Spark can split a fingerprint of a third of all rows.
     """
-    found = components(links(rows.select("fp").distinct(), max_bits))
+    found = common.cut(components(links(rows.select("fp").distinct(), max_bits)))
     return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -246,7 +246,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -
     """
     rows = common.cut(fingerprinted(docs, ["doc_id"], words))
     whole = grouped(rows, max_bits)
-    first = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first = common.cut(whole.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return whole.join(first, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
