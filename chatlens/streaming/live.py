@@ -81,8 +81,9 @@ def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int | None, analy
     moved = good.where(F.col("edit_date").isNull()).select("chat_id", "message_id", "ts_utc")
     tables.merge("ingest_checkpoint", upsert.checkpoints(moved, analyzed_at))
     keys = good.groupBy(*S.KEY).agg(F.count("*").alias("n")).agg(F.sum("n").alias("good"), F.count("*").alias("analysed"))
-    counts = keys.join(bad.agg(F.count("*").alias("rows_bad"))).select(
-        (F.coalesce("good", F.lit(0)) + F.col("rows_bad")).alias("rows_read"), "rows_bad",
+    n_bad = F.lit(bad.count())
+    counts = keys.select(
+        (F.coalesce("good", F.lit(0)) + n_bad).alias("rows_read"), n_bad.alias("rows_bad"),
         F.col("analysed").alias("rows_analysed"), F.lit(batch_id is None).alias("rescan"),
     )
     tables.note(S.conform(counts, S.INGEST_LOG), f"rescan-{uuid.uuid4().hex}" if batch_id is None else str(batch_id))
