@@ -1,7 +1,7 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
 A window of thirteen words that two texts share has the same anchor in both: of
-its four-word phrases the one with the smallest hash. So windows are compared
+its six-word phrases the one with the smallest hash. So windows are compared
 only where an anchor occurs in several texts.
 
 1. Each text yields its anchors; those of several texts are kept.
@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from chatlens.llm import common
 
 WINDOW = 13
-ANCHOR = 4
+ANCHOR = 6
 #: Stretches of one anchor above which it is dealt to several tasks.
 HOT = 20_000
 #: Stretches that go into one automaton, about.
 PER_AUTOMATON = 5_000
+#: Bits of the map of repeated anchors that tasks get: a fixed size. With more
+#: anchors it lets more pass, and the join after it sorts them out.
+MAP_BITS = 1 << 27
 #: A null id counts as larger than any.
 LAST = (1 << 63) - 1
 
@@ -46,10 +49,7 @@ def split(text: str | None) -> list[bytes]:
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, first window, end of windows)`` of each anchor in a text.
-
-    Windows that share an anchor at one place follow each other.
-    """
+    """``(hash, first window, end of windows)`` of each run of windows with one anchor."""
     none = np.zeros(0, np.int64)
     if len(words) < WINDOW:
         return none, none, none
@@ -64,9 +64,9 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     phrase ^= phrase >> np.uint64(32)
     span = WINDOW - ANCHOR + 1
     seen = np.lib.stride_tricks.sliding_window_view(phrase, span)
-    at = seen.argmin(axis=1) + np.arange(len(seen))
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return phrase[at[starts]].view(np.int64), starts, np.r_[starts[1:], len(seen)]
+    least = seen.min(axis=1)
+    starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[starts].view(np.int64), starts, np.r_[starts[1:], len(seen)]
 
 
 def _digests(batches):
@@ -83,23 +83,56 @@ def _digests(batches):
         )
 
 
-def _stretches(batches):
-    """Stretches of the repeated anchors of each text, with the words joined by one space."""
-    for batch in batches:
-        rows = []
-        for doc, th, text, repeated in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text", "repeated"))):
-            words = split(text)
-            codes, lo, hi = anchors(words)
-            parts = {r["anchor"]: r["parts"] for r in repeated}
-            for code, a, b in zip(codes.tolist(), lo.tolist(), hi.tolist()):
-                if code in parts:
-                    rows.append((code, parts[code], doc, th, a, b" ".join(words[a : b + WINDOW - 1])))
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "parts", "doc", "th", "pos", "words"])
-
-
-_STRETCH = "anchor long, parts int, doc long, th long, pos long, words binary"
+def _map_of(repeated: DataFrame) -> np.ndarray:
+    """Bit map of the repeated anchors."""
+    spot = F.pmod("anchor", F.lit(MAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("anchor", F.lit(64)).cast("int"))
+    found = repeated.groupBy(F.floor(spot / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _postings(base: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``th, anchor`` of the anchors in the map."""
+    shared = base.sparkSession.sparkContext.broadcast(bits)  # MAP_BITS / 8 bytes
+
+    def run(batches):
+        held = shared.value
+        for batch in batches:
+            lists = batch.column("anchors")
+            anchor = lists.flatten().to_numpy(zero_copy_only=False)
+            th = np.repeat(batch.column("th").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            keep = (held[(anchor % MAP_BITS) >> 6] >> (anchor & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(th[keep]), pa.array(anchor[keep])], ["th", "anchor"])
+
+    return base.select("th", "anchors").mapInArrow(run, "th long, anchor long")
+
+
+def _stretches(hot: bool):
+    """Function that cuts the stretches of each text's repeated anchors, of the hot
+    or of the other ones: their words joined by one space, once with all places."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, th, text, repeated in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text", "repeated"))):
+                words = split(text)
+                codes, lo, hi = anchors(words)
+                parts = {r["anchor"]: r["parts"] for r in repeated if (r["parts"] > 1) == hot}
+                places: dict[tuple[int, bytes], list[int]] = {}
+                for code, a, b in zip(codes.tolist(), lo.tolist(), hi.tolist()):
+                    if code in parts:
+                        places.setdefault((code, b" ".join(words[a : b + WINDOW - 1])), []).append(a)
+                rows += [(code, parts[code], doc, th, at, stretch) for (code, stretch), at in places.items()]
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "parts", "doc", "th", "pos", "words"])
+
+    return run
+
+
+_STRETCH = "anchor long, parts int, doc long, th long, pos array<long>, words binary"
 _SPAN = "doc long, th long, first long, last long"
 
 
@@ -122,19 +155,18 @@ def _automaton(phrases: dict[tuple[int, ...], int]):
 
 def _located(doc, th, pos, numbers, machine, firsts):
     """Spans of words that phrases from earlier documents cover, one stretch after the other."""
-    for d, t, p, words in zip(doc, th, pos, numbers):
-        lo = hi = None
+    for d, t, places, words in zip(doc, th, pos, numbers):
+        found: list[list[int]] = []
         for end, k in machine.iter(tuple(words)):
             if firsts[k] < d:
                 a, b = end - WINDOW + 1, end + 1
-                if hi is not None and a <= hi:
-                    hi = b
+                if found and a <= found[-1][1]:
+                    found[-1][1] = b
                 else:
-                    if hi is not None:
-                        yield d, t, p + lo, p + hi
-                    lo, hi = a, b
-        if hi is not None:
-            yield d, t, p + lo, p + hi
+                    found.append([a, b])
+        for p in places:
+            for a, b in found:
+                yield d, t, p + a, p + b
 
 
 def _spans(rows):
@@ -202,11 +234,17 @@ def _hot_shard(stretches: pa.Table, confirmed: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_spans(rows)])
 
 
-def spans(stretches: DataFrame) -> DataFrame:
+def spans(texts: DataFrame) -> DataFrame:
     """``doc, th, first, last``: words to remove. Anchors of more than one part are dealt to several tasks."""
-    parts = common.partitions(stretches)
-    cold = stretches.where("parts = 1").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_shards, _SPAN)
-    hot = stretches.where("parts > 1")
+    cold = (
+        texts.mapInArrow(_stretches(False), _STRETCH).repartition(common.partitions(texts), "anchor")
+        .sortWithinPartitions("anchor", "doc").mapInArrow(_shards, _SPAN)
+    )
+    with_hot = texts.where("exists(repeated, r -> r.parts > 1)")
+    if with_hot.isEmpty():
+        return cold
+    # read more than once, and few: only these are stored
+    hot = common.table(with_hot.mapInArrow(_stretches(True), _STRETCH), "stretches")
     confirmed = (
         hot.mapInArrow(_phrases, "anchor long, phrase binary, doc long")
         .groupBy("anchor", "phrase").agg(F.min("doc").alias("start"), F.max("doc").alias("end")).where("start < end")
@@ -248,21 +286,22 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     base = common.table(
         rows.mapInArrow(_digests, "doc long, th long, n_words long, sha string, anchors array<long>"), "digests"
     )
-    postings = base.select("th", F.explode("anchors").alias("anchor"))
     repeated = (
-        postings.groupBy("anchor").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count("*").alias("n"))
+        base.select("th", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count("*").alias("n"))
         .where("a < b").select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
     )
+    repeated = common.cut(repeated)
     firsts = base.groupBy("th").agg(F.min("doc").alias("first"))
-    of_text = postings.join(repeated, "anchor").groupBy("th").agg(F.collect_set(F.struct("anchor", "parts")).alias("repeated"))
+    of_text = _postings(base, _map_of(repeated)).join(repeated, "anchor").groupBy("th").agg(F.collect_set(F.struct("anchor", "parts")).alias("repeated"))
     chosen = of_text.join(firsts, "th").select(F.col("th").alias("_th"), F.col("first").alias("_doc"), "repeated")
-    texts = common.table(
-        rows.join(chosen, (rows["th"] == chosen["_th"]) & (rows["doc"] == chosen["_doc"])).select("doc", "th", "text", "repeated"),
-        "passages",
+    dealt = rows.repartition(common.partitions(docs), "th", "doc")
+    texts = common.bucketed(
+        dealt.join(chosen, (dealt["th"] == chosen["_th"]) & (dealt["doc"] == chosen["_doc"])).select("doc", "th", "text", "repeated"),
+        "passages", ["th", "doc"],
     )
-    found = spans(texts.mapInArrow(_stretches, _STRETCH))
-    cuts = found.groupBy("doc", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    left = texts.select("doc", "th", "text").join(cuts, ["doc", "th"]).mapInArrow(_removed, "th long, gone long, left_sha string")
+    found = spans(texts)
+    cuts = found.groupBy("th", "doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    left = texts.select("doc", "th", "text").join(cuts, ["th", "doc"]).mapInArrow(_removed, "th long, gone long, left_sha string")
     left = left.groupBy("th").agg(F.max("gone").alias("gone"), F.max("left_sha").alias("left_sha"))
     all_gone = (F.col("doc") > F.col("first")) & (F.col("n_words") >= WINDOW)
     return (
