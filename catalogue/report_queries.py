@@ -394,7 +394,7 @@ def batch_token_reports(spark, sf):
 
 
 # Whole documents and whole conversations as the messages of three chats.
-_TEXT_SPAN = "2024-01-01 00:00:00", "2034-01-01 00:00:00"
+_TEXT_START = "2024-01-01 00:00:00"
 
 
 def _as_chats(rows, number):
@@ -402,33 +402,34 @@ def _as_chats(rows, number):
     n = F.col("message_id")
     return rows.withColumn("message_id", number).select(
         (n % 3 + 1).alias("chat_id"), n.alias("message_id"),
-        (I.at(_TEXT_SPAN[0]) + F.make_dt_interval(F.lit(0), F.lit(0), n.cast("int"), F.lit(0.0))).alias("ts_utc"),
+        F.timestamp_seconds(F.unix_timestamp(I.at(_TEXT_START)) + 60 * n.cast("long")).alias("ts_utc"),
         F.concat(F.lit("user_"), (n % 7).cast("string")).alias("from_username"), "text",
     )
 
 
 def _text_report(messages):
+    """Report over all times of one chat."""
     analysis = analyse.analyse(messages, I.at(I.ANALYSED_AT), mode=analyse.LEXICON)
-    frame = relational.report_frame(messages, analysis, CHAT, *[I.at(t) for t in _TEXT_SPAN])
-    return report.report_rows(frame)
+    joined = relational.with_analysis(relational.of_chat(messages, CHAT), relational.of_chat(analysis, CHAT))
+    return report.report_rows(relational.report_columns(joined))
 
 
 def _text_report_sql(source: str) -> str:
     verdict, _ = Q.lexicon_verdict()
     return f"""m AS (SELECT message_id % 3 + 1 AS chat_id, message_id,
-  TIMESTAMP '{_TEXT_SPAN[0]}' + to_minutes(message_id) AS ts_utc, text FROM ({source})),
+  TIMESTAMP '{_TEXT_START}' + to_minutes(message_id) AS ts_utc, text FROM ({source})),
 c AS (SELECT * FROM m WHERE chat_id = {CHAT}), {Q.annotated('a', 'c', 'message_id')},
 frame AS (SELECT message_id, ts_utc, is_investment, {verdict} AS sentiment, tokens FROM a), {_report_sql('frame')}"""
 
 
 @query(f"WITH {I.PROSE_SQL}, {_text_report_sql('SELECT doc_id AS message_id, text FROM prose')}")
 def report_documents(spark, sf):
-    """Standard report over whole documents as messages."""
+    """Standard report of one chat (a third of all), with whole documents as messages."""
     return _text_report(_as_chats(I.prose(spark, sf), F.col("doc_id")))
 
 
 @query(f"WITH {_text_report_sql('SELECT conv_id * 1000 + turn AS message_id, text FROM conversations')}")
 def report_conversations(spark, sf):
-    """Standard report over all turns of all conversations as messages."""
+    """Standard report of one chat (a third of all), with whole turns as messages."""
     number = F.col("chat_id") * 1000 + F.col("message_id")
     return _text_report(_as_chats(I.conversation_messages(spark, sf), number))
