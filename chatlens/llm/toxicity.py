@@ -91,14 +91,10 @@ def segments(positions: list[int], scores: list[float], drift: float) -> list[tu
 def _measured(text, model, known: WordScores):
     """Number of tokens, the segments of a text, and its words.
 
-    The k-th time that a text uses a word counts 1/k^2: repeats are not independent.
+    Every use of a word counts in full, wherever it stands and however often.
     """
     words = common.plain_words(text)
-    hits, times = [], {}
-    for i, s in enumerate(map(known.__getitem__, words)):
-        if s is not None:
-            k = times[words[i]] = times.get(words[i], 0) + 1
-            hits.append((i, s / (k * k)))
+    hits = [(i, s) for i, s in enumerate(map(known.__getitem__, words)) if s is not None]
     return len(words), segments([i for i, _ in hits], [s for _, s in hits], model["drift"]), words
 
 
