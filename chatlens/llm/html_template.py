@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from chatlens.llm import common
 
-#: Pages of a host from which on its template is deduced, and the share of them a token must stand on.
+#: Pages with different main texts that a host and each token of its template must have, and the share of all
+#: pages that a token must stand on (it bounds a template by a hundred times the tokens of a page).
 MIN_PAGES = 5
-MIN_SHARE = 0.9
-#: Tokens that a class must have.
+MIN_SHARE = 0.01
+#: Tokens that a class must have whose counts differ from page to page.
 MIN_CLASS = 3
 #: Hosts up to which their templates may be broadcast.
 MAX_HOSTS = 20_000
@@ -160,6 +161,11 @@ class Page:
             out[token] = (path, True, out.get(token, (0, True, 0))[2] + 1)
         return out
 
+    def main_key(self) -> int:
+        """Hash of the longest text; copies of a page under several addresses share it."""
+        slots = [b for b in self.blocks if not b[2]] or self.blocks
+        return _code(max((b[1] for b in slots), key=lambda t: (len(t), t), default=""))
+
     def text(self, template: frozenset[int] = frozenset()) -> str:
         """Slots that are article text, in page order; ``template`` holds tokens of constant text."""
         slots = [b for b in self.blocks if not b[2] and _code(str(b[0]), "text", b[1]) not in template]
@@ -170,21 +176,24 @@ class Page:
         return "\n".join(b[1] for b in slots)
 
 
-def template(tokens: list[tuple[int, int, bool, int, int, int]]) -> list[int]:
-    """Constant text tokens of the template, from ``(token, parent, is text, pages, vector, vector)``.
+def template(tokens: list[tuple[int, int, bool, int, int, int, int, int]]) -> list[int]:
+    """Constant text tokens, from ``(token, parent, is text, pages, vector, vector, least, most)``.
 
-    Tokens with the same vector are a class. Classes of ``MIN_CLASS`` tokens are
-    valid as far as they nest: a token stays only if its parent path stays.
+    A text that stands equally often on each of its pages (``least`` is ``most``)
+    is constant by itself. Of the others, tokens with the same vector are a
+    class. Classes of ``MIN_CLASS`` tokens are valid as far as they nest: a token
+    stays only if its parent path stays.
     """
+    constant = {t[0] for t in tokens if t[2] and t[6] == t[7]}
     classes: dict[tuple, list] = {}
     for t in tokens:
-        classes.setdefault(t[3:], []).append(t)
+        classes.setdefault(t[3:6], []).append(t)
     held = {t[0]: t for c in classes.values() if len(c) >= MIN_CLASS for t in c}
-    held[0] = (0, 0, False, 0, 0, 0)
+    held[0] = (0, 0, False, 0, 0, 0, 0, 0)
     while lost := [k for k, t in held.items() if k and t[1] not in held]:
         for k in lost:
             del held[k]
-    return sorted(k for k, t in held.items() if t[2])
+    return sorted(constant.union(k for k, t in held.items() if t[2]))
 
 
 def host_of(url: Column) -> Column:
@@ -193,43 +202,58 @@ def host_of(url: Column) -> Column:
 
 
 def _counted(batches):
-    """Token counts of each host, summed up within a batch: pages, and two sums that stand for the vector."""
+    """Token counts of each host, summed up within a batch: pages, two sums that stand for the vector, least and most.
+
+    A token has a row for each of up to ``MIN_PAGES`` main texts; the first one holds the counts.
+    """
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
         for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
             if not host:
                 continue
-            for token, (parent, is_text, n) in Page(source).tokens().items():
+            page = Page(source)
+            main = page.main_key()
+            for token, (parent, is_text, n) in page.tokens().items():
                 mark = xxhash.xxh64_intdigest(f"{key} {n}", 9)
-                held = sums.setdefault((host, token), [parent, is_text, 0, 0, 0])
+                held = sums.setdefault((host, token), [parent, is_text, 0, 0, 0, n, n, {main}])
                 held[2] += 1
                 held[3] += mark >> 33
                 held[4] += mark & 0x7FFFFFFF
-        cols = list(zip(*[(h, t, *v) for (h, t), v in sums.items()])) or [()] * 7
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+                held[5], held[6] = min(held[5], n), max(held[6], n)
+                if len(held[7]) < MIN_PAGES:
+                    held[7].add(main)
+        rows = []
+        for (host, token), (*counts, mains) in sums.items():
+            first, *more = mains
+            rows.append((host, token, *counts, first))
+            rows += [(host, token, *counts[:2], 0, 0, 0, *counts[5:], m) for m in more]
+        cols = list(zip(*rows)) or [()] * 10
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 6)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "token", "parent", "is_text", "n", "v1", "v2"]
+            [pa.array(c, k) for c, k in zip(cols, kinds)],
+            ["host", "token", "parent", "is_text", "n", "v1", "v2", "least", "most", "main"],
         )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, template array<long>)`` of every host with ``MIN_PAGES`` pages.
+    """``(host, template array<long>)`` of every host with ``MIN_PAGES`` pages of different main texts.
 
     Occurrence vectors are held as sums that add up in any order, so counting is
-    an ordinary aggregation: a host with a third of all pages sends a row for
-    each token and task. What is gathered for a host stands on nearly all of its
-    pages and so is bounded by the size of a page.
+    an ordinary aggregation: a host with a third of all pages sends a few
+    rows for each token and batch. What is gathered for a host stands on at least
+    ``MIN_SHARE`` of its pages and so is bounded by the size of a page.
     """
     counts = (
-        pages.mapInArrow(_counted, "host string, token long, parent long, is_text boolean, n long, v1 long, v2 long")
+        pages.mapInArrow(_counted, "host string, token long, parent long, is_text boolean, n long, v1 long, v2 long, least long, most long, main long")
         .groupBy("host", "token")
-        .agg(F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), *[F.sum(c).alias(c) for c in ("n", "v1", "v2")])
-        .where(F.col("n") >= MIN_PAGES)
+        .agg(F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), *[F.sum(c).alias(c) for c in ("n", "v1", "v2")],
+             F.min("least").alias("least"), F.max("most").alias("most"), F.count_distinct("main").alias("mains"))
+        .where(F.col("mains") >= MIN_PAGES).drop("mains")
     )
     counts = common.cut(counts)
     size = counts.where("token = 0").select("host", F.col("n").alias("pages"))
     often = counts.join(size, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
-    gathered = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "is_text", "n", "v1", "v2")).alias("tokens"))
+    gathered = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "is_text", "n", "v1", "v2", "least", "most")).alias("tokens"))
 
     def deduced(batches):
         for batch in batches:
