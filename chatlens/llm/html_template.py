@@ -49,6 +49,8 @@ SKIP_WORDS = frozenset(
     "pagination popup promo promos promoted promotion recommended related replies reply respond search share sharing "
     "sidebar sidebars signup skip social sponsor sponsored subscribe subscription tooltip topbar widget widgets".split()
 )
+#: Words of parts that other people wrote, which are left out however long they are.
+COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
 HEADINGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 #: Tags that a start of the same kind closes, and where the search for it ends.
 CLOSED_BY_LIKE = {"li": "ul ol menu dir", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr table", "th": "tr table",
@@ -74,15 +76,19 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _is_aside(name: str, attributes: dict[str, str]) -> bool:
-    """Whether an element is a part of the page beside the article."""
+    """Whether an element is beside the article by its tag or hidden."""
     if name in SKIP or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+    return "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _skip_words(name: str, attributes: dict[str, str]) -> frozenset[str]:
+    """Words by which an element names itself a part beside the article."""
     if name in HEADINGS and "comment" not in attributes.get("class", "").lower():
-        return False
+        return frozenset()
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    return any(p.lower() in SKIP_WORDS for p in _PART.findall(named) + [n.replace("-", "").replace("_", "") for n in named.split()])
+    parts = [p.lower() for p in _PART.findall(named)] + [n.replace("-", "").replace("_", "") for n in named.split()]
+    return SKIP_WORDS.intersection(parts)
 
 
 class Page:
@@ -90,23 +96,24 @@ class Page:
 
     def __init__(self, source: str | None):
         self.tags: list[tuple[int, int]] = []  # path, path of the parent
-        #: path, text, beside the article, inside an article, inside a main part
-        self.blocks: list[tuple[int, str, bool, bool, bool]] = []
-        self._open: list[tuple[str, int, bool, bool, bool]] = []
+        #: path, text, beside the article, inside an article, inside a main part, named parts around it
+        self.blocks: list[tuple[int, str, bool, bool, bool, tuple]] = []
+        self._open: list[tuple[str, int, bool, bool, bool, tuple]] = []
+        #: Numbers of the named parts within an article that hold its first h1.
+        self._titled: frozenset[int] | None = None
         self._text: list[str] = []
         self._read(source or "")
         self._flush()
 
     def _top(self):
-        return self._open[-1] if self._open else ("", 0, False, False, False)
+        return self._open[-1] if self._open else ("", 0, False, False, False, ())
 
     def _flush(self):
         if self._text:
             text = " ".join(html_lib.unescape("".join(self._text)).split())
             self._text = []
             if text:
-                _, path, aside, article, main = self._top()
-                self.blocks.append((path, text, aside, article, main))
+                self.blocks.append((self._top()[1], text, *self._top()[2:]))
 
     def _close(self, name: str, stops: frozenset[str] | tuple = ()):
         for i in range(len(self._open) - 1, -1, -1):
@@ -140,16 +147,20 @@ class Page:
             elif name in BLOCK and name != "br":
                 self._close("p", tuple(CLOSED_BY_LIKE["p"].split()))
             attributes = _attributes(rest)
-            _, parent, aside, article, main = self._top()
+            _, parent, aside, article, main, named = self._top()
             path = _code(str(parent), name, attributes.get("class", ""), attributes.get("id", ""))
             self.tags.append((path, parent))
-            own = aside or _is_aside(name, attributes) or (name == "header" and not article)
+            own = aside or _is_aside(name, attributes) or (name == "header" and not article and not main)
+            if words := _skip_words(name, attributes):
+                named = (*named, (len(self.tags), words, article or main))  # its number, its words, whether within an article
+            if name == "h1" and self._titled is None and (article or main) and not own:
+                self._titled = frozenset(k for k, _, within in named if within)
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else size
             elif name not in VOID and not rest.rstrip().endswith("/"):
                 body = attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-                self._open.append((name, path, own, article or name == "article", main or name == "main" or body))
+                self._open.append((name, path, own, article or name == "article", main or name == "main" or body, named))
 
     def tokens(self) -> dict[int, tuple[int, bool, int]]:
         """``{token: (parent, is text, count)}``; token 0 is the page itself."""
@@ -161,17 +172,43 @@ class Page:
             out[token] = (path, True, out.get(token, (0, True, 0))[2] + 1)
         return out
 
+    def _slots(self, template: frozenset[int] = frozenset()) -> list[tuple]:
+        """Blocks outside the template and outside parts beside the article.
+
+        A word names no such part if most of the text is in parts of that name
+        (comments excepted), nor does one within an article that holds its title.
+        Beside an article with a title, the first holds only for parts within one.
+        """
+        blocks = [b for b in self.blocks if not b[2] and _code(str(b[0]), "text", b[1]) not in template]
+        size: dict[str, int] = {}
+        for b in blocks:
+            for word in {w for _, words, within in b[5] if within or self._titled is None for w in words}:
+                size[word] = size.get(word, 0) + len(b[1])
+        total = sum(len(b[1]) for b in blocks)
+        free = {w for w, n in size.items() if 2 * n > total} - COMMENT_WORDS
+        titled = self._titled or ()
+        return [
+            b for b in blocks
+            if all(k in titled or words <= free and (within or self._titled is None) for k, words, within in b[5])
+        ]
+
     def main_key(self) -> int:
         """Hash of the longest text; copies of a page under several addresses share it."""
-        slots = [b for b in self.blocks if not b[2]] or self.blocks
+        slots = self._slots() or self.blocks
         return _code(max((b[1] for b in slots), key=lambda t: (len(t), t), default=""))
 
     def text(self, template: frozenset[int] = frozenset()) -> str:
-        """Slots that are article text, in page order; ``template`` holds tokens of constant text."""
-        slots = [b for b in self.blocks if not b[2] and _code(str(b[0]), "text", b[1]) not in template]
+        """Slots that are article text, in page order; ``template`` holds tokens of constant text.
+
+        These are the articles if they hold half of all slot text, else the main
+        parts if these do, else all slots.
+        """
+        slots = self._slots(template)
+        total = sum(len(b[1]) for b in slots)
         for k in (3, 4):
-            if any(b[k] for b in slots):
-                slots = [b for b in slots if b[k]]
+            region = [b for b in slots if b[k]]
+            if region and 2 * sum(len(b[1]) for b in region) >= total:
+                slots = region
                 break
         return "\n".join(b[1] for b in slots)
 

@@ -35,3 +35,19 @@ def test_copies_of_a_page_keep_their_text(spark):
     pages = [MENU + STORY.format(i=i) for i in [7] * 8 + list(range(10, 20))]
     out = extracted(spark, pages)
     assert all(out[k] == OWN.format(i=7) for k in range(8)) and out[8] == OWN.format(i=10)
+
+
+def test_regions_are_chosen_by_volume():
+    story, teaser = "<p>" + "A long story told at length. " * 5 + "</p>", "<article><h2>Teaser</h2></article>"
+    for page in (f"<main>{story}</main>{teaser}", f"<div>{story}</div>{teaser}", f"<main>{story}{teaser}</main>"):
+        assert html_template.Page(page).text().startswith("A long story")
+    assert html_template.Page(f"<p>out</p><article>{story}</article>").text() == ("A long story told at length. " * 5).strip()
+
+
+def test_one_word_does_not_hide_the_story():
+    story = "<p>" + "A long story told at length. " * 5 + "</p>"
+    text = ("A long story told at length. " * 5).strip()
+    page = html_template.Page
+    assert page(f"<article><header class='entry-header'><h1>Title</h1></header>{story}</article>").text() == "Title\n" + text
+    assert page(f"<div class='elementor-widget-container'>{story}</div><div class='sidebar'>beside</div>").text() == text
+    assert page(f"{story}<div class=widget>beside</div><section class=comments>{'<p>No. </p>' * 90}</section>").text() == text
