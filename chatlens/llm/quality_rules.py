@@ -1,7 +1,7 @@
 """Quality rules by divergence from language references.
 
 Each language's reference holds the shares of character classes and of its most
-common short words over all its documents. A document fails if its own shares
+common words over all its documents. A document fails if its own shares
 lie too far from the reference in Jensen-Shannon distance. Base rules on length
 and repetition come first.
 """
@@ -30,9 +30,8 @@ MIN_CHARS = 200
 MAX_WORD_DISTANCE = 0.35
 WORD_NOISE = 1.3
 MIN_COMMON = 100
-#: Common words of a reference, and the letters (bytes) that such a word may have.
+#: Common words of a reference.
 TOP_WORDS = 64
-WORD_BYTES = 5
 #: Reference of all languages together, for documents whose language is null.
 ALL = "*"
 
@@ -103,8 +102,7 @@ def references(docs: DataFrame) -> dict:
     """``{language: (class counts, {word: place}, word counts with the rest last)}``.
 
     Counts cover every document. Each batch sends one row for each class and for
-    each short word of each language, so what is shuffled follows the vocabulary
-    of short words. The driver gets ``TOP_WORDS`` rows and the classes for each
+    each word of each language, so what is shuffled follows the vocabulary. The driver gets ``TOP_WORDS`` rows and the classes for each
     language.
     """
 
@@ -124,7 +122,7 @@ def references(docs: DataFrame) -> dict:
             for lang, (kinds, words) in by.items():
                 rows += [(lang, f"\t{i}".encode(), int(n)) for i, n in enumerate(kinds)]
                 rows.append((lang, b"\tall", sum(words.values())))
-                rows += [(lang, w, n) for w, n in words.items() if len(w) <= WORD_BYTES]
+                rows += [(lang, w, n) for w, n in words.items()]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["lang", "what", "n"]
