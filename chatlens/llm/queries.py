@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlens.llm import decontamination, html_template, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity
+from chatlens.llm import chat_format, decontamination, html_template, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontamination.op9,
         "op10_quality_rules": quality_rules.op10,
+        "op13_chat_format": chat_format.op13,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql():
         "op3_sharding": sharding.OP3_SQL,
         "op7_substrings": substrings.OP7_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
+        "op13_chat_format": chat_format.OP13_SQL,
     }
