@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlens.llm import chat_format, decontamination, html_template, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity
+from chatlens.llm import chat_format, decontamination, html_template, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity, turn_repair
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontamination.op9,
         "op10_quality_rules": quality_rules.op10,
+        "op12_turn_repair": turn_repair.op12,
         "op13_chat_format": chat_format.op13,
     }
 
