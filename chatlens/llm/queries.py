@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlens.llm import chat_format, decontamination, html_template, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity, turn_repair
+from chatlens.llm import chat_format, decontamination, html_template, language, mixing, quality_net, quality_rules, sharding, simhash, substrings, toxicity, treap_search, turn_repair
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontamination.op9,
         "op10_quality_rules": quality_rules.op10,
+        "op11_treap_search": treap_search.op11,
         "op12_turn_repair": turn_repair.op12,
         "op13_chat_format": chat_format.op13,
     }
@@ -28,5 +29,6 @@ def oracle_sql():
         "op3_sharding": sharding.OP3_SQL,
         "op7_substrings": substrings.OP7_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
+        "op11_treap_search": treap_search.OP11_SQL,
         "op13_chat_format": chat_format.OP13_SQL,
     }
