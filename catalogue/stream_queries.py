@@ -74,6 +74,15 @@ def stream_upsert(spark, sf):
     return T._table(ingested(spark, sf).current("messages"))
 
 
+@query(_MERGED)
+def stream_settled(spark, sf):
+    """Days settled after every batch, then all arrivals once more on top of the settled ones."""
+    arrivals = I.arrivals(spark, sf)
+    tables = _ingest(spark, _parts(S.conform(arrivals, _STREAMED)), _STREAMED, settle_every=1)
+    tables.merge("messages", arrivals)
+    return T._table(tables.current("messages"))
+
+
 @query(f"WITH {T._LAST_ANALYSIS} {T._ANALYSIS_ROWS}")
 def stream_resume(spark, sf):
     """Stopped after each part and started again: analysis of last arrivals."""
@@ -195,7 +204,7 @@ def stream_quarantine(spark, sf):
     tables = _ingest(spark, [lines.select("line", "value")], _LINES, prepare, name_bad=live.split_bad)
     reason = S.T.StructType([S.T.StructField("reason", S.T.StringType())])
     kinds = [tables.quarantine(kind, reason).select(F.col("reason").alias("outcome")) for kind in ("incomplete", "unreadable")]
-    held = tables.stored("messages").select(F.lit("ingested").alias("outcome"))
+    held = tables.current("messages").select(F.lit("ingested").alias("outcome"))
     return held.unionByName(kinds[0]).unionByName(kinds[1]).groupBy("outcome").agg(F.count("*").alias("n"))
 
 

@@ -444,6 +444,20 @@ def overlap_window(spark, sf):
     return rows.select(*S.KEY, I.ntz("edit_date").alias("edit_date"))
 
 
+@query(
+    f"""WITH {M} SELECT chat_id, message_id, CASE WHEN edit_date >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 600 MINUTE
+  OR ts_utc BETWEEN TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 600 MINUTE AND TIMESTAMP '2024-01-20 00:00:00'
+  THEN TIMESTAMP '2024-03-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS analyzed_at FROM messages"""
+)
+def overlap_rescan(spark, sf):
+    """The overlap step on stored tables: the last hours read again, edits since then re-analysed."""
+    rows = I.messages(spark, sf)
+    tables = ChatTables(spark, scratch_folder(spark, "tables"))
+    live.write_batch(tables, rows, 0, I.at("2024-01-01 00:00:00"))
+    rescan.overlap_rescan(tables, rows, I.at("2024-01-20 00:00:00"), I.at("2024-03-01 00:00:00"), minutes=600)
+    return tables.current("analysis").select(*S.KEY, I.ntz("analyzed_at").alias("analyzed_at"))
+
+
 @query(
     f"""WITH {WHOLE}, done AS (SELECT *, CASE WHEN edit_date IS NOT NULL THEN TIMESTAMP '2024-02-02 00:00:00'
   ELSE TIMESTAMP '2024-01-01 00:00:00' END AS analyzed_at FROM analysed)

@@ -41,6 +41,31 @@ def fold_messages(arrivals: DataFrame, seq: list[str] | None = None) -> DataFram
     )
 
 
+def fold_versions(rows: DataFrame, keys: list[str], first: list[str], last: list[str]) -> DataFrame:
+    """``fold_messages`` for rows that may be folds themselves, and that can be folded again.
+
+    ``first`` is the place of the arrival that the fixed columns are from,
+    ``last`` that of the edit; a row as it arrived has both the same. They stay
+    with what they placed, so the fold is one of sets: any order, any grouping
+    and any repetition give the same.
+    """
+    columns = [c for c in rows.columns if c not in {*keys, *first, *last}]
+    frozen = [c for c in columns if c not in EDITABLE]
+    folded = rows.groupBy(*keys).agg(
+        F.min_by(F.struct(*frozen, *first), F.struct(*first)).alias("_first"),
+        F.max_by(F.struct(*EDITABLE, *last), _edit_order(last)).alias("_edit"),
+    )
+    side = lambda c: "_edit" if c in EDITABLE or c in last else "_first"
+    return folded.select(*keys, *[F.col(f"{side(c)}.{c}").alias(c) for c in [*columns, *first, *last]])
+
+
+def fold_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Row of each key that is greatest in ``order``, all columns kept."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
 def fold_latest(
     arrivals: DataFrame, keys: list[str] | None = None, seq: list[str] | None = None
 ) -> DataFrame:

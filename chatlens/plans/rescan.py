@@ -9,7 +9,7 @@ from chatlens.functions.vocabulary import MODEL_VERSION, OVERLAP_MINUTES
 from chatlens.operators import analyse, relational, upsert
 from chatlens.sources import scans
 from chatlens.sources import schemas as S
-from chatlens.sources.tables import DAY, ChatTables, day_of
+from chatlens.sources.tables import BUCKET, DAY, EDIT_DAY, ChatTables, as_column, between_days
 from chatlens.streaming import live
 
 
@@ -44,25 +44,41 @@ def reanalyse_edited(
     return upsert.merge_latest(analysis, fresh.withColumn(upsert.SEQ, F.lit(0).cast("long")))
 
 
+def stale(tables: ChatTables, start, end, edited_since=None) -> DataFrame:
+    """Messages edited since their analysis: key, text and ``day``.
+
+    Looked for among those of ``start`` to ``end``, and with ``edited_since``
+    also among all that were edited from then on. These are found by the day of
+    the edit: the edits table names the partitions that hold them, and those
+    choose the folders of messages and analysis that are opened at all.
+    """
+    span = F.col("ts_utc").between(as_column(start), as_column(end))
+    wanted = [*S.KEY, "text", "edit_date", DAY]
+    in_days = between_days(start, end)
+    messages = tables.state("messages", in_days).where(span).select(*wanted)
+    found = _outdated(messages, tables.state("analysis", in_days))
+    if edited_since is None:
+        return found
+    edits = tables.state("edits", between_days(edited_since, column=EDIT_DAY)).where(F.col("edit_date") >= as_column(edited_since))
+    parts = edits.select(BUCKET, DAY).distinct()
+    keys = edits.select(*S.KEY).distinct()
+    older = tables.state("messages", only=parts).where(~span).select(*wanted).join(keys, S.KEY, "left_semi")
+    return found.unionByName(_outdated(older, tables.state("analysis", only=parts)))
+
+
+def _outdated(messages: DataFrame, analysis: DataFrame) -> DataFrame:
+    keys = relational.needs_reanalysis(messages, analysis).select(*S.KEY)
+    return messages.select(*S.KEY, "text", DAY).join(keys, S.KEY, "left_semi")
+
+
 def rescan_tables(
     tables: ChatTables, arrivals: DataFrame, start, end, analyzed_at: Column,
     mode: str = analyse.STRICT, edited_since=None,
 ) -> None:
-    """Re-read start..end of the source into stored tables, then re-analyse edits.
-
-    Messages edited since their analysis are looked for among those of these
-    times, and with ``edited_since`` also among all that were edited from then on.
-    """
+    """Re-read start..end of the source into stored tables, then re-analyse edits
+    (see ``stale``)."""
     live.write_batch(tables, scans.by_time(arrivals, start, end), None, analyzed_at, mode)
-    # The days choose folders, the times rows.
-    within = F.col(DAY).between(day_of(_value(start)), day_of(_value(end)))
-    within = within & F.col("ts_utc").between(_value(start), _value(end))
-    if edited_since is not None:
-        within = within | (F.col("edit_date") >= _value(edited_since))
-    messages = tables.stored("messages").where(within)
-    stale = relational.needs_reanalysis(messages, tables.stored("analysis")).select(*S.KEY)
-    texts = messages.select(*S.KEY, "text", DAY).join(stale, S.KEY, "left_semi")
-    fresh = analyse.annotate(texts, mode=mode).withColumns(
+    fresh = analyse.annotate(stale(tables, start, end, edited_since), mode=mode).withColumns(
         {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
     )
     tables.merge("analysis", fresh)
@@ -76,7 +92,3 @@ def overlap_rescan(
     ``minutes`` and re-analyse what was edited in them, however old it is."""
     start = now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0.0))
     rescan_tables(tables, arrivals, start, now, analyzed_at, mode, edited_since=start)
-
-
-def _value(bound) -> Column:
-    return bound if isinstance(bound, Column) else F.lit(bound)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatlens.sources import schemas as S
 from chatlens.sources.tables import ChatTables
 
 
@@ -20,9 +21,9 @@ def ingest_stats(tables: ChatTables, now: Column) -> DataFrame:
             F.sum("rows_read").alias("rows_read"), F.sum("rows_bad").alias("rows_bad"),
             F.count_if("rescan").alias("rescans"),
         ),
-        tables.stored("messages").agg(F.count("*").alias("messages_ingested")),
-        tables.stored("analysis").agg(F.count("*").alias("messages_analysed")),
-        tables.stored("ingest_checkpoint").agg(
+        *[tables.stored(name).select(*S.KEY).distinct().agg(F.count("*").alias(held))
+          for name, held in (("messages", "messages_ingested"), ("analysis", "messages_analysed"))],
+        tables.current("ingest_checkpoint").agg(
             (F.unix_micros(now) - F.unix_micros(F.min("last_ts_utc"))).alias("lag")
         ),
     ]

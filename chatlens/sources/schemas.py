@@ -71,6 +71,15 @@ HIGH_WATER_MARKS = _schema(
     ("created_at", _time, True),
 )
 
+#: Which message was edited when, with the partition that holds it.
+EDITS = _schema(
+    ("chat_id", _long, False),
+    ("message_id", _long, False),
+    ("edit_date", _time, False),
+    ("chat_bucket", T.IntegerType(), False),
+    ("day", T.DateType(), False),
+)
+
 #: Counts of one batch of the ingest.
 INGEST_LOG = _schema(
     ("rows_read", _long, True), ("rows_bad", _long, True), ("rows_analysed", _long, True), ("rescan", _flag, True),

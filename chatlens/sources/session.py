@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,14 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete(spark: SparkSession, files: Iterable[str]) -> None:
+    """Delete files by the addresses that ``_metadata.file_path`` gives; those gone already are passed over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for file in files:
+        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        target.getFileSystem(conf).delete(target, False)
+
+
 def written(df: DataFrame, purpose: str) -> tuple[str, DataFrame]:
     """A frame written to a scratch folder, and that folder, for callers that discard it."""
     spark = df.sparkSession

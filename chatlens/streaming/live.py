@@ -1,8 +1,9 @@
 """Live ingest as a Structured Streaming query.
 
 Each micro-batch is normalised, merged into the messages, analysed, and followed
-by its checkpoint rows. Merging the same rows again changes nothing, so a batch
-that runs twice after a failure leaves one result.
+by its checkpoint rows. All of them are appended, so a batch writes as much as it
+brings. Merging the same rows again changes nothing, so a batch that runs twice
+after a failure leaves one result.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +20,7 @@ from chatlens.functions.vocabulary import MODEL_VERSION
 from chatlens.operators import analyse, upsert
 from chatlens.sources import schemas as S
 from chatlens.sources.session import discard, written
-from chatlens.sources.tables import DAY, ChatTables, day_of
+from chatlens.sources.tables import BUCKET, DAY, ChatTables, day_of
 
 Prepare = Callable[[DataFrame], DataFrame]
 
@@ -49,51 +50,74 @@ def split_bad(lines: DataFrame, schema: T.StructType = S.RAW_MESSAGE, column: st
     return good, bad
 
 
-def split_incomplete(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages rows to (complete, incomplete with a reason); absent defaults are no fault."""
+def missing_field() -> Column:
+    """What a messages row lacks, or null; absent defaults are no fault."""
     reason = F.lit(None).cast("string")
     for f in S.MESSAGES.fields:
         if not f.nullable:
             reason = F.coalesce(reason, F.when(F.col(f.name).isNull(), F.lit(f"no {f.name}")))
-    judged = rows.withColumn("reason", reason)
+    return reason
+
+
+def split_incomplete(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages rows to (complete, incomplete with a reason)."""
+    judged = rows.withColumn("reason", missing_field())
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
 def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int | None, analyzed_at: Column,
-                mode: str = analyse.STRICT) -> None:
-    """Messages, analysis and checkpoints of one batch of messages rows.
+                mode: str = analyse.STRICT) -> dict:
+    """Messages, edits, analysis and checkpoints of one batch of messages rows; returns its counts.
 
     The rows are settled once and get the defaults of the table; incomplete
     ones are set aside and the others go on. The last arrival of each message is
     analysed. Edits do not move the checkpoint, and no batch moves it back.
-    ``batch_id`` names what is set aside and the counts; without one it is a re-scan.
+    Counts are observed on the writes themselves. ``batch_id`` names what is set
+    aside and the counts; without one it is a re-scan.
     """
-    path, whole = written(S.with_message_defaults(rows, analyzed_at), "batch")
-    good, bad = split_incomplete(whole)
-    if batch_id is not None:
-        tables.set_aside(bad, batch_id)
-    tables.merge("messages", good)
-    last = upsert.fold_latest(good.select(*S.KEY, "text", "ts_utc", upsert.SEQ))
-    done = analyse.annotate(last.withColumn(DAY, day_of("ts_utc")), mode=mode).withColumns(
-        {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
-    )
-    tables.merge("analysis", done)
-    moved = good.where(F.col("edit_date").isNull()).select("chat_id", "message_id", "ts_utc")
-    tables.merge("ingest_checkpoint", upsert.checkpoints(moved, analyzed_at))
-    keys = good.groupBy(*S.KEY).agg(F.count("*").alias("n")).agg(F.sum("n").alias("good"), F.count("*").alias("analysed"))
-    n_bad = F.lit(bad.count())
-    counts = keys.select(
-        (F.coalesce("good", F.lit(0)) + n_bad).alias("rows_read"), n_bad.alias("rows_bad"),
-        F.col("analysed").alias("rows_analysed"), F.lit(batch_id is None).alias("rescan"),
-    )
-    tables.note(S.conform(counts, S.INGEST_LOG), f"rescan-{uuid.uuid4().hex}" if batch_id is None else str(batch_id))
+    seen, analysed = Observation(), Observation()
+    judged = S.with_message_defaults(rows, analyzed_at).withColumn("reason", missing_field())
+    good = F.col("reason").isNull()
+    path, whole = written(judged.observe(
+        seen, F.count(F.lit(1)).alias("rows_read"), F.count_if(~good).alias("rows_bad"),
+        F.count_if(good & F.col("edit_date").isNotNull()).alias("edits"),
+    ), "batch")
+    counts = {"rows_analysed": 0, "rescan": batch_id is None, **seen.get}
+    if batch_id is not None and counts["rows_bad"]:
+        tables.set_aside(whole.where(~good), batch_id)
+    if counts["rows_read"] > counts["rows_bad"]:
+        complete = whole.where(good).drop("reason")
+        tables.merge("messages", complete)
+        if counts["edits"]:
+            edited = complete.where(F.col("edit_date").isNotNull())
+            tables.merge("edits", edited.withColumns({BUCKET: tables.bucket_of(F.col("chat_id")), DAY: day_of("ts_utc")}))
+        last = upsert.fold_latest(complete.select(*S.KEY, "text", "ts_utc", upsert.SEQ))
+        done = analyse.annotate(last.withColumn(DAY, day_of("ts_utc")), mode=mode).withColumns(
+            {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
+        )
+        tables.merge("analysis", done.observe(analysed, F.count(F.lit(1)).alias("n")))
+        counts["rows_analysed"] = analysed.get["n"]
+        moved = complete.where(F.col("edit_date").isNull()).select("chat_id", "message_id", "ts_utc")
+        tables.merge("ingest_checkpoint", upsert.checkpoints(moved, analyzed_at))
+    row = tables.spark.createDataFrame([[counts[c] for c in S.names(S.INGEST_LOG)]], S.INGEST_LOG)
+    tables.note(row, f"rescan-{uuid.uuid4().hex}" if batch_id is None else str(batch_id))
     discard(tables.spark, path)
+    return counts
+
+
+def settle_closed(tables: ChatTables, now: Column) -> None:
+    """Settle the days before that of ``now``, and the small tables without days."""
+    yesterday = F.date_sub(F.to_date(now), 1)
+    for name in ("messages", "analysis", "edits"):
+        tables.settle(name, end=yesterday)
+    for name in ("ingest_checkpoint", "high_water_marks"):
+        tables.settle(name)
 
 
 def start_ingest(
     source: DataFrame, tables: ChatTables, checkpoint: str, prepare: Prepare,
     mode: str = analyse.STRICT, analyzed_at: Column | None = None, trigger: dict | None = None,
-    name_bad: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    name_bad: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, settle_every: int | None = None,
 ) -> StreamingQuery:
     """Start the ingest query.
 
@@ -103,6 +127,8 @@ def start_ingest(
     ``trigger={"availableNow": True}`` the query reads up to what is there at
     its start and ends: the bounded backfill. Started again on the same
     ``checkpoint`` with an interval it goes on live, without gap or repeat.
+    After each ``settle_every`` batches the days before that of ``analyzed_at``
+    are settled.
     """
 
     stamp = F.current_timestamp() if analyzed_at is None else analyzed_at
@@ -112,6 +138,8 @@ def start_ingest(
             batch, unreadable = name_bad(batch)
             tables.set_aside(unreadable, batch_id, "unreadable")
         write_batch(tables, prepare(batch), batch_id, stamp, mode)
+        if settle_every and (batch_id + 1) % settle_every == 0:
+            settle_closed(tables, stamp)
 
     return (
         source.writeStream.foreachBatch(each)

@@ -1,8 +1,10 @@
 """Merges, replays, re-scans and pruning of the stored tables."""
 
 import datetime as dt
+import pathlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalogue import inputs as I
@@ -10,6 +12,7 @@ from chatlens.operators import analyse, relational, upsert
 from chatlens.plans import reports, rescan, stats
 from chatlens.sources import schemas as S
 from chatlens.sources.session import scratch_folder
+from chatlens.sources import tables as tables_module
 from chatlens.sources.tables import ChatTables
 from chatlens.streaming import live
 
@@ -136,6 +139,106 @@ def test_a_report_of_one_day_opens_that_day_only(spark, sf, capsys):
     whole = relational.report_frame(tables.current("messages"), tables.current("analysis"), 2, start, end)
     assert _rows(frame) == _rows(whole) and frame.count() > 0
     for name in ("messages", "analysis"):
-        held = tables.current(name, 2, start, end).select(F.input_file_name().alias("f")).distinct().collect()
+        read = tables.stored(name).where(tables.within(name, 2, start, end))
+        held = read.select(F.input_file_name().alias("f")).distinct().collect()
         assert {re.search(r"day=([\d-]+)", r.f)[1] for r in held} == {"2024-01-07"}
     assert reports.standard_report(tables, 2, start, end).count() > 0
+
+
+def _files(tables, name):
+    folder = pathlib.Path(tables.path(name).removeprefix("file:"))
+    return {f: f.stat().st_size for f in folder.rglob("*.parquet")} if folder.exists() else {}
+
+
+def test_a_small_batch_writes_little(spark, sf):
+    tables = _tables(spark)
+    rows = S.conform(I.messages(spark, sf), S.MESSAGES).withColumn("ingest_seq", F.col("message_id"))
+    live.write_batch(tables, rows, 0, I.at("2024-02-01 00:00:00"), analyse.LEXICON)
+    before = {n: _files(tables, n) for n in ("messages", "analysis", "edits", "ingest_checkpoint")}
+    one = rows.where("message_id = 7")
+    live.write_batch(tables, one, 1, I.at("2024-02-01 00:00:00"), analyse.LEXICON)
+    for name, old in before.items():
+        now = _files(tables, name)
+        assert old.items() <= now.items()
+        assert len(now) - len(old) <= 1 and sum(now.values()) - sum(old.values()) < 8_000
+    assert tables.current("messages").count() == rows.count()
+
+
+STATES = ("messages", "analysis", "edits", "ingest_checkpoint")
+
+
+def _filled(spark, sf):
+    """A table that got all arrivals in four batches, one of them twice."""
+    tables = ChatTables(spark, scratch_folder(spark, "t"), buckets=2)
+    arrivals = I.arrivals(spark, sf).where(F.col("ts_utc") < I.at("2024-01-15 00:00:00")).cache()
+    cuts = [0, 300, 1500, 3_000_000_000_000, 10**15]
+    for i in (0, 1, 1, 2, 3):
+        part = arrivals.where((F.col("ingest_seq") >= cuts[i]) & (F.col("ingest_seq") < cuts[i + 1]))
+        live.write_batch(tables, part, i, I.at("2024-02-01 00:00:00"), analyse.LEXICON)
+    return tables, arrivals, {n: _rows(tables.current(n)) for n in STATES}
+
+
+def test_settling_changes_files_only(spark, sf):
+    tables, arrivals, want = _filled(spark, sf)
+    held = _files(tables, "messages")
+    tables.settle("messages", end=dt.date(2024, 1, 10))
+    late = {f for f in held if re.search(r"day=([\d-]+)", str(f))[1] > "2024-01-10"}
+    assert late and late == {f for f in _files(tables, "messages") if f in held}
+    for name in STATES:
+        tables.settle(name)
+        assert _rows(tables.current(name)) == want[name]
+        files = _files(tables, name)
+        assert len(files) == len({f.parent for f in files})
+        tables.settle(name)
+        assert _files(tables, name) == files
+    again = arrivals.where("ingest_seq >= 3000000000000")
+    live.write_batch(tables, again, 9, I.at("2024-02-01 00:00:00"), analyse.LEXICON)
+    assert [_rows(tables.current(n)) for n in STATES] == [want[n] for n in STATES]
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", [None, 0, 7])
+def test_a_settle_that_dies_loses_nothing(spark, sf, monkeypatch, after):
+    """Killed before the fold is added (None), or after that and some deletes."""
+    tables, arrivals, want = _filled(spark, sf)
+    whole = tables_module.delete
+
+    def dies(spark, files):
+        files = sorted(files, reverse=True)
+        whole(spark, files[:after])
+        raise Killed
+
+    def never(*_):
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(tables_module, "delete", dies)
+        if after is None:
+            m.setattr(ChatTables, "_append", never)
+        for name in STATES:
+            with pytest.raises(Killed):
+                tables.settle(name)
+    assert [_rows(tables.current(n)) for n in STATES] == [want[n] for n in STATES]
+    live.write_batch(tables, arrivals.where("ingest_seq >= 3000000000000"), 9, I.at("2024-02-01 00:00:00"), analyse.LEXICON)
+    for name in STATES:
+        tables.settle(name)
+        assert _rows(tables.current(name)) == want[name]
+
+
+def test_the_overlap_step_opens_folders_of_edits_only(spark, sf, capsys):
+    rows = S.conform(I.messages(spark, sf), S.MESSAGES).withColumn("ingest_seq", F.col("message_id"))
+    tables = _tables(spark)
+    live.write_batch(tables, rows, 0, I.at("2024-01-01 00:00:00"))
+    now = I.at("2030-01-01 00:00:00")
+    edited = rows.where("edit_date IS NOT NULL").orderBy(F.col("edit_date").desc()).first()
+    found = rescan.stale(tables, now, now, edited_since=F.lit(edited.edit_date))
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    scans = [b for b in plan.split("\n\n") if "Scan parquet" in b and "Location" in b and ("/messages" in b or "/analysis" in b)]
+    assert len(scans) >= 4 and all("PartitionFilters" in b for b in scans)
+    assert sum("dynamicpruning" in b for b in scans) >= 2
+    assert {(r.chat_id, r.message_id) for r in found.collect()} == {
+        (r.chat_id, r.message_id) for r in rows.where(F.col("edit_date") >= F.lit(edited.edit_date)).collect()}
