@@ -102,18 +102,19 @@ def ranked(df: DataFrame, order: list[Column], within: str | None, name: str) ->
         .withColumn(run, F.monotonically_increasing_id())
         .withColumn(part, F.spark_partition_id())
     )
+    p, g, shift = fresh(df, "_p"), fresh(df, "_g"), fresh(df, "_shift")
     counts = placed.groupBy(part, of_group.alias(group)).agg(
         F.count("*").alias("_n"), F.min(run).alias("_first")
     )
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col(part).alias("_p"),
-        F.col(group).alias("_g"),
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.col(part).alias(p),
+        F.col(group).alias(g),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias(shift),
     )
     found = placed.join(
         small_or_whole(offsets),
-        (placed[part] == offsets["_p"])
-        & (placed[within] if within else F.lit(0)).eqNullSafe(offsets["_g"]),
+        (placed[part] == offsets[p])
+        & (placed[within] if within else F.lit(0)).eqNullSafe(offsets[g]),
     )
-    return found.withColumn(name, F.col(run) + F.col("_shift")).drop(run, part, "_p", "_g", "_shift")
+    return found.withColumn(name, F.col(run) + F.col(shift)).drop(run, part, p, g, shift)

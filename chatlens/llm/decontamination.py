@@ -146,8 +146,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The documents in which no window occurs, all columns kept."""
-    rows = docs.withColumns({"_did": F.col("doc_id"), "_th": F.xxhash64("text"), "_len": F.length("text")})
-    keys = ["_did", "_th", "_len"]
+    keys = [common.fresh(docs, k) for k in ("_did", "_th", "_len")]
+    rows = docs.withColumns(dict(zip(keys, (F.col("doc_id"), F.xxhash64("text"), F.length("text")))))
     found = hits(rows.select(*keys, words(F.col("text")).alias("words")), benchmark, keys, window, shingle)
     if found is None:
         return docs

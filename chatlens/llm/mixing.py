@@ -75,18 +75,19 @@ def copies(rows: DataFrame, seed: str = SEED, **targets) -> DataFrame:
     tie = common.fresh(rows, "_tie")
     drawn = rows.withColumn(tie, F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))))
     order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col(tie), F.col("doc_id").asc_nulls_last()]
-    placed = common.ranked(drawn, order, "source", "_rank").drop(tie)
+    rank, name = common.fresh(rows, "_rank"), common.fresh(rows, "_source")
+    placed = common.ranked(drawn, order, "source", rank).drop(tie)
     found = source_targets(placed.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), **targets)
-    goal = common.small_or_whole(found.select(F.col("source").alias("_source"), "source_size", "target"))
-    out = placed.join(goal, placed["source"].eqNullSafe(goal["_source"])).drop("_source")
+    goal = common.small_or_whole(found.select(F.col("source").alias(name), "source_size", "target"))
+    out = placed.join(goal, placed["source"].eqNullSafe(goal[name])).drop(name)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit_draw(F.lit(seed), F.coalesce(F.col("source"), F.lit("\x00")))
-    upper = F.floor(offset + rate * (F.col("_rank") + 1).cast("double"))
-    lower = F.floor(offset + rate * F.col("_rank").cast("double"))
+    upper = F.floor(offset + rate * (F.col(rank) + 1).cast("double"))
+    lower = F.floor(offset + rate * F.col(rank).cast("double"))
     return (
         out.withColumn("copies", (upper - lower).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_rank")
+        .drop(rank)
     )
 
 
@@ -99,9 +100,10 @@ def mix(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
     rid = common.fresh(docs, "_rid")
     rows = common.table(docs.withColumn(rid, F.monotonically_increasing_id()), "mix")
     narrow = rows.select(rid, "doc_id", "source", common.word_count(F.col("text")).alias("size"))
-    taken = copies(narrow, seed, **targets).where("copies > 0").select(F.col(rid).alias("_of"), F.col("copies").alias("_copies"))
-    out = rows.join(taken, rows[rid] == taken["_of"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    of, times, copy = (common.fresh(rows, c) for c in ("_of", "_copies", "_copy"))
+    taken = copies(narrow, seed, **targets).where("copies > 0").select(F.col(rid).alias(of), F.col("copies").alias(times))
+    out = rows.join(taken, rows[rid] == taken[of])
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

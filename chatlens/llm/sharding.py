@@ -30,22 +30,22 @@ def interleaved(rows: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Data
     all others kept.
     """
     rows = rows.drop("shard", "slot")
-    draw = common.fresh(rows, "_draw")
+    draw, k, of, n_of, at, place = (common.fresh(rows, c) for c in ("_draw", "_k", "_source", "_n", "_at", "_spot"))
     drawn = rows.withColumn(draw, F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))))
     last = F.col("source").asc_nulls_last()
     by_draw = [F.col(draw), F.col("doc_id").asc_nulls_last()]
-    placed = common.ranked(drawn, [last, *by_draw], "source", "_k").drop(draw)
-    totals = common.small_or_whole(placed.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_n")))
-    whole = placed.join(totals, placed["source"].eqNullSafe(totals["_source"])).drop("_source")
-    lined = whole.withColumn("_at", (2 * F.col("_k") + 1) / (2 * F.col("_n")).cast("double")).drop("_k", "_n")
+    placed = common.ranked(drawn, [last, *by_draw], "source", k).drop(draw)
+    totals = common.small_or_whole(placed.groupBy(F.col("source").alias(of)).agg(F.count("*").alias(n_of)))
+    whole = placed.join(totals, placed["source"].eqNullSafe(totals[of])).drop(of)
+    lined = whole.withColumn(at, (2 * F.col(k) + 1) / (2 * F.col(n_of)).cast("double")).drop(k, n_of)
     # a row is known by fraction and source; equal rows only differ by their place
-    spot = common.ranked(lined, [F.col("_at"), last, F.col("doc_id").asc_nulls_last()], None, "_spot").drop("_at")
+    spot = common.ranked(lined, [F.col(at), last, F.col("doc_id").asc_nulls_last()], None, place).drop(at)
     n = max(spot.count(), 1)
     first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
     return (
-        spot.withColumn("shard", F.expr(f"(_spot * {shards}) div {n}L").cast("int"))
-        .withColumn("slot", (F.col("_spot") - first).cast("long"))
-        .drop("_spot")
+        spot.withColumn("shard", F.expr(f"({place} * {shards}) div {n}L").cast("int"))
+        .withColumn("slot", (F.col(place) - first).cast("long"))
+        .drop(place)
     )
 
 
@@ -55,8 +55,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
     rid = common.fresh(docs, "_rid")
     rows = common.table(docs.select(*kept).withColumn(rid, F.monotonically_increasing_id()), "shards")
     spots = interleaved(rows.select(rid, "doc_id", "source"), shards, seed)
-    spots = spots.select(F.col(rid).alias("_of"), "shard", "slot")
-    return rows.join(spots, rows[rid] == spots["_of"]).select(*kept, "shard", "slot")
+    of = common.fresh(rows, "_of")
+    spots = spots.select(F.col(rid).alias(of), "shard", "slot")
+    return rows.join(spots, rows[rid] == spots[of]).select(*kept, "shard", "slot")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -63,9 +63,11 @@ def segments(positions: list[int], scores: list[float], drift: float) -> list[tu
 
     ``positions`` are those of tokens with a score of their own, all others score
     ``drift`` (not above zero). Each new positive token joins the earlier
-    candidates that it can extend; amortised, every candidate is looked at once.
+    candidates that it can extend. A candidate keeps the place of the nearest
+    earlier one with a lower sum before it, so those between the two are passed
+    over once and never looked at again.
     """
-    held: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    held: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last, nearest lower one
     total, at = 0.0, -1
     for p, s in zip(positions, scores):
         total += drift * (p - at - 1)
@@ -73,19 +75,15 @@ def segments(positions: list[int], scores: list[float], drift: float) -> list[tu
         before, total = total, total + s
         if s <= 0:
             continue
-        low, first = before, p
-        while True:
-            k = len(held) - 1
-            skipped = []
-            while k >= 0 and held[k][0] >= low:
-                skipped.append(held[k])
-                k -= 1
-            if k < 0 or held[k][1] >= total:
-                held.append((low, total, first, p))
-                break
-            low, first = held[k][0], held[k][2]
+        low, first, k = before, p, len(held) - 1
+        while k >= 0 and held[k][0] >= low:
+            k = held[k][4]
+        while k >= 0 and held[k][1] < total:
+            low, _, first, _, lower = held[k]
             del held[k:]
-    return [(a, b, after - before) for before, after, a, b in held]
+            k = lower
+        held.append((low, total, first, p, k))
+    return [(a, b, after - before) for before, after, a, b, _ in held]
 
 
 def _measured(text, model, known: WordScores):
@@ -234,18 +232,18 @@ def fit(sample: DataFrame) -> dict | None:
     return model
 
 
-def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1) and ``passages``.
+def scored(docs: DataFrame, model: dict | None, names: tuple[str, str] = ("score", "passages")) -> DataFrame:
+    """All columns of ``docs`` with ``score`` (0 to 1) and ``passages``, or under other ``names``.
 
     ``passages`` lists every significant segment as ``(first, last, score, text)``
     in tokens. A null or empty text has no segment and the lowest score. Without
-    a model (no labels of both kinds) every score is 0. Columns named ``score``
-    and ``passages`` are replaced.
+    a model (no labels of both kinds) every score is 0. Columns that have these
+    names already are replaced.
     """
-    docs = docs.drop("score", "passages")
+    docs = docs.drop(*names)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn(
-            "passages", F.array().cast("array<struct<first:int,last:int,score:double,text:string>>")
+        return docs.withColumn(names[0], F.lit(0.0)).withColumn(
+            names[1], F.array().cast("array<struct<first:int,last:int,score:double,text:string>>")
         )
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
@@ -264,11 +262,11 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
                     (a, b, s, b" ".join(words[a : b + 1]).decode("utf-8", "replace"))
                     for a, b, s in found if _surprise(n, s, m) >= -math.log(PASSAGE_P)
                 ])
-            rows = table.append_column("score", pa.array(scores, pa.float64())).append_column("passages", pa.array(passages, kind))
+            rows = table.append_column(names[0], pa.array(scores, pa.float64())).append_column(names[1], pa.array(passages, kind))
             yield from rows.to_batches()
 
     passage = T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType()).add("score", T.DoubleType()).add("text", T.StringType())
-    schema = T.StructType(list(docs.schema.fields)).add("score", T.DoubleType()).add("passages", T.ArrayType(passage))
+    schema = T.StructType(list(docs.schema.fields)).add(names[0], T.DoubleType()).add(names[1], T.ArrayType(passage))
     return docs.mapInArrow(run, schema)
 
 

@@ -17,8 +17,8 @@ from chatlens.llm import common, decontamination, mixing, sharding, simhash, tox
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones among them, lets pass."""
     model = toxicity.model_for(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scores = toxicity.scored(docs, model)
-    return scores.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    names = common.fresh(docs, "score"), common.fresh(docs, "passages")
+    return toxicity.scored(docs, model, names).where(F.col(names[0]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

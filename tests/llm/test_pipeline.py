@@ -1,7 +1,11 @@
 """The corpus pipeline: every stage against its law, on the small tables and on odd rows."""
 
+import pathlib
+import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from chatlens.llm import common, decontamination, simhash, toxicity
 
@@ -45,3 +49,27 @@ def test_run_is_repeatable(spark, sf):
     one = sorted((r.doc_id, r.shard, r.slot) for r in corpus_pipeline.run(spark, sf).collect())
     two = sorted((r.doc_id, r.shard, r.slot) for r in corpus_pipeline.run(spark, sf).collect())
     assert Counter(r[0] for r in one) == Counter(r[0] for r in two) and Counter(r[1:] for r in one) == Counter(r[1:] for r in two)
+
+
+def helper_names():
+    """Every column name that the subpackage makes up for itself, from its source."""
+    folder = pathlib.Path(common.__file__).parent
+    source = "".join(f.read_text() for f in folder.glob("*.py")) + pathlib.Path(corpus_pipeline.__file__).read_text()
+    return sorted(set(re.findall(r"\"(_[a-z_]+|rid|rank|copies|taken|target|score|passages|words|fp|root|key|pos|token|size|source_size|items|start|length|"
+                                 r"n_hit|n_items|draw|spot|part|run|group|label|held_out|predicted|component_id|fingerprint)\"", source)))
+
+
+def test_users_columns_come_out_as_they_went_in(spark, sf, documents):
+    names = [n for n in helper_names() if n not in ("__main__",)]
+    assert {"_did", "_th", "_len", "_of", "_copies", "_spot", "_shift", "_p", "score", "passages"} <= set(names)
+    mine = {n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names}
+    docs = documents.withColumns(mine)
+    for _, stage in corpus_pipeline.STAGES:
+        out = common.table(stage(spark, docs, sf), "test")
+        assert out.columns[:len(docs.columns)] == docs.columns
+        assert out.count() > 0
+        wrong = " OR ".join(f"`{n}` IS DISTINCT FROM concat('{n}:', doc_id)" for n in names)
+        assert out.where(wrong).count() == 0
+        docs = out
+    plain = [(r.doc_id, r.shard, r.slot) for r in corpus_pipeline.run(spark, sf).select("doc_id", "shard", "slot").collect()]
+    assert Counter(r.doc_id for r in docs.collect()) == Counter(r[0] for r in plain)

@@ -1,6 +1,7 @@
 """Models and per-text operators: held-out accuracy, brute force, odd input."""
 
 import math
+import time
 import random
 import re
 from collections import Counter
@@ -293,3 +294,18 @@ def test_given_pages(spark, sf):
         inner = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
         parts = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?p>|</?h1>|<br>", inner)]
         assert got[p.page_id] == "\n".join(b for b in parts if b)
+
+
+def test_segments_are_found_in_linear_time():
+    """Telling words that stand alone, the usual case, and steps that are joined late."""
+    def took(n, line):
+        start = time.perf_counter()
+        found = toxicity.segments([20 * i for i in range(n)], line(n), -0.5)
+        return time.perf_counter() - start, len(found)
+
+    alone, n = took(200_000, lambda n: [3.0] * n)
+    assert n == 200_000 and alone < 2
+    falling, _ = took(200_000, lambda n: [9.4 + 1e-6 * i for i in range(n)])
+    assert falling < 2
+    mixed, _ = took(200_000, lambda n: [(7 * i % 23) - 6.0 for i in range(n)])
+    assert mixed < 2
