@@ -386,29 +386,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, token, sentimen
 
 @query(f"WITH {_REQUEST_MENTIONS}, {_FLAT.format(by='request_id,', using='request_id, token')}")
 def batch_token_reports(spark, sf):
-    matched = requests.match(whole_frame(spark, sf), parsed_requests(spark, sf))
-    mentioned = settled(token_report.mentions(matched, ["request_id"]), "mentions")
-    return token_report.token_report(mentioned, ["request_id"]).withColumns(
-        {"bullish_points": joined("bullish_points"), "bearish_points": joined("bearish_points")}
-    )
+    found = requests.batch_token_reports(settled(whole_frame(spark, sf), "frame"), parsed_requests(spark, sf))
+    return found.withColumns({"bullish_points": joined("bullish_points"), "bearish_points": joined("bearish_points")})
 
 
-# Whole documents and whole conversations as the messages of three chats.
+# Whole documents and whole conversations as the messages of one chat.
 _TEXT_START = "2024-01-01 00:00:00"
 
 
 def _as_chats(rows, number):
-    """Rows with ``text`` as messages: numbered, a minute apart, in three chats."""
+    """Rows with ``text`` as messages of one chat: numbered, a minute apart."""
     n = F.col("message_id")
     return rows.withColumn("message_id", number).select(
-        (n % 3 + 1).alias("chat_id"), n.alias("message_id"),
+        F.lit(CHAT).cast("long").alias("chat_id"), n.alias("message_id"),
         F.timestamp_seconds(F.unix_timestamp(I.at(_TEXT_START)) + 60 * n.cast("long")).alias("ts_utc"),
         F.concat(F.lit("user_"), (n % 7).cast("string")).alias("from_username"), "text",
     )
 
 
 def _text_report(messages):
-    """Report over all times of one chat."""
+    """Report over all times of the chat."""
     analysis = analyse.analyse(messages, I.at(I.ANALYSED_AT), mode=analyse.LEXICON)
     joined = relational.with_analysis(relational.of_chat(messages, CHAT), relational.of_chat(analysis, CHAT))
     return report.report_rows(relational.report_columns(joined))
@@ -416,7 +413,7 @@ def _text_report(messages):
 
 def _text_report_sql(source: str) -> str:
     verdict, _ = Q.lexicon_verdict()
-    return f"""m AS (SELECT message_id % 3 + 1 AS chat_id, message_id,
+    return f"""m AS (SELECT {CHAT} AS chat_id, message_id,
   TIMESTAMP '{_TEXT_START}' + to_minutes(message_id) AS ts_utc, text FROM ({source})),
 c AS (SELECT * FROM m WHERE chat_id = {CHAT}), {Q.annotated('a', 'c', 'message_id')},
 frame AS (SELECT message_id, ts_utc, is_investment, {verdict} AS sentiment, tokens FROM a), {_report_sql('frame')}"""
@@ -424,12 +421,38 @@ frame AS (SELECT message_id, ts_utc, is_investment, {verdict} AS sentiment, toke
 
 @query(f"WITH {I.PROSE_SQL}, {_text_report_sql('SELECT doc_id AS message_id, text FROM prose')}")
 def report_documents(spark, sf):
-    """Standard report of one chat (a third of all), with whole documents as messages."""
+    """Standard report with all whole documents as messages."""
     return _text_report(_as_chats(I.prose(spark, sf), F.col("doc_id")))
 
 
 @query(f"WITH {_text_report_sql('SELECT conv_id * 1000 + turn AS message_id, text FROM conversations')}")
 def report_conversations(spark, sf):
-    """Standard report of one chat (a third of all), with whole turns as messages."""
+    """Standard report with all whole turns as messages."""
     number = F.col("chat_id") * 1000 + F.col("message_id")
     return _text_report(_as_chats(I.conversation_messages(spark, sf), number))
+
+
+@query(
+    f"""WITH {I.PROSE_SQL}, m AS (SELECT doc_id AS message_id, text, TIMESTAMP '{_TEXT_START}' + to_minutes(doc_id) AS ts_utc FROM prose),
+{Q.annotated('a', 'm', 'message_id')},
+q AS (SELECT doc_id AS request_id, nullif(substr(text, 3, 4), '') AS topic, CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 + 1 END AS row_limit
+  FROM documents),
+hits AS (SELECT request_id, message_id, row_limit, row_number() OVER (PARTITION BY request_id ORDER BY ts_utc DESC, message_id DESC) AS rn
+  FROM a JOIN q ON q.topic IS NULL OR contains(lower(coalesce(a.topic_key, '')), lower(q.topic)) OR list_contains(a.tokens, upper(q.topic)))
+SELECT request_id, count(*) AS n, min(message_id) AS oldest, max(message_id) AS newest
+FROM hits WHERE row_limit IS NULL OR rn <= row_limit GROUP BY 1"""
+)
+def batch_text_topics(spark, sf):
+    """A request for each document, with letters of its text as topic, over all documents as messages."""
+    messages = _as_chats(I.prose(spark, sf), F.col("doc_id"))
+    frame = relational.report_columns(relational.with_analysis(messages, analyse.analyse(messages, I.at(I.ANALYSED_AT))))
+    topic, number = F.substring("text", 3, 4), F.col("doc_id")
+    asked = I.table(spark, sf, "documents").select(
+        number.alias("request_id"), F.lit(CHAT).cast("long").alias("chat_id"), I.at(_TEXT_START).alias("start_ts"),
+        I.at("9999-01-01 00:00:00").alias("end_ts"), F.when(topic != "", topic).alias("topic"),
+        F.when(number % 2 == 0, number % 50 + 1).alias("row_limit"), F.lit(None).cast("string").alias("error"),
+    )
+    frame = settled(frame.select("chat_id", "message_id", "ts_utc", "topic_key", "tokens"), "frame")
+    return requests.match(frame, asked).groupBy("request_id").agg(
+        F.count("*").alias("n"), F.min("message_id").alias("oldest"), F.max("message_id").alias("newest")
+    )
