@@ -198,6 +198,53 @@ def model_sentiment_failing(spark, sf):
     return _by_model(spark, sf, fails_on="soon")
 
 
+def _word_places():
+    """A stand-in for the tokenizer of a model: words between ASCII white space."""
+    def load():
+        import re
+
+        word = re.compile(r"[^\x20\x09-\x0D]+")
+        return lambda text: [m.span() for m in word.finditer(text)]
+
+    return load
+
+
+def _letter_model():
+    """A stand-in for a model: scores by the number of letters, white space left out."""
+    def load():
+        import pandas as pd
+
+        def score(texts):
+            n = texts.str.replace(r"[\x20\x09-\x0D]+", "", regex=True).str.len()
+            return pd.DataFrame({"positive": n * 37 % 101 / 100.0, "negative": n * 53 % 101 / 100.0, "neutral": n * 29 % 101 / 100.0})
+
+        return score
+
+    return load
+
+
+@query(
+    rf"""WITH {I.PROSE_SQL}, m AS (SELECT 1::BIGINT AS chat_id, doc_id AS message_id, text FROM prose),
+{Q.annotated('a', 'm', 'message_id')},
+w AS (SELECT *, regexp_extract_all({Q.strip('text')}, '[^ 	-]+') AS words FROM a WHERE is_investment),
+i AS (SELECT *, unnest(range(0, greatest(len(words) - 50, 1), 460)) AS i FROM w),
+n AS (SELECT *, length(array_to_string(words[i + 1:i + 510], '')) AS len,
+  greatest(least(510, len(words) - i) - CASE WHEN i > 0 THEN 50 ELSE 0 END, 1) AS weight FROM i),
+s AS (SELECT chat_id, message_id, sum(weight * ((len * 37 % 101) / 100.0::DOUBLE)) / sum(weight) AS positive,
+  sum(weight * ((len * 53 % 101) / 100.0::DOUBLE)) / sum(weight) AS negative,
+  sum(weight * ((len * 29 % 101) / 100.0::DOUBLE)) / sum(weight) AS neutral FROM n GROUP BY ALL),
+c AS (SELECT a.*, greatest(positive, negative, neutral) AS best,
+  CASE WHEN positive >= negative AND positive >= neutral THEN 'BULLISH'
+       WHEN negative >= neutral THEN 'BEARISH' ELSE 'NEUTRAL' END AS choice FROM a LEFT JOIN s USING (chat_id, message_id))
+{_MODEL}"""
+)
+def model_sentiment_windows(spark, sf):
+    """Whole documents of any length before a model that takes 510 tokens."""
+    rows = I.prose(spark, sf).select(F.lit(1).cast("long").alias("chat_id"), F.col("doc_id").alias("message_id"), "text")
+    scored = scoring.with_scores(analyse.with_flags(rows), _letter_model(), load_tokens=_word_places(), at_once=64)
+    return analyse.with_verdict(scored).select(*S.KEY, "sentiment", "confidence")
+
+
 @query(
     f"""WITH {M}, {Q.annotated('a', 'messages', 'message_id')}
 SELECT chat_id, message_id, topic_key FROM a"""
