@@ -179,6 +179,19 @@ def stream_state(spark, sf):
     return T._table(state.current_state(spark.read.schema(schema).parquet(out)))
 
 
+@query(_MERGED)
+def stream_expiring_state(spark, sf):
+    """The messages table as keyed state that forgets keys an hour after they changed."""
+    state.use_disk_state(spark)
+    folder, checkpoint = scratch_folder(spark, "source"), scratch_folder(spark, "progress")
+    out = scratch_folder(spark, "state")
+    for part in _parts(S.conform(I.arrivals(spark, sf), _STREAMED)):
+        part.write.mode("append").parquet(folder)
+        source = scans.stream(spark, folder, _STREAMED)
+        state.start_expiring_state(source, out, checkpoint, 3_600_000, _NOW, slots=8).awaitTermination()
+    return T._table(state.held_state(spark, checkpoint))
+
+
 _LINES = S.T.StructType([S.T.StructField("line", S.T.LongType()), S.T.StructField("value", S.T.StringType())])
 
 
