@@ -9,7 +9,6 @@ once, in two levels of blocks, so the work is done by array operations.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,14 @@ TABLE = 1 << 16
 PIECE = 1 << 20
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if c >= 0x80 or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 0x20 for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a character of a letter category; digits of any kind, as ``²`` or ``Ⅷ``, are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def folded(text: str) -> bytes:

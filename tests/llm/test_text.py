@@ -309,3 +309,11 @@ def test_segments_are_found_in_linear_time():
     assert falling < 2
     mixed, _ = took(200_000, lambda n: [(7 * i % 23) - 6.0 for i in range(n)])
     assert mixed < 2
+
+
+def test_a_letter_is_of_a_letter_category():
+    import unicodedata
+
+    for code in [*range(0x3000), *range(0x1F600, 0x1F640), 0x4E00, 0xAC00, 0x10400]:
+        assert language.has_letter(chr(code)) == unicodedata.category(chr(code)).startswith("L")
+    assert not any(map(language.has_letter, (None, "", "² ½ ① Ⅷ", "12 !!", "__"))) and language.has_letter("1 é")
