@@ -21,6 +21,7 @@ from chatlens.operators import analyse, upsert
 from chatlens.sources import schemas as S
 from chatlens.sources.session import discard, written
 from chatlens.sources.tables import BUCKET, DAY, ChatTables, day_of
+from chatlens.streaming.metrics import LiveMetrics
 
 Prepare = Callable[[DataFrame], DataFrame]
 
@@ -118,6 +119,7 @@ def start_ingest(
     source: DataFrame, tables: ChatTables, checkpoint: str, prepare: Prepare,
     mode: str = analyse.STRICT, analyzed_at: Column | None = None, trigger: dict | None = None,
     name_bad: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, settle_every: int | None = None,
+    metrics: LiveMetrics | None = None, name: str = "ingest",
 ) -> StreamingQuery:
     """Start the ingest query.
 
@@ -128,7 +130,7 @@ def start_ingest(
     its start and ends: the bounded backfill. Started again on the same
     ``checkpoint`` with an interval it goes on live, without gap or repeat.
     After each ``settle_every`` batches the days before that of ``analyzed_at``
-    are settled.
+    are settled. ``metrics`` is told the counts of each batch, under ``name``.
     """
 
     stamp = F.current_timestamp() if analyzed_at is None else analyzed_at
@@ -137,16 +139,16 @@ def start_ingest(
         if name_bad is not None:
             batch, unreadable = name_bad(batch)
             tables.set_aside(unreadable, batch_id, "unreadable")
-        write_batch(tables, prepare(batch), batch_id, stamp, mode)
+        counts = write_batch(tables, prepare(batch), batch_id, stamp, mode)
+        if metrics is not None:
+            metrics.add(name, batch_id, counts)
         if settle_every and (batch_id + 1) % settle_every == 0:
             settle_closed(tables, stamp)
 
-    return (
-        source.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )
+    writer = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if metrics is not None:
+        writer = writer.queryName(name)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def backfill_then_live(

@@ -12,7 +12,8 @@ from chatlens.operators import upsert
 from chatlens.sources import scans
 from chatlens.sources import schemas as S
 from chatlens.sources.session import scratch_folder
-from chatlens.streaming import state
+from chatlens.sources.tables import ChatTables
+from chatlens.streaming import live, metrics, state
 
 NAMES = [f.name for f in state._HELD.fields]
 
@@ -51,3 +52,27 @@ def test_keys_are_forgotten_when_their_time_is_over(spark, sf):
         time.sleep(4)
     assert len(held[0]) == 50 and held[2] <= set(range(51, 63)) and {61, 62} <= held[2]
     assert spark.read.parquet(out).select("message_id").distinct().count() == 62
+
+
+def test_live_counts_come_without_a_job(spark, sf):
+    """Counts of a stream while it runs equal those stored, and reading them starts no job."""
+    tables = ChatTables(spark, scratch_folder(spark, "t"), buckets=2)
+    folder, progress = scratch_folder(spark, "source"), scratch_folder(spark, "progress")
+    rows = S.conform(I.messages(spark, sf), _STREAMED).where("message_id <= 90").withColumn(
+        "text", F.when(F.col("message_id") % 9 != 0, F.col("text")))
+    found = metrics.watch(spark)
+    try:
+        for part in (rows.where("message_id <= 50"), rows.where("message_id > 50")):
+            part.write.mode("append").parquet(folder)
+            live.start_ingest(scans.stream(spark, folder, S.T.StructType(_STREAMED.fields)), tables, progress, lambda b: b,
+                              analyzed_at=I.at("2024-02-01 00:00:00"), trigger={"availableNow": True}, metrics=found, name="chats").awaitTermination()
+        deadline = time.time() + 30
+        while time.time() < deadline and (found.totals("chats").get("source_rows", 0) < 90 or found.totals("chats")["state"] != "ended"):
+            time.sleep(0.2)
+        got = found.totals("chats")
+    finally:
+        spark.streams.removeListener(found)
+    stored = tables.notes().agg(F.sum("rows_read"), F.sum("rows_bad"), F.sum("rows_analysed")).first()
+    assert (got["rows_read"], got["rows_bad"], got["rows_analysed"]) == tuple(stored) == (90, 10, 80)
+    assert got["source_rows"] == 90 and got["state"] == "ended" and got["seconds"] > 0
+    assert found.totals("none") == {"state": "unknown"}
