@@ -108,7 +108,7 @@ def stream_normalise(spark, sf):
     users, entities = I.users(spark, sf), I.entities(spark, sf)
     tables = _ingest(
         spark, _parts(S.conform(I.raw_messages(spark, sf), S.RAW_MESSAGE), "date"), S.RAW_MESSAGE,
-        lambda rows: normalise.normalise(rows, users, entities),
+        normalise.normaliser(users, entities),
     )
     return T._table(tables.current("messages"))
 
@@ -206,10 +206,11 @@ def stream_quarantine(spark, sf):
     ev = I.table(spark, sf, "events").select(F.col("event_id").alias("line"), "event_type")
     lines = T._json_lines(spark, sf).join(ev, "line")
     users, entities = I.users(spark, sf), I.entities(spark, sf)
+    normal = normalise.normaliser(users, entities)
     clicks = ev.where("event_type = 'click'").select((F.col("line") + 1).alias("message_id"))
 
     def prepare(rows):
-        out = normalise.normalise(rows.withColumn("id", F.col("id") + 1), users, entities)
+        out = normal(rows.withColumn("id", F.col("id") + 1))
         no_text = F.col("_click").isNotNull()
         marked = out.join(clicks.withColumn("_click", F.lit(1)), "message_id", "left")
         return marked.withColumn("text", F.when(~no_text, F.col("text"))).drop("_click")

@@ -106,16 +106,20 @@ def catalyst_points(cleaned: Column) -> Column:
     return F.when(cleaned.rlike(any_hit), found).otherwise(F.array().cast(_EMPTY))
 
 
-def text_points(cleaned: Column) -> Column:
-    """First two distinct points: prices, then performance, then catalysts."""
+def first_of(points: Column, most: int | None) -> Column:
+    return points if most is None else F.slice(points, 1, most)
+
+
+def text_points(cleaned: Column, most: int | None = V.MAX_KEY_POINTS) -> Column:
+    """First ``most`` distinct points (None: all): prices, then performance, then catalysts."""
     everything = F.concat(
         price_points(cleaned), performance_points(cleaned), catalyst_points(cleaned)
     )
-    return F.slice(F.array_distinct(everything), 1, V.MAX_KEY_POINTS)
+    return first_of(F.array_distinct(everything), most)
 
 
-def reply_points(reply: Column) -> Column:
-    """Insights of a model's reply: one per line, bullets and numbers removed."""
+def reply_points(reply: Column, most: int | None = V.MAX_KEY_POINTS) -> Column:
+    """First ``most`` insights of a model's reply (None: all): one per line, bullets and numbers removed."""
     lines = F.transform(F.split(strip(reply), "\n"), strip)
     bare = F.transform(
         lines, lambda x: strip(F.regexp_replace(x, rf"\A[-•*\p{{Nd}}+.){SPACE[1:-1]}]+", ""))
@@ -128,7 +132,7 @@ def reply_points(reply: Column) -> Column:
         return ok
 
     unquoted = F.transform(F.filter(bare, wanted), lambda x: F.btrim(x, F.lit("\"'")))
-    points = F.slice(F.filter(unquoted, lambda x: x != ""), 1, V.MAX_KEY_POINTS)
+    points = first_of(F.filter(unquoted, lambda x: x != ""), most)
     return F.coalesce(points, F.array().cast(_EMPTY))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions import vocabulary as V
 from chatlens.functions.text import SPACE, strip
 from chatlens.sources import schemas as S
-from chatlens.sources.session import MAX_BROADCAST_ROWS, lookup
+from chatlens.sources.session import MAX_BROADCAST_ROWS, lookup, sized
 
 
 def with_text(raw: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def _filled(c: Column) -> Column:
 
 
 def with_sender(
-    raw: DataFrame, users: DataFrame, max_rows: int = MAX_BROADCAST_ROWS
+    raw: DataFrame, users: DataFrame, max_rows: int | None = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """Adds ``handle``: that of a sender who is a user and has one."""
     handles = users.where((F.col("kind") == "user") & (F.col("username") != "")).select(
@@ -53,7 +55,7 @@ def with_sender(
     return lookup(raw, handles, ["sender_id"], max_rows)
 
 
-def with_forward(raw: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def with_forward(raw: DataFrame, entities: DataFrame, max_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
     """Adds ``is_forwarded`` and ``forward_from``."""
     origins = entities.select(
         F.col("entity_id").alias("_from_id"),
@@ -71,8 +73,16 @@ def with_forward(raw: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADC
     ).drop("_from_id", "_origin", "_known")
 
 
+def normaliser(
+    users: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADCAST_ROWS
+) -> Callable[[DataFrame], DataFrame]:
+    """``normalise`` for many batches: the directories are counted once, now."""
+    people, origins = sized(users, max_rows), sized(entities, max_rows)
+    return lambda raw: normalise(raw, people, origins, None)
+
+
 def normalise(
-    raw: DataFrame, users: DataFrame, entities: DataFrame, max_rows: int = MAX_BROADCAST_ROWS
+    raw: DataFrame, users: DataFrame, entities: DataFrame, max_rows: int | None = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """Messages rows, with ``ingest_seq`` carried along if the source has it."""
     texts = with_text(raw)

@@ -165,9 +165,10 @@ def report_rows(frame: DataFrame, shown_tokens: int = V.SHOWN_TOKENS) -> DataFra
 
 
 def previews(
-    frame: DataFrame, by: list[str], rows: int | None = V.PREVIEW_ROWS, only_up_to: int | None = None
+    frame: DataFrame, by: list[str], rows: int | None = V.PREVIEW_ROWS, only_up_to: int | None = None,
+    chars: int | None = V.PREVIEW_CHARS, tokens: int | None = V.PREVIEW_TOKENS,
 ) -> DataFrame:
-    """Newest ``rows`` of every group (None: all): time, author, short text, three tokens.
+    """Newest ``rows`` of every group: time, author, ``chars`` of the text, ``tokens`` of its tokens (None: all).
 
     With ``only_up_to`` groups of more messages get no preview. Rank tests decide
     both on the map side, so a huge group never meets in one task.
@@ -180,13 +181,11 @@ def previews(
         head = head.withColumn("_size", size).where(F.col("_size") <= only_up_to)
     if rows is not None:
         head = head.where(F.col("rank") <= rows)
-    short = F.when(
-        F.length("text") > V.PREVIEW_CHARS,
-        F.concat(F.substring("text", 1, V.PREVIEW_CHARS), F.lit("...")),
+    short = F.col("text") if chars is None else F.when(
+        F.length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit("..."))
     ).otherwise(F.col("text"))
-    marks = F.array_join(
-        F.transform(F.slice("tokens", 1, V.PREVIEW_TOKENS), lambda t: F.concat(F.lit("$"), t)), ", "
-    )
+    named = F.col("tokens") if tokens is None else F.slice("tokens", 1, tokens)
+    marks = F.array_join(F.transform(named, lambda t: F.concat(F.lit("$"), t)), ", ")
     return head.select(
         *by,
         "rank",

@@ -84,14 +84,20 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def sized(dimension: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A lookup table, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(dimension) if is_small(dimension, max_rows) else dimension
+
+
 def lookup(
-    facts: DataFrame, dimension: DataFrame, on: list[str], max_rows: int = MAX_BROADCAST_ROWS, how: str = "left"
+    facts: DataFrame, dimension: DataFrame, on: list[str], max_rows: int | None = MAX_BROADCAST_ROWS, how: str = "left"
 ) -> DataFrame:
     """Equi-join of a large frame with a lookup table.
 
     A table of checked small size is broadcast. A larger one is joined by
     shuffle; Spark's adaptive skew join then splits the partition of a hot key,
     null included, on the side of ``facts`` for left and inner joins alike, by the
-    bytes it really has.
+    bytes it really has. Without ``max_rows`` the table is taken as it is: ``sized``
+    before, or for Spark to choose.
     """
-    return facts.join(F.broadcast(dimension) if is_small(dimension, max_rows) else dimension, on, how)
+    return facts.join(dimension if max_rows is None else sized(dimension, max_rows), on, how)

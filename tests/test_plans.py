@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 import catalogue
 from catalogue import inputs as I
 from catalogue import report_queries
-from chatlens.operators import analyse, relational, token_report, upsert
+from chatlens.functions import keypoints
+from chatlens.operators import analyse, normalise, relational, report, token_report, upsert
 from chatlens.sources import schemas as S
+from chatlens.sources import session
 from chatlens.sources.session import scratch_folder
 from chatlens.sources.tables import save_clustered
 
@@ -78,3 +80,30 @@ def test_tables_clustered_alike_join_without_a_shuffle(spark, sf):
         assert joined.count() == I.messages(spark, sf).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_directories_are_counted_once(spark, sf, monkeypatch):
+    users, entities, raw = I.users(spark, sf), I.entities(spark, sf), I.raw_messages(spark, sf)
+    counted = []
+    whole = session.is_small
+    monkeypatch.setattr(session, "is_small", lambda *a: counted.append(a) or whole(*a))
+    normal = normalise.normaliser(users, entities)
+    assert len(counted) == 2
+    plans = [plan_of(normal(raw)) for _ in range(2)]
+    assert len(counted) == 2
+    assert all(p.split("\n\n\n")[0].count("BroadcastHashJoin") == 2 for p in plans)
+    assert sorted(map(str, normal(raw).collect())) == sorted(map(str, normalise.normalise(raw, users, entities).collect()))
+
+
+def test_bounds_are_arguments(spark, sf):
+    frame = report_queries.whole_frame(spark, sf)
+    row = report.previews(frame, ["chat_id"], rows=1, chars=5, tokens=None).first()
+    assert len(row.preview) <= 8
+    lines = "\n".join(f"- point number {i} about growth" for i in range(6))
+    one = spark.createDataFrame([(lines,)], "r string").select(
+        F.size(keypoints.reply_points(F.col("r"))).alias("two"), F.size(keypoints.reply_points(F.col("r"), None)).alias("all")).first()
+    assert tuple(one) == (2, 6)
+    text = ". ".join(t for t in I.TEMPLATES if "\n" not in t)
+    few = spark.createDataFrame([(text,)], "t string").select(
+        F.size(keypoints.text_points(F.col("t"), 1)).alias("one"), F.size(keypoints.text_points(F.col("t"), None)).alias("all")).first()
+    assert few["one"] == 1 and few["all"] > 2
