@@ -361,8 +361,7 @@ SELECT q.request_id, CASE WHEN q.start_ts IS NULL THEN 'date range' END AS error
 FROM requests q LEFT JOIN sums USING (request_id) LEFT JOIN line USING (request_id)"""
 )
 def batch_reports(spark, sf):
-    frame = settled(whole_frame(spark, sf), "frame")
-    return requests.batch_reports(frame, parsed_requests(spark, sf))
+    return requests.batch_reports(whole_frame(spark, sf), parsed_requests(spark, sf))
 
 
 @query(f"WITH {_MATCHED} SELECT request_id, chat_id, message_id FROM matched")
@@ -386,7 +385,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, token, sentimen
 
 @query(f"WITH {_REQUEST_MENTIONS}, {_FLAT.format(by='request_id,', using='request_id, token')}")
 def batch_token_reports(spark, sf):
-    found = requests.batch_token_reports(settled(whole_frame(spark, sf), "frame"), parsed_requests(spark, sf))
+    found = requests.batch_token_reports(whole_frame(spark, sf), parsed_requests(spark, sf))
     return found.withColumns({"bullish_points": joined("bullish_points"), "bearish_points": joined("bearish_points")})
 
 
@@ -452,7 +451,7 @@ def batch_text_topics(spark, sf):
         I.at("9999-01-01 00:00:00").alias("end_ts"), F.when(topic != "", topic).alias("topic"),
         F.when(number % 2 == 0, number % 50 + 1).alias("row_limit"), F.lit(None).cast("string").alias("error"),
     )
-    frame = settled(frame.select("chat_id", "message_id", "ts_utc", "topic_key", "tokens"), "frame")
+    frame = frame.select("chat_id", "message_id", "ts_utc", "topic_key", "tokens")
     return requests.match(frame, asked).groupBy("request_id").agg(
         F.count("*").alias("n"), F.min("message_id").alias("oldest"), F.max("message_id").alias("newest")
     )
