@@ -18,7 +18,7 @@ from chatlens.plans import reports, rescan, stats
 from chatlens.sources import csv_export, scans
 from chatlens.sources import schemas as S
 from chatlens.sources.session import scratch_folder
-from chatlens.sources.tables import ChatTables
+from chatlens.sources.tables import OF_STORED, ChatTables
 from chatlens.streaming import dedupe, live, state
 
 AT = "2024-02-01 00:00:00"
@@ -44,17 +44,17 @@ def _same(rows):
     return rows
 
 
-def _place(spark):
+def _place(spark, **of_tables):
     return (
         scratch_folder(spark, "source"), scratch_folder(spark, "progress"),
-        ChatTables(spark, scratch_folder(spark, "tables")),
+        ChatTables(spark, scratch_folder(spark, "tables"), **of_tables),
     )
 
 
-def _ingest(spark, parts, schema, prepare=_same, **more):
+def _ingest(spark, parts, schema, prepare=_same, of_tables=None, **more):
     """Each part written to the source folder and read by a run of its own, which
     goes on where the one before it stopped."""
-    folder, checkpoint, tables = _place(spark)
+    folder, checkpoint, tables = _place(spark, **(of_tables or {}))
     for part in parts:
         part.write.mode("append").parquet(folder)
         _run(spark, folder, tables, checkpoint, schema, prepare, **more)
@@ -89,6 +89,18 @@ def stream_resume(spark, sf):
     return T._analysis(ingested(spark, sf).current("analysis"))
 
 
+_STORED_TEXTS = f"""{I.MESSAGES_SQL}, {I.ARRIVALS_SQL}, merged AS (WITH {T._merge_sql(T._EDIT_RULE)}),
+{Q.annotated('a', 'merged', 'message_id')}"""
+
+
+@query(f"WITH {_STORED_TEXTS} {T._ANALYSIS_ROWS}")
+def stream_in_step(spark, sf):
+    """Analysis of the texts that the messages hold, stale replays after edits and all."""
+    parts = _parts(S.conform(I.arrivals(spark, sf), _STREAMED))
+    tables = _ingest(spark, parts, _STREAMED, of_tables={"analysis_of": OF_STORED})
+    return T._analysis(tables.current("analysis"))
+
+
 @query(
     f"""WITH {I.MESSAGES_SQL} SELECT chat_id, max(message_id) AS last_message_id, arg_max(ts_utc, message_id) AS last_ts_utc
 FROM messages WHERE edit_date IS NULL GROUP BY chat_id"""
@@ -290,6 +302,34 @@ def stored_token_report(spark, sf):
     return rows.withColumns({c: F.array_join(c, "|") for c in ("bullish_points", "bearish_points")})
 
 
+def _ingested_texts(spark, sf):
+    """Whole documents and whole turns, a chat each, streamed into stored tables in two parts."""
+    numbered = lambda rows: rows.where(F.col("text").isNotNull()).withColumn("is_forwarded", F.lit(False))
+    turns = F.col("chat_id") * 1000 + F.col("message_id")
+    documents = numbered(R._as_chats(I.prose(spark, sf), F.col("doc_id")))
+    talks = numbered(R._as_chats(I.conversation_messages(spark, sf), turns)).withColumn("chat_id", F.lit(R.CHAT + 1).cast("long"))
+    sent = [rows.withColumn(upsert.SEQ, F.col("message_id")) for rows in (documents, talks)]
+    return _ingest(spark, [S.conform(rows, _STREAMED) for rows in sent], _STREAMED)
+
+
+_TEXT_SPAN = (R._TEXT_START, "9000-01-01 00:00:00")
+_DOCUMENTS = "SELECT doc_id AS message_id, text FROM prose WHERE text IS NOT NULL"
+
+
+@query(f"WITH {I.PROSE_SQL}, {R._text_report_sql(_DOCUMENTS)}")
+def stored_documents(spark, sf):
+    """Standard report over streamed tables that hold whole documents beside another chat."""
+    return reports.standard_report(_ingested_texts(spark, sf), R.CHAT, *[I.at(t) for t in _TEXT_SPAN])
+
+
+@query(
+    f"WITH {R._text_report_sql('SELECT conv_id * 1000 + turn AS message_id, text FROM conversations WHERE text IS NOT NULL')}"
+)
+def stored_conversations(spark, sf):
+    """The same of whole turns."""
+    return reports.standard_report(_ingested_texts(spark, sf), R.CHAT + 1, *[I.at(t) for t in _TEXT_SPAN])
+
+
 @query(R._EXPORT)
 def stored_export(spark, sf):
     """CSV export over streamed tables, read back."""

@@ -59,6 +59,18 @@ def fold_versions(rows: DataFrame, keys: list[str], first: list[str], last: list
     return folded.select(*keys, *[F.col(f"{side(c)}.{c}").alias(c) for c in [*columns, *first, *last]])
 
 
+def text_order(seq: list[str], redone: str) -> Column:
+    """Order of analysis rows whose greatest belongs to the text that the edit rule keeps.
+
+    ``redone`` marks an analysis of the stored text made later. It stands in for
+    the one of its edit, but not for that of a newer edit or arrival.
+    """
+    edited = F.col("edit_date").isNotNull()
+    again = edited & F.coalesce(F.col(redone), F.lit(False))
+    sign = F.when(edited & ~again, F.lit(-1)).otherwise(F.lit(1))
+    return F.struct(edited, F.col("edit_date"), again, *[F.col(c) * sign for c in seq])
+
+
 def fold_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Row of each key that is greatest in ``order``, all columns kept."""
     rest = [c for c in rows.columns if c not in keys]

@@ -9,7 +9,7 @@ from chatlens.functions.vocabulary import MODEL_VERSION, OVERLAP_MINUTES
 from chatlens.operators import analyse, relational, upsert
 from chatlens.sources import scans
 from chatlens.sources import schemas as S
-from chatlens.sources.tables import BUCKET, DAY, EDIT_DAY, ChatTables, as_column, between_days
+from chatlens.sources.tables import BUCKET, DAY, EDIT_DAY, REDONE, ChatTables, as_column, between_days
 from chatlens.streaming import live
 
 
@@ -45,7 +45,7 @@ def reanalyse_edited(
 
 
 def stale(tables: ChatTables, start, end, edited_since=None) -> DataFrame:
-    """Messages edited since their analysis: key, text and ``day``.
+    """Messages edited since their analysis: key, text, edit and ``day``.
 
     Looked for among those of ``start`` to ``end``, and with ``edited_since``
     also among all that were edited from then on. These are found by the day of
@@ -68,7 +68,7 @@ def stale(tables: ChatTables, start, end, edited_since=None) -> DataFrame:
 
 def _outdated(messages: DataFrame, analysis: DataFrame) -> DataFrame:
     keys = relational.needs_reanalysis(messages, analysis).select(*S.KEY)
-    return messages.select(*S.KEY, "text", DAY).join(keys, S.KEY, "left_semi")
+    return messages.select(*S.KEY, "text", "edit_date", DAY).join(keys, S.KEY, "left_semi")
 
 
 def rescan_tables(
@@ -79,7 +79,7 @@ def rescan_tables(
     (see ``stale``)."""
     live.write_batch(tables, scans.by_time(arrivals, start, end), None, analyzed_at, mode)
     fresh = analyse.annotate(stale(tables, start, end, edited_since), mode=mode).withColumns(
-        {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
+        {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at, REDONE: F.lit(True)}
     )
     tables.merge("analysis", fresh)
 

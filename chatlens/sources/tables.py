@@ -32,6 +32,11 @@ FIRST, LAST = ["first_merge", "first_seq"], ["last_merge", "last_seq"]
 #: Whether a file was written by ``settle``.
 FOLDED = "folded"
 _ORDER = T.StructType([*[T.StructField(c, T.LongType()) for c in (*FIRST, *LAST)], T.StructField(FOLDED, T.BooleanType())])
+#: Which analysis of a message counts: that of its last arrival, or that of the text in the messages table.
+OF_ARRIVAL, OF_STORED = "arrival", "stored"
+#: Edit that an analysis is of, and whether it was made of the stored text.
+REDONE = "redone"
+_OF_TEXT = T.StructType([T.StructField("edit_date", T.TimestampType()), T.StructField(REDONE, T.BooleanType())])
 
 def _edit_rule(rows: DataFrame, keys: list[str]) -> DataFrame:
     return upsert.fold_versions(rows, keys, FIRST, LAST)
@@ -41,6 +46,10 @@ def _last_wins(rows: DataFrame, keys: list[str]) -> DataFrame:
     return upsert.fold_by(rows, keys, [F.col(c) for c in LAST])
 
 
+def _of_stored_text(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return upsert.fold_by(rows, keys, [upsert.text_order(LAST, REDONE)])
+
+
 def _furthest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return upsert.fold_by(rows, keys, [F.col("last_message_id"), *[F.col(c) for c in LAST]])
 
@@ -82,13 +91,19 @@ def between_days(start=None, end=None, column: str = DAY) -> Column:
 class ChatTables:
     """The tables below one root folder that all executors can reach.
 
-    ``buckets`` is fixed for the life of a store. A message keeps its
+    ``buckets`` and ``analysis_of`` are fixed for the life of a store. With
+    ``OF_STORED`` the analysis follows the edit rule as the messages do, so a
+    stale replay after an edit changes neither; every row of it carries the edit
+    it is of, so this takes no look at the messages. A message keeps its
     ``ts_utc``: edits and replays carry that of the first arrival. What a later
     merge brings counts as having arrived later, by the clock of its driver.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, analysis_of: str = OF_ARRIVAL):
+        if analysis_of not in (OF_ARRIVAL, OF_STORED):
+            raise ValueError(f"analysis_of is {analysis_of!r}, not {OF_ARRIVAL!r} or {OF_STORED!r}")
         self.spark = spark
+        self.analysis_of = analysis_of
         self.root = root.rstrip("/")
         self.buckets = buckets
 
@@ -100,7 +115,8 @@ class ChatTables:
 
     def _schema(self, name: str) -> T.StructType:
         schema, _, _, parts = _TABLES[name]
-        return T.StructType([*schema.fields, *_ORDER.fields, *[T.StructField(p, _PART_TYPES[p]) for p in parts]])
+        more = _OF_TEXT.fields if name == "analysis" else []
+        return T.StructType([*schema.fields, *more, *_ORDER.fields, *[T.StructField(p, _PART_TYPES[p]) for p in parts]])
 
     def stored(self, name: str) -> DataFrame:
         """All arrivals as they lie in the files that are there now; an empty frame before the first merge."""
@@ -116,6 +132,8 @@ class ChatTables:
 
     def _fold(self, name: str, arrivals: DataFrame) -> DataFrame:
         _, fold, key, parts = _TABLES[name]
+        if name == "analysis" and self.analysis_of == OF_STORED:
+            fold = _of_stored_text
         return fold(arrivals.drop(FOLDED), [*parts, *key])
 
     def state(self, name: str, where: Column | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -130,7 +148,8 @@ class ChatTables:
         if only is not None:
             # at most a row for each partition of the table; read by the scan before it opens files
             rows = rows.join(F.broadcast(only), only.columns, "left_semi")
-        return self._fold(name, rows).drop(*FIRST, *LAST)
+        found = self._fold(name, rows).drop(*FIRST, *LAST)
+        return found.drop(*_OF_TEXT.names) if name == "analysis" else found
 
     def within(self, name: str, chat_id: int | None = None, start=None, end=None) -> Column:
         """Condition that chooses the folders of a chat and of days from ``start`` to ``end``."""
@@ -150,7 +169,8 @@ class ChatTables:
         return self.state(name, self.within(name, chat_id, start, end)).select(*S.names(_TABLES[name][0]))
 
     def merge(self, name: str, rows: DataFrame) -> None:
-        """Upsert rows by appending them. Those of ``analysis`` need the ``day`` of their message.
+        """Upsert rows by appending them. Those of ``analysis`` need the ``day`` of their message,
+        and its ``edit_date`` and ``redone`` where the analysis is that of the stored text.
 
         Without ``ingest_seq`` all rows count as arriving at once. The bytes
         written depend on ``rows`` alone.

@@ -72,7 +72,7 @@ def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int | None, analy
 
     The rows are settled once and get the defaults of the table; incomplete
     ones are set aside and the others go on. Every arrival is analysed, and the
-    last of each message counts. Edits do not move the checkpoint, and no batch moves it back.
+    last of each message counts, or that of the stored text if the tables are made so. Edits do not move the checkpoint, and no batch moves it back.
     Counts are observed on the writes themselves. ``batch_id`` names what is set
     aside and the counts; without one it is a re-scan.
     """
@@ -92,8 +92,8 @@ def write_batch(tables: ChatTables, rows: DataFrame, batch_id: int | None, analy
         if counts["edits"]:
             edited = complete.where(F.col("edit_date").isNotNull())
             tables.merge("edits", edited.withColumns({BUCKET: tables.bucket_of(F.col("chat_id")), DAY: day_of("ts_utc")}))
-        # as it arrived, without a shuffle; the table's fold takes the last
-        texts = complete.drop(*[c for c in complete.columns if c not in (*S.KEY, "text", "ts_utc", upsert.SEQ)])
+        # as it arrived, without a shuffle; the table's fold takes the one that counts
+        texts = complete.drop(*[c for c in complete.columns if c not in (*S.KEY, "text", "ts_utc", "edit_date", upsert.SEQ)])
         done = analyse.annotate(texts.withColumn(DAY, day_of("ts_utc")), mode=mode).withColumns(
             {"model_version": F.lit(MODEL_VERSION), "analyzed_at": analyzed_at}
         )

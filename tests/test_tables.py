@@ -242,3 +242,42 @@ def test_the_overlap_step_opens_folders_of_edits_only(spark, sf, capsys):
     assert sum("dynamicpruning" in b for b in scans) >= 2
     assert {(r.chat_id, r.message_id) for r in found.collect()} == {
         (r.chat_id, r.message_id) for r in rows.where(F.col("edit_date") >= F.lit(edited.edit_date)).collect()}
+
+
+def test_the_analysis_of_the_stored_text_counts(spark):
+    """A stale replay after an edit, a redone analysis, a newer edit, an arrival without one; settled after each or not."""
+    def arrival(text, edited, seq):
+        rows = spark.createDataFrame([(1, 5, text, edited, seq)], "chat_id long, message_id long, text string, edit_day int, ingest_seq long")
+        day = F.when(F.col("edit_day").isNotNull(), F.timestamp_seconds(F.col("edit_day") * 86400 + F.unix_timestamp(I.at("2024-01-01 00:00:00"))))
+        return S.conform(rows.withColumns({"ts_utc": I.at("2024-01-01 00:00:00"), "edit_date": day}),
+                         S.T.StructType([*S.MESSAGES.fields, S.T.StructField(upsert.SEQ, S.T.LongType())]))
+
+    def kept(tables):
+        found = tables.current("analysis").collect()
+        assert len(found) == 1
+        return found[0].tokens, found[0].analyzed_at
+
+    for settling in (False, True):
+        tables = ChatTables(spark, scratch_folder(spark, "t"), analysis_of=tables_module.OF_STORED)
+
+        def write(batch, text, edited, seq):
+            live.write_batch(tables, arrival(text, edited, seq), batch, I.at("2024-01-02 00:00:00"))
+            if settling:
+                tables.settle("analysis")
+            stored = tables.current("messages").collect()[0].text
+            assert kept(tables)[0] == [r.tokens for r in analyse.annotate(spark.createDataFrame([(stored,)], "text string")).collect()][0]
+
+        write(0, "gm", None, 0)
+        write(1, "buy $ETH", None, 1)
+        write(2, "buy $BTC", 3, 2)
+        write(3, "gm", None, 3)
+        assert kept(tables)[0] == ["BTC"]
+        rescan.rescan_tables(tables, arrival("gm", None, 4).limit(0), I.at("2024-01-01 00:00:00"), I.at("2024-01-09 00:00:00"), I.at("2024-02-01 00:00:00"))
+        if settling:
+            tables.settle("analysis")
+        assert kept(tables) == (["BTC"], dt.datetime(2024, 2, 1))
+        write(5, "buy $SOL", 3, 5)
+        write(6, "buy $ADA", 4, 6)
+        assert kept(tables) == (["ADA"], dt.datetime(2024, 1, 2))
+    with pytest.raises(ValueError):
+        ChatTables(spark, "t", analysis_of="neither")
