@@ -5,8 +5,13 @@ classes that leads to it, and its text blocks with their path. Over the pages of
 one host every token has an occurrence vector: how often it stands on each page.
 Tokens with equal vectors form a class. Frequent classes whose tags nest in each
 other are the template of the host; what stands between are slots. A text block
-that belongs to the template is boilerplate. A slot is read as article text
-unless its path leads through a region whose tag or class says otherwise.
+that belongs to the template is boilerplate. The tags of the class of the page
+itself, once on each page they stand on, are the template's containers. From the
+page downwards the container whose text, without the constant one, takes up most
+of what its pages hold beside it is entered, and what remains of its slots is the
+main text. Hosts without a template are read by the same volumes on the page alone.
+Tags beside an article by their meaning and parts that name themselves so (all
+words of one class name or id are such words) are left out of the slots.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ MIN_PAGES = 5
 MIN_SHARE = 0.01
 #: Tokens that a class must have whose counts differ from page to page.
 MIN_CLASS = 3
-#: Hosts up to which their templates may be broadcast.
-MAX_HOSTS = 20_000
+#: Share of the largest container's text from which one beside it is as good.
+MIN_SLOT = 0.1
+#: Share of uses beyond one a page that a container may have, for pages that list several articles.
+MAX_EXTRA = 0.1
+#: Rows up to which the tokens of all templates may be broadcast; it bounds the bytes too.
+MAX_TOKENS = 500_000
 
 # Names with a meaning in HTML, and words that name page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +58,13 @@ SKIP_WORDS = frozenset(
     "pagination popup promo promos promoted promotion recommended related replies reply respond search share sharing "
     "sidebar sidebars signup skip social sponsor sponsored subscribe subscription tooltip topbar widget widgets".split()
 )
+#: Words that may stand beside one of these in a name without giving it another meaning.
+FRAME_WORDS = frozenset(
+    "area articles bar block bottom box buttons container content form icon inner item items label left link links list "
+    "main message module outer page panel post posts right section site slot small text title top unit wrap wrapper".split()
+)
+#: Tags that only hold others, and so can be a container.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
 #: Words of parts that other people wrote, which are left out however long they are.
 COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
 HEADINGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
@@ -86,9 +102,15 @@ def _skip_words(name: str, attributes: dict[str, str]) -> frozenset[str]:
     """Words by which an element names itself a part beside the article."""
     if name in HEADINGS and "comment" not in attributes.get("class", "").lower():
         return frozenset()
-    named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    parts = [p.lower() for p in _PART.findall(named)] + [n.replace("-", "").replace("_", "") for n in named.split()]
-    return SKIP_WORDS.intersection(parts)
+    found = set()
+    for each in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split():
+        whole = each.replace("-", "").replace("_", "").lower()
+        parts = [p.lower() for p in _PART.findall(each) if not p.isdigit()]
+        if whole in SKIP_WORDS:
+            found.add(whole)
+        elif all(p in SKIP_WORDS or p in FRAME_WORDS for p in parts):
+            found.update(SKIP_WORDS.intersection(parts))
+    return frozenset(found)
 
 
 class Page:
@@ -96,6 +118,9 @@ class Page:
 
     def __init__(self, source: str | None):
         self.tags: list[tuple[int, int]] = []  # path, path of the parent
+        self._names: dict[int, str] = {}  # tag of a path
+        #: Path of the first h1 that is not beside the article, and numbers of the named parts around it.
+        self._h1: tuple[int, frozenset[int]] | None = None
         #: path, text, beside the article, inside an article, inside a main part, named parts around it
         self.blocks: list[tuple[int, str, bool, bool, bool, tuple]] = []
         self._open: list[tuple[str, int, bool, bool, bool, tuple]] = []
@@ -150,9 +175,12 @@ class Page:
             _, parent, aside, article, main, named = self._top()
             path = _code(str(parent), name, attributes.get("class", ""), attributes.get("id", ""))
             self.tags.append((path, parent))
+            self._names[path] = name
             own = aside or _is_aside(name, attributes) or (name == "header" and not article and not main)
             if words := _skip_words(name, attributes):
                 named = (*named, (len(self.tags), words, article or main))  # its number, its words, whether within an article
+            if name == "h1" and self._h1 is None and not own:
+                self._h1 = path, frozenset(k for k, _, _ in named)
             if name == "h1" and self._titled is None and (article or main) and not own:
                 self._titled = frozenset(k for k, _, within in named if within)
             if name in RAW:
@@ -162,16 +190,93 @@ class Page:
                 body = attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
                 self._open.append((name, path, own, article or name == "article", main or name == "main" or body, named))
 
-    def tokens(self) -> dict[int, tuple[int, bool, int]]:
-        """``{token: (parent, is text, count)}``; token 0 is the page itself."""
-        out = {0: (0, False, 1)}
+    def _parents(self) -> dict[int, int]:
+        """Parent of each path, parents before their children."""
+        out: dict[int, int] = {}
+        for path, parent in self.tags:
+            out.setdefault(path, parent)
+        return out
+
+    @staticmethod
+    def _weight(block: tuple) -> int:
+        """Length of a block that may be article text by its tags; what readers wrote is none."""
+        return 0 if block[2] or any(words & COMMENT_WORDS for _, words, _ in block[5]) else len(block[1])
+
+    def _volumes(self, parents: dict[int, int], constant: frozenset[int]) -> dict[int, int]:
+        """Length of the text in each path and what it holds, constant text left out."""
+        out = dict.fromkeys((0, *parents), 0)
+        for block in self.blocks:
+            if _code(str(block[0]), "text", block[1]) not in constant:
+                out[block[0]] += self._weight(block)
+        for path in reversed(parents):
+            out[parents[path]] += out[path]
+        return out
+
+    def tokens(self) -> dict[int, list]:
+        """``{token: [parent, is text, is container, count, length of text]}``; token 0 is the page itself."""
+        parents = self._parents()
+        sizes = self._volumes(parents, frozenset())
+        out = {0: [0, False, False, 1, sizes[0]]}
         for path, parent in self.tags:
-            out[path] = (parent, False, out.get(path, (0, False, 0))[2] + 1)
-        for path, text, *_ in self.blocks:
-            token = _code(str(path), "text", text)
-            out[token] = (path, True, out.get(token, (0, True, 0))[2] + 1)
+            out.setdefault(path, [parent, False, self._names[path] in CONTAINERS, 0, sizes[path]])[3] += 1
+        for block in self.blocks:
+            held = out.setdefault(_code(str(block[0]), "text", block[1]), [block[0], True, False, 0, 0])
+            held[3] += 1
+            held[4] += self._weight(block)
         return out
 
+    def _region(self, constant: frozenset[int], volumes: dict[int, int]) -> list[tuple] | None:
+        """Slots of the main text by the template's containers; None if they single nothing out.
+
+        ``volumes`` holds the mean length of the text in each container over its
+        pages. A container is entered if it has most of what its pages hold
+        beside it and no other one has ``MIN_SLOT`` of that; an article is not
+        taken apart. A title outside is kept unless the region is an article.
+        """
+        parents = self._parents()
+        sizes = self._volumes(parents, constant)
+        over, inner = {0: 0}, {}  # nearest container above a path, containers next below one
+        for path, parent in parents.items():
+            over[path] = parent if parent in volumes or parent == 0 else over[parent]
+            if path in volumes:
+                inner.setdefault(over[path], []).append(path)
+        at, kept = 0, frozenset()
+        while self._names.get(at) != "article" and (below := inner.get(at)):
+            best = max(below, key=lambda p: (volumes[p], p))
+            loose = sizes[at] - sum(sizes[p] for p in below)
+            if 2 * volumes[best] <= sum(volumes[p] for p in below) + loose:
+                break
+            large = [p for p in below if volumes[p] >= MIN_SLOT * volumes[best]]
+            if len(large) > 1:
+                kept = frozenset(below).difference(large)
+                break
+            at = best
+        if self._names.get(at, "html") in ("html", "body") and not kept:
+            return None
+        within = {at}
+        for path, parent in parents.items():
+            if parent in within and path not in kept:
+                within.add(path)
+        title, around = self._h1 or (None, frozenset())
+        first = next((b for b in self.blocks if b[0] == title), None) if self._names.get(at) != "article" else None
+        found = [
+            b for b in self.blocks
+            if not b[2] and (b[0] in within or b is first) and _code(str(b[0]), "text", b[1]) not in constant
+        ]
+        named = [[(k, words) for k, words, _ in b[5] if self.tags[k - 1][0] in within and self.tags[k - 1][0] != at or b is first] for b in found]
+        return self._unnamed(found, named, around)
+
+    @staticmethod
+    def _unnamed(blocks: list[tuple], named: list[list[tuple]], around: frozenset[int]) -> list[tuple]:
+        """Blocks outside parts named as beside the article, unless such a name has most of the text (comments excepted)."""
+        size: dict[str, int] = {}
+        for b, parts in zip(blocks, named):
+            for word in {w for _, words in parts for w in words}:
+                size[word] = size.get(word, 0) + len(b[1])
+        total = sum(len(b[1]) for b in blocks)
+        free = {w for w, n in size.items() if 2 * n > total} - COMMENT_WORDS
+        return [b for b, parts in zip(blocks, named) if all(k in around or words <= free for k, words in parts)]
+
     def _slots(self, template: frozenset[int] = frozenset()) -> list[tuple]:
         """Blocks outside the template and outside parts beside the article.
 
@@ -180,30 +285,26 @@ class Page:
         Beside an article with a title, the first holds only for parts within one.
         """
         blocks = [b for b in self.blocks if not b[2] and _code(str(b[0]), "text", b[1]) not in template]
-        size: dict[str, int] = {}
-        for b in blocks:
-            for word in {w for _, words, within in b[5] if within or self._titled is None for w in words}:
-                size[word] = size.get(word, 0) + len(b[1])
-        total = sum(len(b[1]) for b in blocks)
-        free = {w for w, n in size.items() if 2 * n > total} - COMMENT_WORDS
-        titled = self._titled or ()
-        return [
-            b for b in blocks
-            if all(k in titled or words <= free and (within or self._titled is None) for k, words, within in b[5])
-        ]
+        named = [[(k, words) for k, words, within in b[5] if within or self._titled is None] for b in blocks]
+        kept = self._unnamed(blocks, named, self._titled or frozenset())
+        if self._titled is None:
+            return kept
+        return [b for b in kept if all(within or k in self._titled for k, _, within in b[5])]
 
     def main_key(self) -> int:
         """Hash of the longest text; copies of a page under several addresses share it."""
         slots = self._slots() or self.blocks
         return _code(max((b[1] for b in slots), key=lambda t: (len(t), t), default=""))
 
-    def text(self, template: frozenset[int] = frozenset()) -> str:
-        """Slots that are article text, in page order; ``template`` holds tokens of constant text.
+    def text(self, constant: frozenset[int] = frozenset(), volumes: dict[int, int] | None = None) -> str:
+        """Slots that are article text, in page order, by the constant texts and container volumes of the host.
 
-        These are the articles if they hold half of all slot text, else the main
-        parts if these do, else all slots.
+        Without containers these are the articles if they hold half of all slot
+        text, else the main parts if these do, else all slots.
         """
-        slots = self._slots(template)
+        if volumes and (found := self._region(constant, volumes)) is not None:
+            return "\n".join(b[1] for b in found)
+        slots = self._slots(constant)
         total = sum(len(b[1]) for b in slots)
         for k in (3, 4):
             region = [b for b in slots if b[k]]
@@ -213,14 +314,17 @@ class Page:
         return "\n".join(b[1] for b in slots)
 
 
-def template(tokens: list[tuple[int, int, bool, int, int, int, int, int]]) -> list[int]:
-    """Constant text tokens, from ``(token, parent, is text, pages, vector, vector, least, most)``.
+def template(tokens: list[tuple]) -> tuple[list[int], list[int], list[int]]:
+    """Constant text tokens, containers, and the mean length of the text in these.
 
-    A text that stands equally often on each of its pages (``least`` is ``most``)
-    is constant by itself. Of the others, tokens with the same vector are a
-    class. Classes of ``MIN_CLASS`` tokens are valid as far as they nest: a token
-    stays only if its parent path stays.
+    Tokens are ``(token, parent, is text, pages, vector, vector, least, most, is
+    container, uses, size)``. A text that stands equally often on each of its pages
+    (``least`` is ``most``) is constant by itself. Of the others, tokens with the
+    same vector are a class. Classes of ``MIN_CLASS`` tokens are valid as far as
+    they nest: a token stays only if its parent path stays. Containers are in the
+    class of the page itself, cut to the pages they stand on.
     """
+    by_token = {t[0]: t for t in tokens}
     constant = {t[0] for t in tokens if t[2] and t[6] == t[7]}
     classes: dict[tuple, list] = {}
     for t in tokens:
@@ -230,7 +334,15 @@ def template(tokens: list[tuple[int, int, bool, int, int, int, int, int]]) -> li
     while lost := [k for k, t in held.items() if k and t[1] not in held]:
         for k in lost:
             del held[k]
-    return sorted(constant.union(k for k, t in held.items() if t[2]))
+    constant.update(k for k, t in held.items() if t[2])
+    sizes = {t[0]: t[10] for t in tokens}
+    for k in constant:
+        up = by_token[k][1]
+        while up in sizes:
+            sizes[up] -= by_token[k][10]
+            up = by_token[up][1]
+    once = sorted(t[0] for t in tokens if t[8] and t[9] <= (1 + MAX_EXTRA) * t[3])
+    return sorted(constant), once, [sizes[k] // by_token[k][3] for k in once]
 
 
 def host_of(url: Column) -> Column:
@@ -239,7 +351,7 @@ def host_of(url: Column) -> Column:
 
 
 def _counted(batches):
-    """Token counts of each host, summed up within a batch: pages, two sums that stand for the vector, least and most.
+    """Token counts of each host, summed up within a batch: pages, two sums that stand for the vector, uses, size, least and most.
 
     A token has a row for each of up to ``MIN_PAGES`` main texts; the first one holds the counts.
     """
@@ -250,30 +362,35 @@ def _counted(batches):
                 continue
             page = Page(source)
             main = page.main_key()
-            for token, (parent, is_text, n) in page.tokens().items():
+            for token, (parent, is_text, holds, n, size) in page.tokens().items():
                 mark = xxhash.xxh64_intdigest(f"{key} {n}", 9)
-                held = sums.setdefault((host, token), [parent, is_text, 0, 0, 0, n, n, {main}])
-                held[2] += 1
-                held[3] += mark >> 33
-                held[4] += mark & 0x7FFFFFFF
-                held[5], held[6] = min(held[5], n), max(held[6], n)
-                if len(held[7]) < MIN_PAGES:
-                    held[7].add(main)
+                held = sums.setdefault((host, token), [parent, is_text, holds, 0, 0, 0, 0, 0, n, n, {main}])
+                held[3] += 1
+                held[4] += mark >> 33
+                held[5] += mark & 0x7FFFFFFF
+                held[6] += n
+                held[7] += size
+                held[8], held[9] = min(held[8], n), max(held[9], n)
+                if len(held[10]) < MIN_PAGES:
+                    held[10].add(main)
         rows = []
         for (host, token), (*counts, mains) in sums.items():
             first, *more = mains
             rows.append((host, token, *counts, first))
-            rows += [(host, token, *counts[:2], 0, 0, 0, *counts[5:], m) for m in more]
-        cols = list(zip(*rows)) or [()] * 10
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 6)
+            rows += [(host, token, *counts[:3], 0, 0, 0, 0, 0, *counts[8:], m) for m in more]
+        cols = list(zip(*rows)) or [()] * 13
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 8)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(cols, kinds)],
-            ["host", "token", "parent", "is_text", "n", "v1", "v2", "least", "most", "main"],
+            ["host", "token", "parent", "is_text", "holds", "n", "v1", "v2", "uses", "size", "least", "most", "main"],
         )
 
 
+_TEMPLATE = ("constant", "containers", "volumes")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, template array<long>)`` of every host with ``MIN_PAGES`` pages of different main texts.
+    """``(host, constant, containers, volumes)``, arrays of longs, of every host with ``MIN_PAGES`` pages of different main texts.
 
     Occurrence vectors are held as sums that add up in any order, so counting is
     an ordinary aggregation: a host with a third of all pages sends a few
@@ -281,23 +398,26 @@ def templates(pages: DataFrame) -> DataFrame:
     ``MIN_SHARE`` of its pages and so is bounded by the size of a page.
     """
     counts = (
-        pages.mapInArrow(_counted, "host string, token long, parent long, is_text boolean, n long, v1 long, v2 long, least long, most long, main long")
+        pages.mapInArrow(_counted, "host string, token long, parent long, is_text boolean, holds boolean, n long, v1 long, v2 long, "
+                         "uses long, size long, least long, most long, main long")
         .groupBy("host", "token")
-        .agg(F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), *[F.sum(c).alias(c) for c in ("n", "v1", "v2")],
+        .agg(F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), F.max("holds").alias("holds"),
+             *[F.sum(c).alias(c) for c in ("n", "v1", "v2", "uses", "size")],
              F.min("least").alias("least"), F.max("most").alias("most"), F.count_distinct("main").alias("mains"))
         .where(F.col("mains") >= MIN_PAGES).drop("mains")
     )
     counts = common.cut(counts)
     size = counts.where("token = 0").select("host", F.col("n").alias("pages"))
     often = counts.join(size, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
-    gathered = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "is_text", "n", "v1", "v2", "least", "most")).alias("tokens"))
+    gathered = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "is_text", "n", "v1", "v2", "least", "most", "holds", "uses", "size")).alias("tokens"))
 
     def deduced(batches):
         for batch in batches:
             out = [template([tuple(t.values()) for t in tokens if t["token"]]) for tokens in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.list_(pa.int64()))], ["host", "template"])
+            lists = [pa.array([found[k] for found in out], pa.list_(pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *lists], ["host", *_TEMPLATE])
 
-    return gathered.mapInArrow(deduced, "host string, template array<long>")
+    return gathered.mapInArrow(deduced, f"host string, {', '.join(f'{c} array<long>' for c in _TEMPLATE)}")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -307,21 +427,22 @@ def extracted(pages: DataFrame) -> DataFrame:
     pages, is read without a template. Repeated rows each get the same text.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = common.cut(templates(rows.withColumn("key", F.xxhash64("page_id", "url", "html"))).where(F.size("template") > 0))
-    joined = rows.join(common.small_or_whole(found, MAX_HOSTS), "host", "left")
+    found = common.cut(templates(rows.withColumn("key", F.xxhash64("page_id", "url", "html"))))
+    tokens = found.agg(F.coalesce(F.sum(1 + F.size("constant") + 2 * F.size("containers")), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(found) if tokens <= MAX_TOKENS else found, "host", "left")
 
     def run(batches):
         for batch in batches:
             texts = [
-                Page(source).text(frozenset(constant or ()))
-                for source, constant in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist())
+                Page(source).text(frozenset(constant or ()), dict(zip(containers or (), volumes or ())))
+                for source, constant, containers, volumes in zip(*(batch.column(c).to_pylist() for c in ("html", *_TEMPLATE)))
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", *_TEMPLATE).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
