@@ -30,6 +30,8 @@ from chatlens.llm import common
 #: pages that a token must stand on (it bounds a template by a hundred times the tokens of a page).
 MIN_PAGES = 5
 MIN_SHARE = 0.01
+#: Share of the pages with its path that a constant text must stand on; passages that some stories share are no template.
+MIN_CONSTANT = 0.5
 #: Tokens that a class must have whose counts differ from page to page.
 MIN_CLASS = 3
 #: Share of the largest container's text from which one beside it is as good.
@@ -314,14 +316,15 @@ class Page:
         return "\n".join(b[1] for b in slots)
 
 
-def template(tokens: list[tuple]) -> tuple[list[int], list[int], list[int]]:
+def template(tokens: list[tuple], pages: int) -> tuple[list[int], list[int], list[int]]:
     """Constant text tokens, containers, and the mean length of the text in these.
 
     Tokens are ``(token, parent, is text, pages, vector, vector, least, most, is
     container, uses, size)``. A text that stands equally often on each of its pages
     (``least`` is ``most``) is constant by itself. Of the others, tokens with the
     same vector are a class. Classes of ``MIN_CLASS`` tokens are valid as far as
-    they nest: a token stays only if its parent path stays. Containers are in the
+    they nest: a token stays only if its parent path stays. Either way a text must
+    stand on ``MIN_CONSTANT`` of the pages with its path (of all ``pages``, outside tags). Containers are in the
     class of the page itself, cut to the pages they stand on.
     """
     by_token = {t[0]: t for t in tokens}
@@ -335,6 +338,8 @@ def template(tokens: list[tuple]) -> tuple[list[int], list[int], list[int]]:
         for k in lost:
             del held[k]
     constant.update(k for k, t in held.items() if t[2])
+    place = {t[0]: t[3] for t in tokens}
+    constant = {k for k in constant if place[k] >= MIN_CONSTANT * place.get(by_token[k][1], pages)}
     sizes = {t[0]: t[10] for t in tokens}
     for k in constant:
         up = by_token[k][1]
@@ -413,7 +418,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def deduced(batches):
         for batch in batches:
-            out = [template([tuple(t.values()) for t in tokens if t["token"]]) for tokens in batch.column("tokens").to_pylist()]
+            out = [
+                template([tuple(t.values()) for t in tokens if t["token"]], max(t["n"] for t in tokens if not t["token"]))
+                for tokens in batch.column("tokens").to_pylist()
+            ]
             lists = [pa.array([found[k] for found in out], pa.list_(pa.int64())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), *lists], ["host", *_TEMPLATE])
 

@@ -116,3 +116,10 @@ def test_templates_equal_a_deduction_by_definition(spark):
         own = [p._volumes(p._parents(), frozenset(constant)) for p in pages]
         held = [o[token] for o in own if token in o]
         assert volume == sum(held) // len(held)
+
+
+def test_passages_that_some_stories_share_stay(spark):
+    shared = "<p>Released under the MIT License."
+    pages = [plain(i)[0].replace("<div class=related-work>", shared + "<div class=related-work>" if i % 3 == 0 else "<div class=related-work>") for i in range(30)]
+    out = extracted(spark, pages)
+    assert {i for i, text in out.items() if "\nReleased under the MIT License.\n" in text} == set(range(0, 30, 3))
