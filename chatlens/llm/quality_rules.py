@@ -8,7 +8,9 @@ and repetition come first.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,19 @@ TOP_WORDS = 64
 #: Reference of all languages together, for documents whose language is null.
 ALL = "*"
 
-_CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "control", "beyond", "rest")
+_ASCII = ("lower", "upper", "digit", "space", "stop", "symbol", "control")
+# Scripts as the names of their letters begin, and first letters of the other categories.
+SCRIPTS = (
+    "LATIN GREEK CYRILLIC ARMENIAN GEORGIAN HEBREW ARABIC DEVANAGARI BENGALI GURMUKHI GUJARATI TAMIL TELUGU KANNADA "
+    "MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR ETHIOPIC KHMER HANGUL HIRAGANA KATAKANA CJK".split()
+)
+_KINDS = ("N", "P", "S", "Z", "C")
+#: Classes of code points: those of ASCII, then letters and marks by script, then all else by category.
+CLASSES = (*_ASCII, *SCRIPTS, "other script", *_KINDS)
 
 
 def _class_of(c: int) -> int:
     ch = chr(c)
-    if c >= 0x80:
-        return 7 if c >= 0xC0 else 8  # first byte of a code point; its further bytes
     if ch.islower():
         return 0
     if ch.isupper():
@@ -55,12 +63,27 @@ def _class_of(c: int) -> int:
     return 5 if c >= 0x20 and c != 0x7F else 6
 
 
-_FOLD = np.eye(len(_CLASSES), dtype=np.int64)[[_class_of(c) for c in range(256)]]
+@cache
+def _class_beyond(c: int) -> int:
+    """Class of a code point beyond ASCII."""
+    kind = unicodedata.category(chr(c))[0]
+    if kind in _KINDS:
+        return len(CLASSES) - len(_KINDS) + _KINDS.index(kind)
+    script = unicodedata.name(chr(c), "").split(" ")[0]
+    return len(_ASCII) + (SCRIPTS.index(script) if script in SCRIPTS else len(SCRIPTS))
 
 
-def classes(data: bytes) -> np.ndarray:
-    """Counts by character class; continuation bytes fall out."""
-    return (np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _FOLD)[:-1]
+_FOLD = np.eye(len(CLASSES), dtype=np.int64)[[_class_of(c) for c in range(0x80)]]
+
+
+def classes(text: str, data: bytes) -> np.ndarray:
+    """Counts of code points by class; ``data`` is the text in UTF-8."""
+    found = np.bincount(np.frombuffer(data, np.uint8), minlength=256)[:0x80] @ _FOLD
+    if len(data) > len(text):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        for c, n in zip(*(a.tolist() for a in np.unique(points[points >= 0x80], return_counts=True))):
+            found[_class_beyond(c)] += n
+    return found
 
 
 def base(text: str | None, data: bytes) -> tuple[int, int, int, int, int]:
@@ -115,12 +138,12 @@ def references(docs: DataFrame) -> dict:
                     words = Counter(common.plain_words(text))
                     for key in (lang, ALL):
                         if key is not None:
-                            held = by.setdefault(key, (np.zeros(len(_CLASSES) - 1, np.int64), Counter()))
-                            held[0][:] += classes(data)
+                            held = by.setdefault(key, (np.zeros(len(CLASSES), np.int64), Counter()))
+                            held[0][:] += classes(text, data)
                             held[1].update(words)
             rows = []
             for lang, (kinds, words) in by.items():
-                rows += [(lang, f"\t{i}".encode(), int(n)) for i, n in enumerate(kinds)]
+                rows += [(lang, f"\t{i}".encode(), int(n)) for i, n in enumerate(kinds) if n]
                 rows.append((lang, b"\tall", sum(words.values())))
                 rows += [(lang, w, n) for w, n in words.items()]
             cols = list(zip(*rows)) or [(), (), ()]
@@ -134,8 +157,8 @@ def references(docs: DataFrame) -> dict:
     place = Window.partitionBy("lang").orderBy(F.desc("n"), "what")
     top = counts.where(~is_class).withColumn("place", F.row_number().over(place)).where(F.col("place") <= TOP_WORDS).drop("place")
     refs: dict = {}
-    for lang, what, n in counts.where(is_class).union(top).collect():  # TOP_WORDS + 9 rows a language
-        kinds, totals, words = refs.setdefault(lang, (np.zeros(len(_CLASSES) - 1), [0], {}))
+    for lang, what, n in counts.where(is_class).union(top).collect():  # TOP_WORDS and the classes, for each language
+        kinds, totals, words = refs.setdefault(lang, (np.zeros(len(CLASSES)), [0], {}))
         what = bytes(what)
         if what == b"\tall":
             totals[0] = n
@@ -172,7 +195,7 @@ def judged(docs: DataFrame, refs: dict, max_class: float = MAX_CLASS_DISTANCE, m
                 kinds, places, common_n = held.get(ALL if lang is None else lang) or (None, None, None)
                 by_class = by_word = None
                 if kinds is not None and chars >= MIN_CHARS:
-                    by_class = distance(classes(data), kinds)
+                    by_class = distance(classes(text, data), kinds)
                 if kinds is not None and n >= MIN_COMMON:
                     own = np.zeros(len(common_n))
                     words = common.plain_words(text)

@@ -240,6 +240,60 @@ def test_distance():
     assert quality_rules.distance(p, np.zeros(3)) == 0
 
 
+def test_classes_tell_scripts_apart():
+    q = quality_rules
+    kinds = lambda text: q.classes(text, text.encode("utf-8", "surrogatepass"))
+    named = lambda text: {q.CLASSES[i]: int(n) for i, n in enumerate(kinds(text)) if n}
+    assert named("aB3 .$\x01") == dict.fromkeys(("lower", "upper", "digit", "space", "stop", "symbol", "control"), 1)
+    assert named("éÉßαΩжя漢字かなカナ한글אبहไ") == {
+        "LATIN": 3, "GREEK": 2, "CYRILLIC": 2, "CJK": 2, "HIRAGANA": 2, "KATAKANA": 2, "HANGUL": 2, "HEBREW": 1,
+        "ARABIC": 1, "DEVANAGARI": 1, "THAI": 1,
+    }
+    assert named("½“…€\u00a0\u200b\ud800\U0001f600ᚠ") == {"N": 1, "P": 2, "S": 2, "Z": 1, "C": 2, "other script": 1}
+    greek, cyrillic = kinds("αβγ δεζ"), kinds("абв где")
+    assert q.distance(greek, cyrillic) > 0.9 and q.distance(greek, kinds("ηθι κλμ")) == 0
+    assert all(kinds(text).sum() == len(text) for text in ("", "é" * 9, "\U0010ffff"))
+
+
+def test_verdicts_equal_a_plain_reading(spark, tables):
+    """References, both distances and the verdict of every document, one character and one word at a time."""
+    docs = tables[0]
+    rows = docs.collect()
+    q = quality_rules
+    chars, words = {}, {}
+    split = lambda text: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.lower())
+    kind = lambda c: q._class_of(ord(c)) if c < "\x80" else q._class_beyond(ord(c))
+    own = [(Counter(map(kind, r.text or "")), Counter(split(r.text or ""))) for r in rows]
+    for r, (c, w) in zip(rows, own):
+        for lang in {r.lang, q.ALL} - {None}:
+            chars.setdefault(lang, Counter()).update(c)
+            words.setdefault(lang, Counter()).update(w)
+    common = {k: [w for w, _ in sorted(v.items(), key=lambda x: (-x[1], x[0].encode()))[:q.TOP_WORDS]] for k, v in words.items()}
+
+    def apart(a, b):
+        n, m = sum(a.values()), sum(b.values())
+        out = 0.0
+        for k in {*a, *b}:
+            x, y = a.get(k, 0) / n, b.get(k, 0) / m
+            out += sum(v * math.log2(2 * v / (x + y)) for v in (x, y) if v) / 2
+        return max(0.0, out) ** 0.5
+
+    def folded(counts, lang):
+        held = {w: counts[w] for w in common[lang]}
+        return {**held, None: sum(counts.values()) - sum(held.values())}
+
+    got = {r.doc_id: r for r in q.op10(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r, (c, w) in zip(rows, own):
+        row, lang = got[r.doc_id], q.ALL if r.lang is None else r.lang
+        by_class = apart(c, chars[lang]) if row.word_chars >= q.MIN_CHARS else None
+        by_word = apart(folded(w, lang), folded(words[lang], lang)) if row.n_words >= q.MIN_COMMON else None
+        for value, want in ((row.class_distance, by_class), (row.word_distance, by_word)):
+            assert value == want if want is None else math.isclose(value, want, abs_tol=1e-6)
+        bad = (by_class or 0) > q.MAX_CLASS_DISTANCE or (by_word or 0) > q.MAX_WORD_DISTANCE + q.WORD_NOISE / max(row.n_words, 1) ** 0.5
+        assert row.kept == (not row.base_failed and not bad)
+
+
 def test_references_count_everything(spark, documents):
     refs = quality_rules.references(documents)
     text = "".join(r.text or "" for r in documents.where("lang = 'fr'").collect())
