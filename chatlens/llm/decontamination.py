@@ -6,6 +6,10 @@ of them, so it is enough to look for the one that is rarest in the documents:
 the prefix of the window in the order of rarity. Where that shingle stands, the
 place of the window follows from the shingle's offset; it must lie within the
 text, and the words there must equal those of the window.
+
+The documents are read once for the counts and once for the places, whatever the
+size of the benchmark. Windows shorter than a shingle are sought apart, by all
+their words, so that they don't make the shingles of the others shorter.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ SHINGLE = 2
 #: What stands between words: runs of ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Windows that one pass over the documents looks for; more take more passes.
-BLOCK_WINDOWS = 200_000
+#: Tokens up to which they are broadcast themselves; more go as a bit map of fixed size.
+MAX_TOKENS = 2_000_000
+#: Words of 64 bits of that bit map.
+MAP_SLOTS = 1 << 20
+#: Prefixes (five numbers each) up to which they are broadcast; more are joined by a shuffle.
+MAX_PREFIXES = 200_000
 
 
 def words(text: Column) -> Column:
@@ -49,42 +57,58 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("win").agg(F.collect_set("item").alias("items"))
 
 
+def _tokens(docs: DataFrame, kept: list[str], k: int, wanted: DataFrame) -> DataFrame:
+    """``kept, pos, token`` of the places whose token is wanted, and of few others.
+
+    Up to ``MAX_TOKENS`` wanted tokens are broadcast. More of them are known by one
+    bit each in a map of ``MAP_SLOTS`` words, which lets a few others pass.
+    """
+    places = _exploded(docs, kept, k)
+    if wanted.limit(MAX_TOKENS + 1).count() <= MAX_TOKENS:
+        return places.join(F.broadcast(wanted), "token", "left_semi")
+    slot, bit = F.pmod("token", F.lit(MAP_SLOTS)), "cast(shiftright(token, 32) & 63 AS int)"
+    bits = wanted.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("bits"))
+    found = places.withColumn("slot", slot).join(F.broadcast(bits), "slot")  # at most MAP_SLOTS rows
+    return found.where(F.getbit("bits", F.expr(bit)) == 1).select(*kept, "pos", "token")
+
+
+def _found(docs: DataFrame, wins: DataFrame, keys: list[str], k: int, window: int) -> DataFrame:
+    """``keys, start, length, items`` of every occurrence of windows of ``k`` words or more."""
+    # of a window's shingles only those that lie wholly inside it
+    inside = _exploded(wins.withColumn("words", F.col("win")), ["id", "win"], k).where(F.col("pos") <= F.size("win") - k)
+    inside = inside.select("id", "token", "pos", F.size("win").alias("length"), F.xxhash64("win").alias("hash"))
+    # a window with a shingle that no document holds has no occurrence: the left join puts that shingle first
+    rarity = _tokens(docs, [], k, inside.select("token").distinct()).groupBy("token").agg(F.count("*").alias("n"))
+    rare = F.min_by(F.struct("token", "pos"), F.struct(F.coalesce("n", F.lit(0)), "token", "pos")).alias("rare")
+    ranked = inside.join(rarity, "token", "left").groupBy("id", "length", "hash").agg(rare)
+    prefix = common.table(ranked.select("rare.token", F.col("rare.pos").alias("offset"), "length", "hash", "id"), "prefixes")
+    places = _tokens(docs.select(*keys, "words"), [*keys, "words"], k, prefix.select("token").distinct())
+    # the words that a window with its prefix here may have, so that texts need not be moved
+    low = F.greatest(F.col("pos") - (window - k), F.lit(0))
+    near = places.select(*keys, "token", "pos", low.alias("low"), F.slice("words", low + 1, F.col("pos") + window - low).alias("near"))
+    start = F.col("pos") - F.col("offset")
+    candidates = (
+        near.join(common.small_or_whole(prefix, MAX_PREFIXES), "token")
+        .withColumn("start", start)
+        .where((F.col("start") >= 0) & (F.col("start") - F.col("low") + F.col("length") <= F.size("near")))
+        .withColumn("found", F.slice("near", F.col("start") - F.col("low") + 1, F.col("length")))
+        .where(F.xxhash64("found") == F.col("hash"))
+        .select(*keys, "start", "length", "id", "found")
+    )
+    return candidates.join(wins, "id").where(F.col("found") == F.col("win")).select(*keys, "start", "length", "items")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame | None:
     """``keys, start, length, items`` of every occurrence; None if the benchmark has no window.
 
-    ``docs`` has ``keys`` and ``words``. The windows go to the tasks in blocks
-    of a fixed number, each within a checked bound; the documents are read once
-    for the counts and once for the occurrences of each block.
+    ``docs`` has ``keys`` and ``words``. What the tasks get whole has a bound in
+    bytes that the benchmark doesn't move; words and items of a window are joined
+    last, to what its hash has confirmed.
     """
-    wins = common.table(windows(benchmark, window).withColumn("id", F.xxhash64("win")), "windows")
-    n, shortest = wins.agg(F.count("*"), F.min(F.size("win"))).first()
-    if not n:
-        return None
-    k = min(shingle, shortest)  # every window must have a shingle
-    blocks = -(-n // BLOCK_WINDOWS)
-    found = []
-    for b in range(blocks):
-        block = wins.where(F.pmod("id", F.lit(blocks)) == b) if blocks > 1 else wins
-        # of a window's shingles only those that lie wholly inside it
-        inside = _exploded(block.withColumn("words", F.col("win")), ["id", "win", "items"], k).where(F.col("pos") <= F.size("win") - k)
-        vocabulary = F.broadcast(inside.select("token").distinct())  # at most BLOCK_WINDOWS x WINDOW numbers
-        rarity = _exploded(docs.select("words"), [], k).join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-        # a window with a shingle that no document holds has no occurrence: the inner join drops its prefix only
-        ranked = inside.join(rarity, "token", "left").groupBy("id").agg(
-            F.min_by(F.struct("token", "pos"), F.struct(F.coalesce("n", F.lit(0)), "token", "pos")).alias("rare"),
-            F.first("win").alias("win"), F.first("items").alias("items"),
-        )
-        prefix = common.table(ranked.select("rare.token", F.col("rare.pos").alias("offset"), "win", "items"), "prefixes")
-        places = _exploded(docs.select(*keys, "words"), [*keys, "words"], k)
-        found.append(
-            places.join(F.broadcast(prefix), "token")  # at most BLOCK_WINDOWS rows
-            .withColumn("start", F.col("pos") - F.col("offset"))
-            .withColumn("length", F.size("win"))
-            .where("start >= 0 AND start + length <= size(words)")
-            .where(F.slice("words", F.col("start") + 1, F.col("length")) == F.col("win"))
-            .select(*keys, "start", "length", "items")
-        )
-    return reduce(DataFrame.union, found)
+    wins = common.table(windows(benchmark, window).withColumn("id", F.monotonically_increasing_id()), "windows")
+    sizes = [r.n for r in wins.groupBy(F.least(F.size("win"), F.lit(shingle)).alias("n")).count().collect()]  # at most ``shingle``
+    found = [_found(docs, wins.where(F.least(F.size("win"), F.lit(shingle)) == k), keys, k, window) for k in sorted(sizes)]
+    return reduce(DataFrame.union, found) if found else None
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame | None:

@@ -191,10 +191,13 @@ ITEMS = [(1, "One two THREE, four"), (2, "four five six seven eight nine ten ele
          (3, None), (4, "..."), (5, "one two three four"), (2, "ab cd"), (7, "x x x x x x x x x x x")]
 
 
-@pytest.mark.parametrize("block", [decontamination.BLOCK_WINDOWS, 2])
+@pytest.mark.parametrize("most", [decontamination.MAX_PREFIXES, 1])
 @pytest.mark.parametrize("items", [ITEMS, [i for i in ITEMS if i[0] != 10], []])
-def test_hits(spark, odd, monkeypatch, block, items):
-    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", block)
+def test_hits(spark, odd, monkeypatch, most, items):
+    monkeypatch.setattr(decontamination, "MAX_PREFIXES", most)
+    if most == 1:  # a bit map with few slots, which lets other tokens pass
+        monkeypatch.setattr(decontamination, "MAX_TOKENS", 1)
+        monkeypatch.setattr(decontamination, "MAP_SLOTS", 4)
     rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id != 6]
     rows += [(20, "x " * 25), (21, "ab-cd ab cd"), (22, "zero one two three four five six seven eight nine ten eleven twelve thirteen x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -206,6 +209,17 @@ def test_hits(spark, odd, monkeypatch, block, items):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d for d, *_, bad in plain_hits(rows, items, 10) if not bad), key=str)
 
 
+def test_short_items_do_not_shorten_other_keys(spark, monkeypatch):
+    seen = []
+    plain = decontamination._exploded
+    monkeypatch.setattr(decontamination, "_exploded", lambda rows, kept, k: seen.append(k) or plain(rows, kept, k))
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "c"), (2, "a b c d e f g h i j k")], "item_id long, text string")
+    row = decontamination.report(docs, bench).first()
+    assert (row.n_hit, row.n_items) == (11, 2)
+    assert sorted(seen) == [1, 1, 1, 2, 2, 2]  # the windows and two passes over the documents for each length of key
+
+
 def test_decontamination_is_native_and_narrow(spark, documents, sf, capsys):
     decontamination.report(documents, spark.read.parquet(f"{sf}/benchmark.parquet")).explain("formatted")
     plan = capsys.readouterr().out
