@@ -15,6 +15,7 @@ difference of full-width coordinates, and the survivors are verified.
 
 from __future__ import annotations
 
+from functools import partial, reduce
 from itertools import combinations
 from math import comb
 
@@ -38,6 +39,12 @@ PIVOTS = 16
 MAX_EXPECTED = 1000
 #: Groups above this size grow their components from one fingerprint at a time.
 SMALL_GROUP = 64
+#: Groups above this size whose rows are mostly unlinked are keyed again by bits not compared yet.
+BIG_GROUP = 4096
+#: Segments that are equal within a key of such a group.
+MORE_EQUAL = 4
+#: Components for each row above which a group counts as mostly unlinked.
+UNLINKED = 1 / 8
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -81,10 +88,11 @@ def _pivots(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}", HASH_SEED) for i in range(n)], np.uint64)
 
 
-def _segments(n: int) -> list[np.uint64]:
-    """Masks of ``n`` runs of bits of nearly equal width."""
-    cuts = [64 * i // n for i in range(n + 1)]
-    return [np.uint64(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(cuts, cuts[1:])]
+def _segments(n: int, free: int = (1 << 64) - 1) -> list[np.uint64]:
+    """Masks of ``n`` runs of nearly equal width of the bits that ``free`` has."""
+    bits = [b for b in range(64) if free >> b & 1]
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    return [np.uint64(sum(1 << b for b in bits[i:j])) for i, j in zip(cuts, cuts[1:])]
 
 
 def plan_segments(n: int, max_bits: int = MAX_BITS) -> int:
@@ -96,30 +104,51 @@ def plan_segments(n: int, max_bits: int = MAX_BITS) -> int:
     return max_bits + 8
 
 
+def _keyed(x: np.ndarray, segments: int, equal: int, free: int = (1 << 64) - 1, within: int = 0):
+    """For each choice of ``equal`` segments of ``free``: a key of each fingerprint, and the bits left free.
+
+    ``within`` is the key that the fingerprints share so far.
+    """
+    refs, masks = _pivots(SEGMENT_PIVOTS), _segments(segments, free)
+    spread = _pivots(segments + 1) | np.uint64(1)
+    codes = []
+    for mask in masks:
+        code = np.zeros(len(x), np.uint64)
+        for ref in refs:
+            code = code * np.uint64(1_000_003) + np.bitwise_count((x ^ ref) & mask).astype(np.uint64)
+        codes.append(code)
+    for i, chosen in enumerate(combinations(range(segments), equal)):
+        key = np.full(len(x), np.uint64(i)) * spread[segments] ^ np.uint64(within)
+        left = free
+        for g in chosen:
+            key = (key ^ codes[g]) * spread[g]
+            key ^= key >> np.uint64(29)
+            left &= ~int(masks[g])
+        yield key, left
+
+
+def _rows(a, b, key=None, free=None) -> pa.RecordBatch:
+    """Links ``(a, b)``, or fingerprints ``a`` with the key to compare them by."""
+    a = pa.array(a.view(np.int64))
+    b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+    key = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key.view(np.int64))
+    free = pa.nulls(len(a), pa.int64()) if free is None else pa.array(np.full(len(a), free, np.uint64).view(np.int64))
+    return pa.RecordBatch.from_arrays([a, b, key, free], ["a", "b", "key", "free"])
+
+
+_ROWS = "a long, b long, key long, free long"
+
+
 def _keys(fps: DataFrame, segments: int, max_bits: int) -> DataFrame:
-    """``(key, fp)``: one row for each choice of segments that may hold no differing bit."""
+    """``(a, key, free)``: one row for each choice of segments that may hold no differing bit."""
 
     def run(batches):
-        refs, masks = _pivots(SEGMENT_PIVOTS), _segments(segments)
-        spread = _pivots(segments + 1) | np.uint64(1)
         for batch in batches:
             x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            codes = []
-            for mask in masks:
-                code = np.zeros(len(x), np.uint64)
-                for ref in refs:
-                    code = code * np.uint64(1_000_003) + np.bitwise_count((x ^ ref) & mask).astype(np.uint64)
-                codes.append(code)
-            for i, chosen in enumerate(combinations(range(segments), segments - max_bits)):
-                key = np.full(len(x), np.uint64(i)) * spread[segments]
-                for g in chosen:
-                    key = (key ^ codes[g]) * spread[g]
-                    key ^= key >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(x.view(np.int64))], ["key", "fp"]
-                )
-
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+            for key, free in _keyed(x, segments, segments - max_bits):
+                yield _rows(x, None, key, free)
+
+    return fps.select("fp").mapInArrow(run, _ROWS)
 
 
 def _group_links(key: np.ndarray, x: np.ndarray, max_bits: int):
@@ -163,36 +192,91 @@ def _group_links(key: np.ndarray, x: np.ndarray, max_bits: int):
     return x[np.concatenate(found_a)], x[np.concatenate(found_b)]
 
 
+def _is_unlinked(x: np.ndarray, max_bits: int) -> bool:
+    """Whether comparing a group in one task would take time with the square of its rows."""
+    a, _ = _group_links(np.zeros(len(x), np.int64), x, max_bits)
+    return len(x) - len(a) > UNLINKED * len(x)  # a forest of a edges leaves so many components
+
+
+def _compared(batches, max_bits: int, last: bool):
+    """Links of rows sorted by key; rows of big unlinked groups come back with finer keys.
+
+    Of such a group at most ``BIG_GROUP`` rows and a batch are held. ``last`` is set
+    where no finer key exists.
+    """
+    held = {"key": np.zeros(0, np.int64), "a": np.zeros(0, np.uint64), "free": np.zeros(0, np.int64)}
+    split = seen = None  # the key that is being keyed again, and the one found to be linked
+
+    def finer(key, x, free):
+        free = int(free) & ((1 << 64) - 1)
+        segments = max_bits + MORE_EQUAL
+        for k, left in _keyed(x, segments, MORE_EQUAL, free, int(key) & ((1 << 64) - 1)):
+            yield _rows(x, None, k, left)
+
+    def compared(part):
+        if len(part["key"]):
+            yield _rows(*_group_links(part["key"], part["a"], max_bits))
+
+    for batch in batches:
+        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in held}
+        new["a"] = new["a"].view(np.uint64)
+        rows = {c: np.concatenate([held[c], new[c]]) for c in held}
+        if not len(rows["key"]):
+            continue
+        if split is not None:
+            end = int(np.searchsorted(rows["key"], split, "right"))
+            yield from finer(split, rows["a"][:end], free)
+            rows = {c: v[end:] for c, v in rows.items()}
+            if not len(rows["key"]):
+                held = rows
+                continue
+            split = None
+        # the last group may go on in the next batch; others are whole
+        at = int(np.searchsorted(rows["key"], rows["key"][-1], "left"))
+        starts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
+        ends = np.r_[starts[1:], len(rows["key"])]
+        big = [(i, j) for i, j in zip(starts.tolist(), ends.tolist()) if j - i > BIG_GROUP and not last]
+        small = np.ones(len(rows["key"]), bool)
+        small[at:] = False
+        for i, j in big:
+            key = rows["key"][i]
+            if key != seen and _is_unlinked(rows["a"][i : i + BIG_GROUP], max_bits):
+                small[i:j] = False
+                free = rows["free"][i]
+                yield from finer(key, rows["a"][i:j], free)
+                if i == at:
+                    split, at = key, j
+            else:
+                seen = key
+        yield from compared({c: v[small] for c, v in rows.items()})
+        held = {c: v[at:] for c, v in rows.items()}
+    yield from compared(held)
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links ``(a, b)`` that connect just what pairs within ``max_bits`` bits connect.
 
     ``fps`` has distinct ``fp``. A group of small size gives all its links; in a
     larger one each fingerprint is linked once, when it is first reached, which
-    keeps the links linear in the size of a dense group.
+    keeps the links linear in the size of a dense group. Big groups of mostly
+    unlinked fingerprints are dealt again by segments of the bits in which they may
+    still differ, until a key leaves so few bits that its groups are small.
     """
     segments = plan_segments(fps.count(), max_bits)
-
-    def run(batches):
-        held_k, held_x = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def out(k, x):
-            a, b = _group_links(k, x, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            k = np.concatenate([held_k, batch.column("key").to_numpy(zero_copy_only=False)])
-            x = np.concatenate([held_x, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(k):
-                continue
-            last = int(np.searchsorted(k, k[-1], "left"))  # the last group may go on in the next batch
-            if last:
-                yield out(k[:last], x[:last])
-            held_k, held_x = k[last:], x[last:]
-        if len(held_k):
-            yield out(held_k, held_x)
-
-    keyed = _keys(fps, segments, max_bits).repartition(common.partitions(fps), "key")
-    return keyed.sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    rows = _keys(fps, segments, max_bits)
+    left = 64 * max_bits / segments
+    found = []
+    while True:
+        last = left < max_bits + MORE_EQUAL  # a segment would have no bit
+        run = partial(_compared, max_bits=max_bits, last=last)
+        dealt = rows.select("a", "key", "free").repartition(common.partitions(fps), "key").sortWithinPartitions("key")
+        out = common.cut(dealt.mapInArrow(run, _ROWS))
+        found.append(out.where("b IS NOT NULL").select("a", "b"))
+        rows = out.where("b IS NULL")
+        if last or rows.isEmpty():
+            break
+        left = left * max_bits / (max_bits + MORE_EQUAL)
+    return reduce(DataFrame.union, found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

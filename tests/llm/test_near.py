@@ -83,6 +83,37 @@ def test_links_lose_nothing(spark, monkeypatch, segments):
     assert same_groups(mine, plain_components(codes, 4))
 
 
+def signed(c):
+    return c - (1 << 64) if c >> 63 else c
+
+
+@pytest.mark.parametrize("unlinked", [1 / 8, 0])
+def test_big_groups_are_keyed_again(spark, monkeypatch, unlinked):
+    monkeypatch.setattr(simhash, "BIG_GROUP", 50)
+    monkeypatch.setattr(simhash, "UNLINKED", unlinked)  # 0: linked groups as well
+    rng = random.Random(5)
+    codes = {rng.getrandbits(40) << 24 | 0xABCDEF for _ in range(400)}  # these agree in 24 bits
+    codes |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for c in list(codes)[:150]}
+    codes |= set(scattered(100, 60, 2))
+    codes = sorted(codes)
+    df = spark.createDataFrame([(signed(c),) for c in codes], "fp long")
+    got = {r.fp: r.root for r in simhash.grouped(df).collect()}
+    assert same_groups([got[signed(c)] for c in codes], plain_components(codes, 4))
+
+
+def test_big_groups_are_not_held():
+    rng = random.Random(6)
+    x = np.array(sorted({rng.getrandbits(50) << 14 for _ in range(30_000)}), np.uint64)
+    key = np.zeros(len(x), np.int64)
+    batches = [simhash._rows(x[i : i + 5000], None, key[i : i + 5000], (1 << 64) - (1 << 14)) for i in range(0, len(x), 5000)]
+    out = list(simhash._compared(iter(batches), 4, False))
+    again = [b for b in out if b.column("b").null_count]
+    assert sum(len(b) for b in again) == 70 * len(x) and max(len(b) for b in out) <= simhash.BIG_GROUP + 5000
+    groups = np.unique(np.concatenate([b.column("key").to_numpy() for b in again]), return_counts=True)[1]
+    assert groups.max() < 50
+    assert not any(b.column("b").null_count for b in simhash._compared(iter(batches[:1]), 4, True))
+
+
 def test_dense_groups_give_few_links():
     codes = np.array(scattered(0, 3000, 1), np.uint64)
     a, b = simhash._group_links(np.zeros(len(codes), np.int64), codes, 4)
