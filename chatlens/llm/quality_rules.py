@@ -121,6 +121,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
+def reference_of(lang: str | None) -> str:
+    """The reference a language is judged by; one that starts with ``*`` gets another, so none is ``ALL``."""
+    return ALL if lang is None else ALL + lang if lang.startswith(ALL) else lang
+
+
 def references(docs: DataFrame) -> dict:
     """``{language: (class counts, {word: place}, word counts with the rest last)}``.
 
@@ -136,11 +141,10 @@ def references(docs: DataFrame) -> dict:
                 if text:
                     data = text.encode("utf-8", "surrogatepass")
                     words = Counter(common.plain_words(text))
-                    for key in (lang, ALL):
-                        if key is not None:
-                            held = by.setdefault(key, (np.zeros(len(CLASSES), np.int64), Counter()))
-                            held[0][:] += classes(text, data)
-                            held[1].update(words)
+                    for key in {reference_of(lang), ALL}:
+                        held = by.setdefault(key, (np.zeros(len(CLASSES), np.int64), Counter()))
+                        held[0][:] += classes(text, data)
+                        held[1].update(words)
             rows = []
             for lang, (kinds, words) in by.items():
                 rows += [(lang, f"\t{i}".encode(), int(n)) for i, n in enumerate(kinds) if n]
@@ -192,7 +196,7 @@ def judged(docs: DataFrame, refs: dict, max_class: float = MAX_CLASS_DISTANCE, m
                 data = text.encode("utf-8", "surrogatepass") if text else b""
                 n, chars, symbols, dup, again = base(text, data)
                 failed = n < MIN_WORDS or 100 * again > MAX_REPEAT * n
-                kinds, places, common_n = held.get(ALL if lang is None else lang) or (None, None, None)
+                kinds, places, common_n = held.get(reference_of(lang)) or (None, None, None)
                 by_class = by_word = None
                 if kinds is not None and chars >= MIN_CHARS:
                     by_class = distance(classes(text, data), kinds)
