@@ -91,7 +91,7 @@ def _found(docs: DataFrame, wins: DataFrame, keys: list[str], k: int, window: in
         near.join(common.small_or_whole(prefix, MAX_PREFIXES), "token")
         .withColumn("start", start)
         .where((F.col("start") >= 0) & (F.col("start") - F.col("low") + F.col("length") <= F.size("near")))
-        .withColumn("found", F.slice("near", F.col("start") - F.col("low") + 1, F.col("length")))
+        .withColumn("found", F.slice("near", F.greatest(F.col("start") - F.col("low"), F.lit(0)) + 1, F.col("length")))  # filters come in any order
         .where(F.xxhash64("found") == F.col("hash"))
         .select(*keys, "start", "length", "id", "found")
     )

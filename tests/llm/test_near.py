@@ -240,6 +240,18 @@ def test_hits(spark, odd, monkeypatch, most, items):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d for d, *_, bad in plain_hits(rows, items, 10) if not bad), key=str)
 
 
+@pytest.mark.parametrize("most", [decontamination.MAX_PREFIXES, 1])
+def test_texts_that_start_inside_a_window(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MAX_PREFIXES", most)
+    item = "a b c d e f g h i j k".split()
+    rows = [(i, " ".join(item[i:])) for i in range(11)] + [(20 + i, " ".join(item[:i])) for i in range(11)]
+    rows += [(50 + i, "a b c d e f " * 3) for i in range(3)]  # the rarest shingle stands late in the window
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontamination.report(docs, bench).collect()
+    assert sorted(map(tuple, got), key=str) == plain_hits(rows, [(1, " ".join(item))], 10)
+
+
 def test_short_items_do_not_shorten_other_keys(spark, monkeypatch):
     seen = []
     plain = decontamination._exploded
