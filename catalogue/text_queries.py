@@ -159,7 +159,7 @@ def _stand_in(fails_on: str | None = None):
         def score(texts):
             if fails_on is not None and texts.str.contains(fails_on, regex=False).any():
                 raise ValueError("no score")
-            n = texts.str.len()
+            n = texts.str.len().to_numpy("int64")
             return pd.DataFrame(
                 {"positive": n * 37 % 101 / 100.0, "negative": n * 53 % 101 / 100.0,
                  "neutral": n * 29 % 101 / 100.0}
@@ -215,7 +215,7 @@ def _letter_model():
         import pandas as pd
 
         def score(texts):
-            n = texts.str.replace(r"[\x20\x09-\x0D]+", "", regex=True).str.len()
+            n = texts.str.replace(r"[\x20\x09-\x0D]+", "", regex=True).str.len().to_numpy("int64")
             return pd.DataFrame({"positive": n * 37 % 101 / 100.0, "negative": n * 53 % 101 / 100.0, "neutral": n * 29 % 101 / 100.0})
 
         return score
@@ -226,7 +226,8 @@ def _letter_model():
 @query(
     rf"""WITH {I.PROSE_SQL}, m AS (SELECT 1::BIGINT AS chat_id, doc_id AS message_id, text FROM prose),
 {Q.annotated('a', 'm', 'message_id')},
-w AS (SELECT *, regexp_extract_all({Q.strip('text')}, '[^ 	-]+') AS words FROM a WHERE is_investment),
+w AS (SELECT *, regexp_extract_all({Q.strip('text')}, '[^ 	-
+]+') AS words FROM a WHERE is_investment),
 i AS (SELECT *, unnest(range(0, greatest(len(words) - 50, 1), 460)) AS i FROM w),
 n AS (SELECT *, length(array_to_string(words[i + 1:i + 510], '')) AS len,
   greatest(least(510, len(words) - i) - CASE WHEN i > 0 THEN 50 ELSE 0 END, 1) AS weight FROM i),

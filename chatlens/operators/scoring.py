@@ -35,13 +35,30 @@ def cut_windows(text: str, spans: list[tuple[int, int]], size: int, overlap: int
 
 
 def _scored(model: Model, texts: list[str]) -> np.ndarray:
-    """Scores of texts; not a number for those that the model fails on, even alone."""
+    """Scores of texts; not a number for those that the model fails on, even alone.
+
+    What fails is halved until it passes or is a single text. Like texts stand
+    together then, as they mostly fail alike; the scores come in the order given.
+    """
+    def score(part: list[str]) -> np.ndarray:
+        found = model(pd.Series(part))
+        return np.column_stack([found[c].to_numpy("float64") for c in SCORES])
+
     try:
-        return model(pd.Series(texts))[SCORES].to_numpy("float64")
+        return score(texts)
     except Exception:  # any fault of a foreign model costs its own texts only
-        if len(texts) == 1:
-            return np.full((1, len(SCORES)), np.nan)
-        return np.vstack([_scored(model, [t]) for t in texts])
+        pass
+    out = np.full((len(texts), len(SCORES)), np.nan)
+    order = np.array(sorted(range(len(texts)), key=texts.__getitem__))
+    halves = [order[:len(order) // 2], order[len(order) // 2:]] if len(order) > 1 else []
+    while halves:
+        places = halves.pop()
+        try:
+            out[places] = score([texts[i] for i in places])
+        except Exception:
+            if len(places) > 1:
+                halves += [places[:len(places) // 2], places[len(places) // 2:]]
+    return out
 
 
 def _pooled(model: Model, windows: list[list[tuple[str, int]]], at_once: int) -> np.ndarray:
