@@ -54,6 +54,8 @@ def current_state(changes: DataFrame) -> DataFrame:
 
 #: Groups among which the keys of the state are dealt; more than tasks, so that each task has several.
 SLOTS = 256
+#: Groups that a slot is dealt into again: a task holds the rows of one group at a time, those of its result included.
+PARTS = 1024
 _ORDER = T.StructType([T.StructField("first_seq", T.LongType()), T.StructField("last_seq", T.LongType())])
 _HELD = T.StructType([*[f for f in S.MESSAGES.fields if f.name not in S.KEY], *_ORDER.fields])
 _KEY = T.StructType([f for f in S.MESSAGES.fields if f.name in S.KEY])
@@ -80,7 +82,7 @@ def fold_two(held: dict | None, row: dict) -> dict:
 
 
 class _Messages(StatefulProcessor):
-    """Folded rows of the keys of a slot, each dropped some time after it last changed."""
+    """Folded rows of the keys of a part of a slot, each dropped some time after it last changed."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
@@ -94,7 +96,7 @@ class _Messages(StatefulProcessor):
         for r in rows:
             k = tuple(r[c] for c in S.KEY)
             if k not in changed:
-                old = self.held.getValue(k) if self.held.containsKey(k) else None
+                old = self.held.getValue(k)
                 changed[k] = None if old is None else dict(zip(names, old))
             changed[k] = fold_two(changed[k], {c: r[c] for c in names})
         for k, row in changed.items():
@@ -122,10 +124,11 @@ def start_expiring_state(
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     seq = F.col(upsert.SEQ)
-    dealt = arrivals.withColumns(
-        {"slot": F.pmod(F.xxhash64(*S.KEY), F.lit(slots)), "first_seq": seq, "last_seq": seq}
-    )
-    kept = dealt.groupBy("slot").transformWithState(
+    dealt = arrivals.withColumns({
+        "slot": F.pmod(F.xxhash64(*S.KEY), F.lit(slots)), "part": F.pmod(F.hash(*S.KEY), F.lit(PARTS)),
+        "first_seq": seq, "last_seq": seq,
+    })
+    kept = dealt.groupBy("slot", "part").transformWithState(
         statefulProcessor=_Messages(keep_ms), outputStructType=S.MESSAGES, outputMode="Update", timeMode="ProcessingTime"
     )
     writer = (

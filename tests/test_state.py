@@ -76,3 +76,18 @@ def test_live_counts_come_without_a_job(spark, sf):
     assert (got["rows_read"], got["rows_bad"], got["rows_analysed"]) == tuple(stored) == (90, 10, 80)
     assert got["source_rows"] == 90 and got["state"] == "ended" and got["seconds"] > 0
     assert found.totals("none") == {"state": "unknown"}
+
+
+def test_a_slot_is_dealt_into_small_groups(spark, sf, monkeypatch):
+    """A task holds the keys of one group at a time, however many a slot has."""
+    state.use_disk_state(spark)
+    monkeypatch.setattr(state, "PARTS", 16)
+    folder, progress, out = (scratch_folder(spark, p) for p in ("source", "progress", "state"))
+    rows = S.conform(I.arrivals(spark, sf), _STREAMED).where("message_id <= 300")
+    rows.write.parquet(folder)
+    state.start_expiring_state(scans.stream(spark, folder, _STREAMED), out, progress, 3_600_000, {"availableNow": True}, slots=1).awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", state.HELD).load(progress)
+    groups = held.groupBy("key").count().collect()
+    assert len(groups) == 16 and max(r["count"] for r in groups) < 60
+    once = spark.read.parquet(out).groupBy(*S.KEY).count()
+    assert once.where("count > 1").isEmpty() and once.count() == 300
