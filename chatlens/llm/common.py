@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql.window import Window
 
 #: A run of ASCII white space; words are what lies between.
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A batch ends with the row that reaches so many bytes.
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,10 +30,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def table(df: DataFrame, purpose: str) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Few bytes in an Arrow batch for what runs within, where rows are large or Python keeps much beside them.
+
+    A batch stands in the JVM and in Python at once, for each task, and up to 64 MB of it otherwise.
+    """
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def table(df: DataFrame, purpose: str, options: Mapping = {}) -> DataFrame:
     """Write a frame once to the shared folder and read it back: lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLAIN = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(256))
 _ONES = np.array([bin(m).count("1") for m in range(16)], dtype=np.int32)
 _PLANES = 3  # impacts are at most a million
+#: A row of the index is megabytes: each has a row group of its own, so readers and writers hold one at a time.
+_ROW_GROUPS = {"parquet.block.row.count.limit": 1}
 
 INDEX = "doc_ids array<long>, terms binary, dfs binary, masks binary, falls binary, top int, height int, n_docs long, n_terms long"
 
@@ -51,16 +53,23 @@ def postings(texts: list[bytes]):
     data = np.frombuffer(b" ".join(texts).translate(_PLAIN), dtype=np.uint8)
     inside = np.concatenate(([False], data != 0x20, [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts = edges[::2].copy()
     offsets = np.zeros(len(starts) + 1, dtype=np.int64)
-    np.cumsum(ends - starts, out=offsets[1:])
+    np.cumsum(edges[1::2] - starts, out=offsets[1:])
+    letters = np.ascontiguousarray(data[inside[1:-1]])
+    del edges, inside, data
     packed = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside[1:-1]]))]
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
     ).dictionary_encode()
+    del offsets, letters
     begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
     doc = np.searchsorted(begins, starts, side="right") - 1
-    pairs, uses = np.unique(packed.indices.to_numpy().astype(np.int64) * len(texts) + doc, return_counts=True)
+    del starts
+    doc += packed.indices.to_numpy().astype(np.int64) * len(texts)
+    pairs, uses = np.unique(doc, return_counts=True)
+    del doc
     term, doc = pairs // len(texts), pairs % len(texts)
+    del pairs
     dfs = np.bincount(term, minlength=len(packed.dictionary))
     order = np.argsort(-dfs, kind="stable")
     row = np.empty(len(order), dtype=np.int64)
@@ -80,7 +89,8 @@ def compress(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> dict:
     height = max(int(rows.max()).bit_length(), int(cols.max()).bit_length(), 1)
     cells = (_spread(rows.astype(np.int64)) << 1) | _spread(cols.astype(np.int64))
     order = np.argsort(cells)
-    cells, values = cells[order], values[order]
+    cells, values = cells[order], values[order].astype(np.int32)
+    del order
     masks, falls = [], []
     for _ in range(height):
         up = cells >> 2
@@ -105,7 +115,7 @@ class Treap:
 
     def __init__(self, masks: bytes, falls: bytes, top: int, height: int):
         self.height = height
-        self.masks, self.first, self.most = [], [], [np.array([top, 0], dtype=np.int64)]
+        self.masks, self.first, self.most = [], [], [np.array([top, 0], dtype=np.int32)]
         bits, planes, at, fall_at, n = np.frombuffer(masks, np.uint8), np.frombuffer(falls, np.uint8), 0, 0, 1
         for _ in range(height):
             half = (n + 1) // 2
@@ -114,9 +124,11 @@ class Treap:
             below = int(ones.sum())
             self.masks.append(np.append(level, 0).astype(np.uint8))
             self.first.append(np.append(np.cumsum(ones) - ones, below).astype(np.int32))
-            fall = planes[fall_at:fall_at + _PLANES * below].reshape(_PLANES, below).astype(np.int64)
-            most = np.repeat(self.most[-1][:-1], ones) - (fall << np.arange(0, 8 * _PLANES, 8)[:, None]).sum(axis=0)
-            self.most.append(np.append(most, 0))
+            most = np.zeros(below + 1, dtype=np.int32)
+            most[:below] = np.repeat(self.most[-1][:-1], ones)
+            for p, plane in enumerate(planes[fall_at:fall_at + _PLANES * below].reshape(_PLANES, below)):
+                most[:below] -= plane.astype(np.int32) << (8 * p)
+            self.most.append(most)
             at, fall_at, n = at + half, fall_at + _PLANES * below, below
 
     def opened(self, level: int, nodes: np.ndarray, rows: np.ndarray, right: int):
@@ -129,7 +141,7 @@ class Treap:
 
     def best(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int = 1):
         """Columns and scores of the k best columns that score ``least`` at least, with all that tie with the last."""
-        waiting = {0: (np.array([self.most[0][0] * weights.sum()]), np.zeros(1, np.int64), np.zeros((1, len(rows)), np.int32))}
+        waiting = {0: (np.array([int(self.most[0][0]) * weights.sum()]), np.zeros(1, np.int64), np.zeros((1, len(rows)), np.int32))}
         found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         while waiting:
             level = max(waiting, key=lambda x: waiting[x][0].max())
@@ -210,7 +222,20 @@ def build(docs: DataFrame) -> DataFrame:
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     n_docs, n_terms = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return common.table(rows.mapInArrow(_indexed(n_docs, n_terms), INDEX), "treaps")
+    with common.small_batches(docs.sparkSession):
+        return common.table(rows.mapInArrow(_indexed(n_docs, n_terms), INDEX), "treaps", _ROW_GROUPS)
+
+
+def _rows(batches):
+    """The rows of batches one by one, as values that share the batch's memory."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i] for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _found_in(wanted: pa.Array, terms: pa.Scalar) -> pa.Array:
+    """Places of wanted terms in a row of the index, null where it has none."""
+    return pc.index_in(wanted, value_set=pa.array(terms.as_py().split(b"\n"), pa.binary()))
 
 
 def _term_counts(terms: list[bytes]):
@@ -218,12 +243,11 @@ def _term_counts(terms: list[bytes]):
 
     def run(batches):
         total = np.zeros(len(terms), dtype=np.int64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                at = pc.index_in(wanted, value_set=pa.array(r["terms"].split(b"\n"), pa.binary()))
-                held = at.is_valid().to_numpy(zero_copy_only=False)
-                dfs = np.frombuffer(r["dfs"], dtype=np.uint32)
-                total[held] += dfs[at.drop_null().to_numpy()]
+        for r in _rows(batches):
+            at = _found_in(wanted, r["terms"])
+            held = at.is_valid().to_numpy(zero_copy_only=False)
+            dfs = np.frombuffer(r["dfs"].as_buffer(), dtype=np.uint32)
+            total[held] += dfs[at.drop_null().to_numpy()]
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["term", "df"])
 
@@ -238,21 +262,21 @@ def _searched(terms: list[bytes], queries: list, k: int):
         return -hit[1], hit[0] is None, hit[0] or 0
 
     def run(batches):
-        tops = [[] for _ in queries]
-        for batch in batches:
-            for r in batch.to_pylist():
-                at = pc.index_in(wanted, value_set=pa.array(r["terms"].split(b"\n"), pa.binary())).fill_null(-1).to_numpy()
-                treap = Treap(r["masks"], r["falls"], r["top"], r["height"])
-                for i, (_, places, weights) in enumerate(queries):
-                    rows = at[places]
-                    held = np.flatnonzero(rows >= 0)
-                    if not len(held):
-                        continue
-                    least = tops[i][-1][1] if len(tops[i]) == k else 1
-                    columns, scores = treap.best(rows[held], weights[held], k, least)
-                    if len(columns):
-                        hits = [(r["doc_ids"][c], s) for c, s in zip(columns.tolist(), scores.tolist())]
-                        tops[i] = sorted(tops[i] + hits, key=key)[:k]
+        tops, treap = [[] for _ in queries], None
+        for r in _rows(batches):
+            del treap  # before the next one is opened
+            at = _found_in(wanted, r["terms"]).fill_null(-1).to_numpy()
+            treap = Treap(r["masks"].as_buffer(), r["falls"].as_buffer(), r["top"].as_py(), r["height"].as_py())
+            for i, (_, places, weights) in enumerate(queries):
+                rows = at[places]
+                held = np.flatnonzero(rows >= 0)
+                if not len(held):
+                    continue
+                least = tops[i][-1][1] if len(tops[i]) == k else 1
+                columns, scores = treap.best(rows[held], weights[held], k, least)
+                if len(columns):
+                    hits = list(zip(r["doc_ids"].values.take(pa.array(columns)).to_pylist(), scores.tolist()))
+                    tops[i] = sorted(tops[i] + hits, key=key)[:k]
         flat = [(queries[i][0], doc_id, score) for i, top in enumerate(tops) for doc_id, score in top]
         yield pa.RecordBatch.from_pydict(
             {"rid": [x[0] for x in flat], "doc_id": [x[1] for x in flat], "score": [x[2] for x in flat]},
@@ -266,8 +290,8 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     """``item_id, rank, doc_id, score`` of the k best documents of every item.
 
     ``items`` has ``item_id, text``; other columns are not read. Items go to
-    the tasks in blocks of ``BLOCK_TERMS`` terms; each task returns k documents
-    of each item. Equal scores stand by ``doc_id``, null last. An item without
+    the tasks in blocks of ``BLOCK_TERMS`` terms; each task holds one range at a
+    time and returns k documents of each item. Equal scores stand by ``doc_id``, null last. An item without
     terms, or without a document that holds one, has no rows; each of several
     rows with one ``item_id`` is searched for. A null ``item_id`` is a value.
     """
@@ -277,7 +301,8 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     listed = common.table(listed, "items")
     blocks = -(-(listed.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS)
     head = index.select("n_docs").first()
-    found = spark.createDataFrame([], "rid long, doc_id long, score long")
+    hit = "rid long, doc_id long, score long"
+    found = spark.createDataFrame([], hit)
     for b in range(blocks if head else 0):
         rows = listed.where(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == b).select("rid", "terms").collect()  # about BLOCK_TERMS terms
         terms = sorted({t for r in rows for t in r.terms})
@@ -285,7 +310,9 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         coded = [t.encode() for t in terms]
         counts = index.select("terms", "dfs").mapInArrow(_term_counts(coded), "term int, df long").groupBy("term").agg(F.sum("df"))
         weight = np.zeros(len(terms), dtype=np.int64)
-        for term, df in counts.collect():  # at most BLOCK_TERMS rows
+        with common.small_batches(spark):
+            held = counts.collect()  # at most BLOCK_TERMS rows
+        for term, df in held:
             weight[term] = math.floor(1000 * math.log((2 * head.n_docs + 2) / (2 * df + 1)))
         queries = []
         for r in rows:
@@ -293,7 +320,8 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
             places = places[weight[places] > 0]
             queries.append((r.rid, places, weight[places]))
         grids = index.select("doc_ids", "terms", "masks", "falls", "top", "height")
-        found = found.union(grids.mapInArrow(_searched(coded, queries, k), "rid long, doc_id long, score long"))
+        with common.small_batches(spark):
+            found = found.union(common.table(grids.mapInArrow(_searched(coded, queries, k), hit), "hits"))
     by_score = Window.partitionBy("rid").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     best = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return best.join(listed.select("rid", "item_id"), "rid").select("item_id", "rank", "doc_id", "score")

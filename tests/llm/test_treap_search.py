@@ -5,9 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from chatlens.llm import common
 from chatlens.llm import treap_search as ts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -105,3 +108,28 @@ def test_empty_tables(spark, corpus):
     assert ts.search(ts.build(none), items).count() == 0
     assert ts.search(ts.build(docs.where("text IS NULL")), items).count() == 0
     assert ts.search(ts.build(docs), items.limit(0)).count() == 0
+
+
+def test_a_task_holds_one_range_at_a_time(spark, monkeypatch):
+    """Ranges come to a search one by one, from row groups of their own, however many a partition has."""
+    monkeypatch.setattr(ts, "RANGE_DOCS", 1)
+    monkeypatch.setattr(common, "BATCH_BYTES", 100_000)
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60_000)), lambda i: F.concat(F.lit("w"), (i * 7 + F.col("doc_id")).cast("string"))), " ")
+    index = ts.build(spark.range(6).select(F.col("id").alias("doc_id")).withColumn("text", words).coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in index.inputFiles()]
+    assert [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)] == [1] * 6
+
+    def counted(terms, queries, k):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict(
+                    {"rid": [queries[0][0]], "doc_id": [batch.num_rows], "score": [1]},
+                    schema=pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())]))
+        return run
+
+    before = spark.conf.get(common.BATCH_SETTING)
+    items = spark.createDataFrame([(1, "w7")], "item_id long, text string")
+    assert [r.doc_id for r in ts.search(index, items).collect()] != []
+    monkeypatch.setattr(ts, "_searched", counted)
+    assert [r.doc_id for r in ts.search(index, items).collect()] == [1] * 6
+    assert spark.conf.get(common.BATCH_SETTING) == before
